@@ -6,10 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import mixing, tokens
+from folio.llm import looks, mixing, splitting, tokens
 from folio.runtime import table
 
 
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    return looks.same_look(table(spark, directory, "pages"))
+
+
+def p2_forms(spark: SparkSession, directory: str) -> DataFrame:
+    return looks.with_forms(table(spark, directory, "pages"), "id", ["latest_translation", "approved_text"]).distinct()
+
+
+def _oversized(spark: SparkSession, directory: str) -> DataFrame:
+    keys = {"pages": "id", "fetched_articles": "article_id"}
+    return splitting.oversized({name: table(spark, directory, name) for name in keys}, table(spark, directory, "size_limits"), keys)
+
+
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    return splitting.cut_places(_oversized(spark, directory))
+
+
+def p3_pieces(spark: SparkSession, directory: str) -> DataFrame:
+    return splitting.cut_pieces(_oversized(spark, directory))
+
+
 def p6_ids(spark: SparkSession, directory: str) -> DataFrame:
     return tokens.encode_ids(table(spark, directory, "documents"))
 
@@ -31,7 +52,7 @@ def p7_shares(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_ids, p7_mix, p7_repeats, p7_shares)}
+    return {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_pieces, p6_ids, p7_mix, p7_repeats, p7_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
