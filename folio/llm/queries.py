@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import looks, mixing, splitting, tokens
+from folio.llm import looks, mixing, quality, splitting, tokens
 from folio.runtime import table
 
 
@@ -51,8 +51,16 @@ def p7_shares(spark: SparkSession, directory: str) -> DataFrame:
     return _mix(spark, directory).report()
 
 
+def p8_found(spark: SparkSession, directory: str) -> DataFrame:
+    return quality.not_prose(table(spark, directory, "documents"), table(spark, directory, "common_words"))
+
+
+def p8_statistics(spark: SparkSession, directory: str) -> DataFrame:
+    return quality.statistics(table(spark, directory, "documents"), table(spark, directory, "common_words"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_pieces, p6_ids, p7_mix, p7_repeats, p7_shares)}
+    return {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_pieces, p6_ids, p7_mix, p7_repeats, p7_shares, p8_found, p8_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
