@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import looks, mixing, quality, splitting, tokens
+from folio.llm import boilerplate, looks, mixing, quality, splitting, tokens
 from folio.runtime import table
 
 
@@ -31,6 +31,14 @@ def p3_pieces(spark: SparkSession, directory: str) -> DataFrame:
     return splitting.cut_pieces(_oversized(spark, directory))
 
 
+def p5_found(spark: SparkSession, directory: str) -> DataFrame:
+    return boilerplate.not_article(table(spark, directory, "fetched_articles"))
+
+
+def p5_content(spark: SparkSession, directory: str) -> DataFrame:
+    return boilerplate.main_text(table(spark, directory, "fetched_articles"))
+
+
 def p6_ids(spark: SparkSession, directory: str) -> DataFrame:
     return tokens.encode_ids(table(spark, directory, "documents"))
 
@@ -60,7 +68,7 @@ def p8_statistics(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_pieces, p6_ids, p7_mix, p7_repeats, p7_shares, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_pieces, p5_found, p5_content, p6_ids, p7_mix, p7_repeats, p7_shares, p8_found, p8_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
