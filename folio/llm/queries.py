@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import boilerplate, looks, mixing, quality, splitting, tokens
+from folio.llm import alignment, boilerplate, looks, mixing, quality, splitting, tokens
 from folio.runtime import table
 
 
+def p1_found(spark: SparkSession, directory: str) -> DataFrame:
+    return alignment.sentence_pairs(table(spark, directory, "pages"), table(spark, directory, "glossary_items"))
+
+
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:
     return looks.same_look(table(spark, directory, "pages"))
 
@@ -68,7 +72,7 @@ def p8_statistics(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_pieces, p5_found, p5_content, p6_ids, p7_mix, p7_repeats, p7_shares, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_forms, p3_found, p3_pieces, p5_found, p5_content, p6_ids, p7_mix, p7_repeats, p7_shares, p8_found, p8_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
