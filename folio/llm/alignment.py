@@ -25,8 +25,10 @@ from folio.llm.bitext import Lexicon, Text
 ANCHOR_WEIGHT = 1.5
 #: Least likeness of anchors, of anchors off the backbone, and of pairs found in gaps.
 ANCHOR_LIKE, MOVED_LIKE, GAP_LIKE = 0.5, 0.6, 0.4
-#: Share of a sentence's weight that must be new for a further link.
-REST_SHARE = 0.5
+#: Share of a free sentence's weight that must be explained for a further link, the same without a word of its own, and the weight of such a word.
+REST_SHARE, NEAR_SHARE, OWN_WORD = 0.45, 0.6, 0.5
+#: Likeness below which a free sentence is not looked at.
+REST_LIKE = 0.15
 #: Preference for pairs at like places of both texts.
 PLACE_BONUS = 0.03
 #: Sentences on either side of a gap beyond which it is aligned in a band along its diagonal.
@@ -226,19 +228,21 @@ def rest(page: Page, links: set[tuple[int, int]], n: int, m: int) -> set[tuple[i
         if i not in by_s:
             candidates += [(v, i, j) for j, v in page.like[i].items() if j in by_t]
     for like, i, j in sorted(candidates, reverse=True):
-        if like < 0.2 or (i in by_s and j in by_t):
+        if like < REST_LIKE or (i in by_s and j in by_t):
             continue
         fs, es = open_target(j), open_source(i)
         got_t = sum(min(page.weight_t[j][f], page.expect[i].get(f, 0.0)) for f in fs)
         got_s = sum(min(page.weight_s[i][e], page.expect_back[j].get(e, 0.0)) for e in es)
-        # The words of the free sentence must be explained by words of the other that are free as well.
+        # The free sentence must be explained, by a word that nothing else explains or by the neighbour of what is linked already.
         free_t, free_s = j not in by_t, i not in by_s
         if free_t and free_s:
             good = like >= ANCHOR_LIKE
         elif free_t:
-            good = got_t >= REST_SHARE * page.sum_t[j] and got_s >= 0.25 * min(page.sum_s[i], page.sum_t[j])
+            near = any(abs(j - other) == 1 for other in by_s[i])
+            good = got_t >= REST_SHARE * page.sum_t[j] and got_s >= OWN_WORD or near and got_t >= NEAR_SHARE * page.sum_t[j]
         else:
-            good = got_s >= REST_SHARE * page.sum_s[i] and got_t >= 0.25 * min(page.sum_t[j], page.sum_s[i])
+            near = any(abs(i - other) == 1 for other in by_t[j])
+            good = got_s >= REST_SHARE * page.sum_s[i] and got_t >= OWN_WORD or near and got_s >= NEAR_SHARE * page.sum_s[i]
         if good:
             links.add((i, j))
             by_s.setdefault(i, set()).add(j)
