@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import alignment, boilerplate, looks, mixing, quality, splitting, tokens
+from folio.llm import alignment, boilerplate, looks, mixing, quality, responses, splitting, tokens
 from folio.runtime import table
 
 
@@ -35,6 +35,10 @@ def p3_pieces(spark: SparkSession, directory: str) -> DataFrame:
     return splitting.cut_pieces(_oversized(spark, directory))
 
 
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    return responses.defects(*(table(spark, directory, t) for t in ("pages", "projects", "documents", "glossary_items")))
+
+
 def p5_found(spark: SparkSession, directory: str) -> DataFrame:
     return boilerplate.not_article(table(spark, directory, "fetched_articles"))
 
@@ -72,7 +76,7 @@ def p8_statistics(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_forms, p3_found, p3_pieces, p5_found, p5_content, p6_ids, p7_mix, p7_repeats, p7_shares, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_forms, p3_found, p3_pieces, p4_found, p5_found, p5_content, p6_ids, p7_mix, p7_repeats, p7_shares, p8_found, p8_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
