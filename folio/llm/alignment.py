@@ -1,7 +1,8 @@
 """Alignment of the sentences of rough translations.
 
-Sentence pairs are scored by shared numbers, names and tied words. Pairs that
-choose each other are anchors; the best chain of anchors that rises on both sides
+Sentences at the same place of their blocks whose numbers, names and tied words
+match in full are pairs at once. All others are scored by the same words. Pairs
+that choose each other are anchors; the best chain of anchors that rises on both sides
 (a weighted longest increasing subsequence) is the backbone. Gaps of the backbone
 are aligned by dynamic programming over beads of 1-1, 1-2, 2-1, 1-0 and 0-1
 sentences. Anchors off the backbone were moved and stay; what is left is linked
@@ -14,6 +15,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,14 +23,18 @@ from pyspark.sql import functions as F
 from folio.llm import bitext
 from folio.llm.bitext import Lexicon, Text
 
-#: Weight of a shared number or name; words have at most 1.
-ANCHOR_WEIGHT = 1.5
+#: Weight of a shared number or name; words have at most 1, words without a tie hardly any.
+ANCHOR_WEIGHT, UNTIED = 1.5, 0.05
 #: Least likeness of anchors, of anchors off the backbone, and of pairs found in gaps.
 ANCHOR_LIKE, MOVED_LIKE, GAP_LIKE = 0.5, 0.6, 0.4
 #: Share of a free sentence's weight that must be explained for a further link, the same without a word of its own, and the weight of such a word.
 REST_SHARE, NEAR_SHARE, OWN_WORD = 0.45, 0.6, 0.5
+#: Tie from which a word counts as explained.
+EXPLAINED = 0.3
+#: Share of both sentences' weight that must match for a pair at the same place to need no scoring, and the weight that may be lacking: less than one tied word.
+PLAIN_SHARE, PLAIN_LACK = 0.8, 0.35
 #: Likeness below which a free sentence is not looked at.
-REST_LIKE = 0.15
+REST_LIKE = 0.25
 #: Preference for pairs at like places of both texts.
 PLACE_BONUS = 0.03
 #: Sentences on either side of a gap beyond which it is aligned in a band along its diagonal.
@@ -36,78 +42,71 @@ GAP_BAND = 60
 
 
 class Page:
-    """Scores between all sentences of two texts."""
+    """Scores between all sentences of two texts, over the distinct words of this page only."""
 
     def __init__(self, source: Text, target: Text, lexicon: Lexicon) -> None:
-        self.source, self.target = source.words, target.words
-        n, m = len(self.source), len(self.target)
-        forward, backward = lexicon.forward, lexicon.backward
-        self.names = {w for ws in self.target for w in ws if "a" <= w[0] <= "z" or bitext.is_anchor(w)}
-        here = {w for ws in self.source for w in ws}
-        shared = self.names & here
-        #: Target words with the strength by which each source sentence expects them, and the reverse.
-        self.expect, self.expect_back = [], []
-        for ws in self.source:
-            out: dict[str, float] = {}
-            for e in ws:
-                if e in shared:
-                    out[e] = ANCHOR_WEIGHT
-                for f, a in forward.get(e, {}).items():
-                    if a > out.get(f, 0.0):
-                        out[f] = a
-            self.expect.append(out)
-        for ws in self.target:
-            out = {}
-            for f in ws:
-                if f in shared:
-                    out[f] = ANCHOR_WEIGHT
-                for e, a in backward.get(f, {}).items():
-                    if a > out.get(e, 0.0):
-                        out[e] = a
-            self.expect_back.append(out)
-        we, wf = lexicon.weight_e, lexicon.weight_f
-        self.weight_s = [{w: ANCHOR_WEIGHT if w in shared or bitext.is_anchor(w) else we.get(w, 0.05) for w in ws} for ws in self.source]
-        self.weight_t = [{w: ANCHOR_WEIGHT if w in self.names else wf.get(w, 0.05) for w in ws} for ws in self.target]
-        self.sum_s = [sum(w.values()) or 1e-9 for w in self.weight_s]
-        self.sum_t = [sum(w.values()) or 1e-9 for w in self.weight_t]
-        # Only sentences that share something are scored.
-        holders: dict[str, list[int]] = {}
-        for j, ws in enumerate(self.weight_t):
-            for f in ws:
-                holders.setdefault(f, []).append(j)
-        self.like: list[dict[int, float]] = []
-        scores: list[dict[int, float]] = []
-        for i in range(n):
-            row: dict[int, float] = {}
-            for f, a in self.expect[i].items():
-                for j in holders.get(f, ()):
-                    row[j] = row.get(j, 0.0) + a
-            scores.append(row)
-        sources: dict[str, list[int]] = {}
-        for i, ws in enumerate(self.weight_s):
-            for e in ws:
-                sources.setdefault(e, []).append(i)
-        back: dict[tuple[int, int], float] = {}
-        for j in range(m):
-            for e, a in self.expect_back[j].items():
-                for i in sources.get(e, ()):
-                    back[i, j] = back.get((i, j), 0.0) + a
-        for i, row in enumerate(scores):
-            self.like.append({j: (min(1.0, v / self.sum_t[j]) + min(1.0, back.get((i, j), 0.0) / self.sum_s[i])) / 2 + PLACE_BONUS * (1 - abs((i + 0.5) / n - (j + 0.5) / m)) for j, v in row.items()})
-
-    def cover(self, i: tuple[int, ...], j: tuple[int, ...]) -> float:
+        n, m = len(source.words), len(target.words)
+        weight_e, weight_f, forward = lexicon.weight_e, lexicon.weight_f, lexicon.forward
+        latin = {w for ws in target.words for w in ws if w[0] <= "z"}
+        # Words without a tie, numbers and names only add a little to the size of their sentence.
+        e_at: dict[str, int] = {}
+        f_at: dict[str, int] = {}
+        s, rest_s = [], []
+        for ws in source.words:
+            own = set(ws)
+            kept = [e_at.setdefault(w, len(e_at)) for w in own if w in weight_e or w[0] <= "9" and len(w) > 1 or w in latin]
+            s.append(kept)
+            rest_s.append(UNTIED * (len(own) - len(kept)))
+        t, rest_t = [], []
+        for ws in target.words:
+            own = set(ws)
+            kept = [f_at.setdefault(w, len(f_at)) for w in own if w in weight_f or w[0] <= "z" and (w[0] > "9" or len(w) > 1)]
+            t.append(kept)
+            rest_t.append(UNTIED * (len(own) - len(kept)))
+        # One row and column more, without ties, so that every sentence holds something.
+        ties = np.zeros((len(e_at) + 1, len(f_at) + 1), dtype=np.float32)
+        we, wf = [weight_e.get(w, ANCHOR_WEIGHT) for w in e_at], [weight_f.get(w, ANCHOR_WEIGHT) for w in f_at]
+        targets = f_at.keys()
+        rows, columns, values = [], [], []
+        for e, k in e_at.items():
+            if (known := forward.get(e)) is not None:
+                for f in known.keys() & targets:
+                    rows.append(k)
+                    columns.append(f_at[f])
+                    values.append(known[f])
+            if (l := f_at.get(e)) is not None:
+                rows.append(k)
+                columns.append(l)
+                values.append(ANCHOR_WEIGHT)
+                we[k] = ANCHOR_WEIGHT
+        ties[rows, columns] = values
+        self.we, self.wf = np.array([*we, 0.0], dtype=np.float32), np.array([*wf, 0.0], dtype=np.float32)
+        self.s, self.t = s, t
+        in_s, self.expect = self.held(s, len(e_at), ties)
+        in_t, self.expect_back = self.held(t, len(f_at), ties.T)
+        # einsum, as a matrix product would wake the threads of a linear algebra library for these few numbers.
+        self.sum_s, self.sum_t = np.maximum((in_s * self.we).sum(axis=1) + rest_s, 1e-6), np.maximum((in_t * self.wf).sum(axis=1) + rest_t, 1e-6)
+        there = np.minimum(1.0, np.einsum("iv,jv->ij", self.expect, in_t) / self.sum_t)
+        back = np.minimum(1.0, np.einsum("iv,jv->ij", in_s, self.expect_back) / self.sum_s[:, None])
+        place = 1 - np.abs((np.arange(n)[:, None] + 0.5) / n - (np.arange(m) + 0.5) / m)
+        #: Likeness of every pair; 0 where nothing is shared.
+        self.like = np.where(there > 0, (there + back) / 2 + PLACE_BONUS * place, 0.0)
+
+    @staticmethod
+    def held(words: list[list[int]], spare: int, ties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words each sentence holds, and how firmly it expects each word of the other side."""
+        flat = [w for ws in words for w in (*ws, spare)]
+        sizes = np.array([len(ws) + 1 for ws in words])
+        inside = np.zeros((len(words), spare + 1), dtype=np.float32)
+        inside[np.repeat(np.arange(len(words)), sizes), flat] = 1.0
+        return inside, np.maximum.reduceat(ties[flat], np.cumsum(sizes) - sizes, axis=0)
+
+    def cover(self, i: list[int], j: list[int]) -> float:
         """Likeness of several sentences taken together."""
-        got = total = 0.0
-        for b in j:
-            for f, w in self.weight_t[b].items():
-                total += w
-                got += min(w, max(self.expect[a].get(f, 0.0) for a in i))
-        back = of = 0.0
-        for a in i:
-            for e, w in self.weight_s[a].items():
-                of += w
-                back += min(w, max(self.expect_back[b].get(e, 0.0) for b in j))
-        return (got / (total or 1e-9) + back / (of or 1e-9)) / 2
+        expect, back = self.expect[i].max(axis=0), self.expect_back[j].max(axis=0)
+        got = sum(np.minimum(self.wf[self.t[b]], expect[self.t[b]]).sum() for b in j)
+        held = sum(np.minimum(self.we[self.s[a]], back[self.s[a]]).sum() for a in i)
+        return float(got / self.sum_t[j].sum() + held / self.sum_s[i].sum()) / 2
 
 
 def best_chain(pairs: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
@@ -138,7 +137,7 @@ def best_chain(pairs: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
-def fill_gap(page: Page, rows: range, columns: range) -> list[tuple[int, int]]:
+def fill_gap(page: Page, rows: list[int], columns: list[int]) -> list[tuple[int, int]]:
     """Pairs of a gap by dynamic programming over beads."""
     n, m = len(rows), len(columns)
     if not n or not m:
@@ -157,9 +156,11 @@ def fill_gap(page: Page, rows: range, columns: range) -> list[tuple[int, int]]:
                 if dx and dy:
                     i, j = rows[x - 1], columns[y - 1]
                     if dx == dy:
-                        gain = page.like[i].get(j, 0.0) - GAP_LIKE
-                    elif page.like[i].get(j) or page.like[i - dx + 1].get(j - dy + 1):
-                        gain = 1.2 * (page.cover(tuple(range(i - dx + 1, i + 1)), tuple(range(j - dy + 1, j + 1))) - GAP_LIKE) - 0.05
+                        gain = page.like[i, j] - GAP_LIKE
+                    else:
+                        first, other = rows[x - dx], columns[y - dy]
+                        if page.like[i, j] or page.like[first, other]:
+                            gain = 1.2 * (page.cover([first, i] if dx == 2 else [i], [other, j] if dy == 2 else [j]) - GAP_LIKE) - 0.05
                     if gain <= 0:
                         continue
                 if before[0] + gain > top[0]:
@@ -177,19 +178,87 @@ def fill_gap(page: Page, rows: range, columns: range) -> list[tuple[int, int]]:
     return found
 
 
+class Plain:
+    """Whether two sentences match in full, told without scoring the whole page."""
+
+    def __init__(self, source: Text, target: Text, lexicon: Lexicon) -> None:
+        self.lexicon = lexicon
+        self.s, self.t = [frozenset(ws) for ws in source.words], [frozenset(ws) for ws in target.words]
+        self.latin = {w for ws in target.words for w in ws if w[0] <= "z"}
+
+    def matches(self, i: int, j: int) -> bool:
+        s, t = self.s[i], self.t[j]
+        forward, weight_e, weight_f = self.lexicon.forward, self.lexicon.weight_e, self.lexicon.weight_f
+        held, of, found = 0.0, 0.0, set()
+        for e in s:
+            if (known := forward.get(e)) is not None:
+                w = weight_e[e]
+                of += w
+                if meet := known.keys() & t:
+                    held += w
+                    found |= meet
+            elif e in self.latin or e[0] <= "9" and len(e) > 1:
+                of += ANCHOR_WEIGHT
+                held += ANCHOR_WEIGHT * (e in t)
+            else:
+                of += UNTIED
+        if held < max(PLAIN_SHARE * of, of - PLAIN_LACK):
+            return False
+        got = total = 0.0
+        for f in t:
+            if f[0] <= "z":
+                w = ANCHOR_WEIGHT if f[0] > "9" or len(f) > 1 else UNTIED
+                got += w * (f in s)
+            else:
+                w = weight_f.get(f, UNTIED)
+                got += w * (f in found)
+            total += w
+        return got >= max(PLAIN_SHARE * total, total - PLAIN_LACK)
+
+
+def plain_pairs(source: Text, target: Text, lexicon: Lexicon) -> list[tuple[int, int]]:
+    """Pairs that match in full at the same place from the begin or the end of their block (of the text, if the blocks differ in number)."""
+    n, m = len(source.sentences), len(target.sentences)
+    test = Plain(source, target, lexicon).matches
+    if source.blocks[-1] == target.blocks[-1]:
+        ends_s, ends_t = np.searchsorted(source.blocks, range(1, source.blocks[-1] + 2)).tolist(), np.searchsorted(target.blocks, range(1, target.blocks[-1] + 2)).tolist()
+    else:
+        ends_s, ends_t = [n], [m]
+    found, i, j = [], 0, 0
+    for a, b in zip(ends_s, ends_t, strict=True):
+        if a - i == b - j:
+            found += [(x, y) for x, y in zip(range(i, a), range(j, b), strict=True) if test(x, y)]
+        else:
+            x, y, stop_x, stop_y = i, j, a, b
+            while x < a and y < b and test(x, y):
+                found.append((x, y))
+                x, y = x + 1, y + 1
+            while stop_x > x and stop_y > y and test(stop_x - 1, stop_y - 1):
+                stop_x, stop_y = stop_x - 1, stop_y - 1
+                found.append((stop_x, stop_y))
+        i, j = a, b
+    return found
+
+
 def aligned(source: Text, target: Text, lexicon: Lexicon) -> list[tuple[int, int]]:
     """Pairs of corresponding sentences of two texts."""
-    n, m = len(source.sentences), len(target.sentences)
-    if not n or not m:
+    if not source.sentences or not target.sentences:
         return []
+    found = plain_pairs(source, target, lexicon)
+    left_s, left_t = {i for i, _ in found}, {j for _, j in found}
+    rows, columns = [i for i in range(len(source.sentences)) if i not in left_s], [j for j in range(len(target.sentences)) if j not in left_t]
+    if rows and columns:
+        part = [Text([x.sentences[k] for k in at], [x.blocks[k] for k in at], [x.words[k] for k in at]) for x, at in ((source, rows), (target, columns))]
+        found += [(rows[i], columns[j]) for i, j in scored(*part, lexicon)]
+    return sorted(found)
+
+
+def scored(source: Text, target: Text, lexicon: Lexicon) -> list[tuple[int, int]]:
+    """Pairs by anchors, their chain, its gaps and what is left."""
+    n, m = len(source.sentences), len(target.sentences)
     page = Page(source, target, lexicon)
-    best_s = [max(row.items(), key=lambda x: (x[1], -x[0]), default=(-1, 0.0)) for row in page.like]
-    best_t: list[tuple[float, int]] = [(0.0, -1)] * m
-    for i, row in enumerate(page.like):
-        for j, v in row.items():
-            if v > best_t[j][0]:
-                best_t[j] = (v, i)
-    anchors = [(i, j, v) for i, (j, v) in enumerate(best_s) if j >= 0 and v >= ANCHOR_LIKE and best_t[j][1] == i]
+    best_s, best_t = page.like.argmax(axis=1), page.like.argmax(axis=0)
+    anchors = [(i, int(j), float(v)) for i, j in enumerate(best_s) if (v := page.like[i, j]) >= ANCHOR_LIKE and best_t[j] == i]
     chain = best_chain(anchors)
     links = set(chain)
     kept = {(i, j) for i, j, v in anchors if v >= MOVED_LIKE} - links
@@ -212,27 +281,18 @@ def rest(page: Page, links: set[tuple[int, int]], n: int, m: int) -> set[tuple[i
         by_s.setdefault(i, set()).add(j)
         by_t.setdefault(j, set()).add(i)
 
-    def open_source(i: int) -> set[str]:
-        used = by_s.get(i, ())
-        return {e for e in page.weight_s[i] if all(page.expect_back[j].get(e, 0.0) < 0.3 for j in used)}
-
-    def open_target(j: int) -> set[str]:
-        used = by_t.get(j, ())
-        return {f for f in page.weight_t[j] if all(page.expect[i].get(f, 0.0) < 0.3 for i in used)}
-
-    candidates = []
-    for j in range(m):
-        if j not in by_t:
-            candidates += [(page.like[i][j], i, j) for i in range(n) if j in page.like[i]]
-    for i in range(n):
-        if i not in by_s:
-            candidates += [(v, i, j) for j, v in page.like[i].items() if j in by_t]
+    candidates = [(float(page.like[i, j]), i, j) for j in range(m) if j not in by_t for i in np.flatnonzero(page.like[:, j] >= REST_LIKE).tolist()]
+    candidates += [(float(page.like[i, j]), i, j) for i in range(n) if i not in by_s for j in np.flatnonzero(page.like[i] >= REST_LIKE).tolist() if j in by_t]
     for like, i, j in sorted(candidates, reverse=True):
-        if like < REST_LIKE or (i in by_s and j in by_t):
+        if i in by_s and j in by_t:
             continue
-        fs, es = open_target(j), open_source(i)
-        got_t = sum(min(page.weight_t[j][f], page.expect[i].get(f, 0.0)) for f in fs)
-        got_s = sum(min(page.weight_s[i][e], page.expect_back[j].get(e, 0.0)) for e in es)
+        es, fs = np.array(page.s[i], dtype=np.intp), np.array(page.t[j], dtype=np.intp)
+        if i in by_s:
+            es = es[page.expect_back[list(by_s[i])].max(axis=0)[es] < EXPLAINED]
+        if j in by_t:
+            fs = fs[page.expect[list(by_t[j])].max(axis=0)[fs] < EXPLAINED]
+        got_t = np.minimum(page.wf[fs], page.expect[i, fs]).sum()
+        got_s = np.minimum(page.we[es], page.expect_back[j, es]).sum()
         # The free sentence must be explained, by a word that nothing else explains or by the neighbour of what is linked already.
         free_t, free_s = j not in by_t, i not in by_s
         if free_t and free_s:

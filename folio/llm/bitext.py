@@ -14,7 +14,6 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import product
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -26,7 +25,9 @@ from folio.llm.store import written
 
 #: Least number of sentence pairs that hold both words, and least strength of a tie.
 TIE_PAIRS = 3
-TIE_STRENGTH = 0.12
+TIE_STRENGTH = 0.2
+#: Words in more than this share of all sentence pairs have no ties; a task stops counting them when it has seen somewhat more.
+STOP_SHARE, STOP_SEEN = 0.25, 0.3
 #: Entries of the lexicon at most, the strongest by pairs; a bound of the model's size, as it is sent to all tasks.
 LEXICON_ENTRIES = 200_000
 #: Counts a task holds before it hands them on.
@@ -88,8 +89,24 @@ def sentences_of(text: str) -> tuple[list[str], list[int]]:
     return found, blocks
 
 
+#: What may hold a word: a decimal number, or a run without white space and plain marks.
+RUN = re.compile(r"\d+[.٫]\d+|[^\s.,;:!?؟،؛…()\[\]{}«»\"'*#|>]+")
+#: Runs met so far with their words, at most so many before the store starts afresh.
+KNOWN_RUNS = 200_000
+_known: dict[str, tuple[str, ...]] = {}
+
+
 def words_of(sentence: str) -> list[str]:
-    return WORD.findall(sentence.translate(plain_table()).lower())
+    """Words in comparable form. Runs recur, so each is brought to that form once."""
+    found: list[str] = []
+    for run in RUN.findall(sentence):
+        words = _known.get(run)
+        if words is None:
+            if len(_known) >= KNOWN_RUNS:
+                _known.clear()
+            words = _known[run] = tuple(WORD.findall(run.translate(plain_table()).lower()))
+        found += words
+    return found
 
 
 def read(text: str) -> Text:
@@ -137,25 +154,38 @@ def counted(pairs: DataFrame) -> DataFrame:
     schema = pa.schema([("e", pa.string()), ("f", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        both: dict[str, Counter] = {}
+        left_ones: Counter = Counter()
+        right_ones: Counter = Counter()
+        total, next_look = 0, 1000
+        stop: set[str] = set()
 
         def handed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], type=pa.string()), pa.array([k[1] for k in held], type=pa.string()), pa.array(held.values(), type=pa.int64())], schema=schema)
+            rows = [(e, f, n) for e, held in both.items() for f, n in held.items()]
+            rows += [(e, "", n) for e, n in left_ones.items()] + [("", f, n) for f, n in right_ones.items()] + [("", "", total)]
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         for batch in batches:
             for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 source, target = read(a), read(b)
                 for i, j in {*anchored(source, target), *level_pairs(source, target)}:
-                    left = {w for w in source.words[i] if not w[0].isdigit()}
+                    left = {w for w in source.words[i] if w[0] > "9"}
                     right = {w for w in target.words[j] if w[0] > "~"}
-                    held.update(product(left, right))
-                    held.update((w, "") for w in left)
-                    held.update(("", w) for w in right)
-                    held["", ""] += 1
-            if len(held) > HELD:
+                    left_ones.update(left)
+                    right_ones.update(right)
+                    total += 1
+                    right -= stop
+                    for e in left - stop:
+                        if (held := both.get(e)) is None:
+                            held = both[e] = Counter()
+                        held.update(right)
+            if total >= next_look:
+                stop = {w for ones in (left_ones, right_ones) for w, n in ones.items() if n > STOP_SEEN * total}
+                next_look = 2 * total
+            if sum(map(len, both.values())) > HELD:
                 yield handed()
-                held = Counter()
-        if held:
+                both, left_ones, right_ones, total, next_look = {}, Counter(), Counter(), 0, 1000
+        if total:
             yield handed()
 
     return pairs.mapInArrow(run, "e string, f string, n bigint")
@@ -192,7 +222,9 @@ def learned(texts: DataFrame, source: str, target: str, glossary: DataFrame | No
     total = (sums.where("e = '' and f = ''").agg(F.sum("n")).first()[0]) or 0
     ones = sums.where("f = '' and e <> ''").select("e", F.col("n").alias("ne"))
     others = sums.where("e = '' and f <> ''").select("f", F.col("n").alias("nf"))
-    both = sums.where("e <> '' and f <> ''").join(ones, "e").join(others, "f")
+    # Words that stand in too many pairs were not counted to the end.
+    most = STOP_SHARE * total
+    both = sums.where("e <> '' and f <> ''").join(ones.where(F.col("ne") <= most), "e").join(others.where(F.col("nf") <= most), "f")
     surprise = F.log(F.col("n") * float(total) / (F.col("ne") * F.col("nf")))
     tie = F.sqrt(F.col("n") / F.col("ne") * F.col("n") / F.col("nf")) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), surprise) / 2.5)
     rows = both.withColumn("a", tie).where(F.col("a") >= TIE_STRENGTH).orderBy(F.desc("n"), "e", "f").limit(LEXICON_ENTRIES).select("e", "f", "a").collect() if total else []
