@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import examples
+from folio.llm.store import bounded_sample
 
 #: Documents from which the rule list is fitted, at most; they are labelled by ``examples`` and only fit the thresholds.
 FIT_ROWS = 6000
@@ -233,8 +234,8 @@ def case_sql(rules: list[Rule]) -> str:
 
 def fit(documents: DataFrame, common: DataFrame, rows: int = FIT_ROWS, key: str = "doc_id", text: str = "text") -> list[Rule]:
     """The rule list of a bounded sample of labelled documents (the ``rows`` with the smallest hash of their key)."""
-    sample = documents.where(F.col(text).isNotNull()).select(text, F.xxhash64(key).alias("h")).orderBy("h").limit(rows)
-    texts, labels = examples.labelled([r[0] for r in sample.collect()])
+    sample = bounded_sample(documents.where(F.col(text).isNotNull()).select(key, text), key, rows)
+    texts, labels = examples.labelled([r[text] for r in sample])
     if not texts:
         return []
     spark: SparkSession = documents.sparkSession

@@ -6,6 +6,7 @@ import atexit
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from folio.runtime import shared_folder
 
@@ -30,3 +31,18 @@ def _remove(spark, path: str) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
     except Exception:  # noqa: BLE001 - the session may already have ended
         pass
+
+
+def bounded_sample(df: DataFrame, key: str, rows: int) -> list:
+    """About ``rows`` rows (all, if there are fewer) with the smallest hashes of ``key``, as a list; for fitting models only.
+
+    A count sets the share of hashes that is read, so tasks send about ``rows``
+    rows to the driver together, not each.
+    """
+    total = df.count()
+    if not total:
+        return []
+    limit = (1 << 63) * min(1.0, 1.2 * rows / total)
+    hashed = df.withColumn("_h", F.xxhash64(key).bitwiseAND(F.lit((1 << 63) - 1)))
+    found = hashed.where(F.col("_h") < F.lit(min(int(limit), (1 << 63) - 1))).collect()
+    return sorted(found, key=lambda r: r["_h"])[:rows]
