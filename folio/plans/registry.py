@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this folder that hold QUERIES and SQL.
-MODULES = ("views", "scalars", "segmenting", "pdf", "models")
+MODULES = ("views", "scalars", "segmenting", "pdf", "models", "exchange")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
