@@ -143,7 +143,7 @@ def with_forms(df: DataFrame, key: str, columns: list[str], where: str = "") ->
         with duckdb.connect(config={"threads": 1}) as connection:
             for rows in batches:
                 connection.register("batch", pa.Table.from_batches([rows]))
-                made = connection.execute(sql).to_arrow_table().cast(out)
+                made = connection.sql(sql).to_arrow_table().cast(out)
                 connection.unregister("batch")
                 yield from made.to_batches()
 

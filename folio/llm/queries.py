@@ -79,5 +79,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p2_found, p2_forms, p3_found, p3_pieces, p4_found, p5_found, p5_content, p6_ids, p7_mix, p7_repeats, p7_shares, p8_found, p8_statistics)}
 
 
+P3_SQL = r"""
+    WITH i AS (SELECT 'pages' AS item_table, id AS item_id, source_text AS t, max_chars, max_chars - overlap_chars AS room FROM pages, size_limits WHERE size_limits.item_table = 'pages' AND field_name = 'source_text' AND length(source_text) > max_chars
+        UNION SELECT 'fetched_articles', article_id, markdown, max_chars, max_chars - overlap_chars FROM fetched_articles, size_limits WHERE size_limits.item_table = 'fetched_articles' AND field_name = 'markdown' AND length(markdown) > max_chars),
+    l AS (SELECT item_table, item_id, room, unnest(range(len(ls))) AS k, unnest(ls) AS line FROM (SELECT *, string_split(t, chr(10)) AS ls FROM i)),
+    f AS (SELECT *, regexp_matches(line, '^\s*(```|~~~)') AS fence, coalesce(sum(regexp_matches(line, '^\s*(```|~~~)')::INT) OVER (PARTITION BY item_table, item_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside FROM l),
+    g AS (SELECT *, NOT inside AND NOT fence AND NOT regexp_matches(line, '\S') AS blank, lag(fence AND inside, 1, false) OVER w AS closed, (fence AND NOT inside) AS opened FROM f WINDOW w AS (PARTITION BY item_table, item_id ORDER BY k)),
+    b AS (SELECT *, sum((blank OR opened OR closed)::INT) OVER (PARTITION BY item_table, item_id ORDER BY k) AS block FROM g),
+    n AS (SELECT item_table, item_id, max(size) AS blocks FROM (SELECT item_table, item_id, block, sum(length(line)) + count(*) - 1 AS size FROM b WHERE NOT blank GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    m AS (SELECT item_table, item_id, room, max(length(line)) AS lines, max(list_max(list_transform(regexp_split_to_array(regexp_replace(line, '([.!?؟])\s', '\1' || chr(1), 'g'), chr(1)), lambda x: length(regexp_replace(x, '^\s+|\s+$', '', 'g'))))) AS sentences,
+                 max(list_max(list_transform(regexp_split_to_array(line, '\s+'), lambda x: length(x)))) AS runs FROM b GROUP BY 1, 2, 3)
+    SELECT item_table, item_id, CASE WHEN blocks <= room THEN 'block' WHEN lines <= room THEN 'line' WHEN sentences <= room THEN 'sentence' WHEN runs <= room THEN 'space' ELSE 'none' END AS cut_at FROM m JOIN n USING (item_table, item_id)"""
+
+
+def _p2_sql() -> str:
+    """The same expressions over the whole table at once, outside Arrow partitions."""
+    forms = looks.select_sql(["page_id"], {"latest_translation": "f0", "approved_text": "f1"})
+    return f"WITH batch AS (SELECT DISTINCT id AS page_id, latest_translation, approved_text FROM pages WHERE latest_translation <> '' AND approved_text <> '' AND latest_translation <> approved_text) SELECT page_id FROM ({forms}) WHERE f0 = f1"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Splitting and look-alikes can be said in SQL; the other operators are tested against brute force, round trips or other libraries."""
+    return {"p2_found": _p2_sql(), "p3_found": P3_SQL}

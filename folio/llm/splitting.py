@@ -15,6 +15,7 @@ worker reads more of a file than its range and its halo.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from bisect import bisect_left, bisect_right
@@ -364,7 +365,7 @@ def read_text(path: str, first: int, last: int) -> tuple[str, int]:
 
 
 def packed(summary: Summary) -> str:
-    return repr(tuple(map(tuple, (summary.ends, summary.blocks))) + (summary.chars,))
+    return json.dumps((summary.chars, summary.ends, summary.blocks))
 
 
 def moved(summary: Summary, by: int) -> Summary:
@@ -413,10 +414,9 @@ def scan_files(spark: SparkSession, paths: list[str], size: int = RANGE_CHARS) -
 
 
 def unpacked(text: str) -> Summary:
-    import ast
-
-    ends, blocks, chars = ast.literal_eval(text)
-    return Summary(chars, tuple(Ends(*e) for e in ends), tuple(Blocks(*b) for b in blocks))
+    chars, ends, blocks = json.loads(text)
+    unit = lambda u: tuple(u) if u else None
+    return Summary(chars, tuple(Ends(unit(a), longest, unit(b), cut) for a, longest, b, cut in ends), tuple(Blocks(*b) for b in blocks))
 
 
 def stitched_files(boundaries: DataFrame, ranges: int) -> DataFrame:
