@@ -60,3 +60,8 @@ def has_text(x: Column | str) -> Column:
 def joined_in_order(items: Column, separator: str) -> Column:
     """Texts of an array of (order, text) structs, joined in their order; null texts are left out."""
     return F.array_join(F.transform(F.array_sort(items), lambda s: s["text"]), separator)
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -50,7 +50,7 @@ def chunks(x: Column | str, most: int = CHUNK_CHARS) -> Column:
 
 def chunk_rows(df: DataFrame, key: str, text: str, most: int = CHUNK_CHARS) -> DataFrame:
     """One row per chunk, numbered from 1, with a note "part i of n" where there are several."""
-    cut = df.select(key, chunks(text, most).alias("c")).select(key, F.size("c").alias("parts"), F.posexplode("c").alias("k", "chunk"))
+    cut = df.select(key, chunks(text, most).alias("c")).select(key, F.size("c").alias("parts"), F.posexplode_outer("c").alias("k", "chunk")).where("k is not null")
     note = F.when(F.col("parts") > 1, F.format_string("part %d of %d", F.col("k") + 1, F.col("parts"))).otherwise("")
     return cut.select(key, (F.col("k") + 1).alias("part"), "parts", note.alias("note"), "chunk")
 
@@ -171,39 +171,64 @@ def joined_pages(texts: Column) -> Column:
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
 
     def step(acc: Column, raw: Column) -> Column:
-        current, following = T.strip(acc["open"]), T.strip(raw)
-        moved = moved_sentence(current, following)
-        has = moved.isNotNull()
-        left = F.when(has, F.concat(current, F.lit(" "), T.strip(moved))).otherwise(acc["open"])
-        rest = F.when(has, T.strip(F.substring(following, F.length(moved) + 1, F.length(following)))).otherwise(raw)
-        return F.struct(F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(left))).alias("done"), rest.alias("open"))
+        return T.let(
+            F.struct(T.strip(acc["open"]).alias("c"), T.strip(raw).alias("f")),
+            lambda p: T.let(
+                moved_sentence(p["c"], p["f"]),
+                lambda moved: F.struct(
+                    F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(F.when(moved.isNotNull(), F.concat(p["c"], F.lit(" "), T.strip(moved))).otherwise(acc["open"])))).alias("done"),
+                    F.when(moved.isNotNull(), T.strip(F.substring(p["f"], F.length(moved) + 1, F.length(p["f"])))).otherwise(raw).alias("open"),
+                ),
+            ),
+        )
 
     return F.aggregate(F.transform(texts, lambda t: F.coalesce(t, F.lit(""))), start, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
 
 
-def moved_sentence(current: Column, following: Column) -> Column:
-    """The start of ``following`` that belongs to ``current`` (both stripped), with the white space after it; null if nothing moves."""
+def takes(current: Column) -> Column:
+    """Whether a stripped page breaks off in a sentence."""
     last_line = T.strip(F.element_at(F.split(current, "\n"), -1))
+    return (F.length(current) > 0) & ~current.rlike(COMPLETE) & ~last_line.rlike(NO_JOIN) & ~last_line.rlike(r"(?i)^(?:CHAPTER|SECTION|PART|\p{Nd}+[.)])\s+")
+
+
+def offered(following: Column) -> Column:
+    """The first sentence of a stripped page, with the white space after it, if it may be moved."""
     sentence = F.regexp_extract(following, r"^([\s\S]*?[.!?](?:\s+|$))", 1)
-    fine = (
-        (F.length(current) > 0)
-        & (F.length(following) > 0)
-        & ~following.rlike(NO_JOIN)
-        & ~following.rlike(NUMBERED)
-        & ~last_line.rlike(NO_JOIN)
-        & ~last_line.rlike(r"(?i)^(?:CHAPTER|SECTION|PART|\p{Nd}+[.)])\s+")
-        & ~current.rlike(COMPLETE)
-        & (F.length(sentence) > 0)
-        & ~sentence.rlike(r"(?i)^(?:CHAPTER|SECTION)\b")
-    )
-    return F.when(fine, sentence)
+    return F.when((F.length(following) > 0) & ~following.rlike(NO_JOIN) & ~following.rlike(NUMBERED) & ~following.rlike(r"(?i)^(?:CHAPTER|SECTION)\b"), F.nullif(sentence, F.lit("")))
+
+
+def moved_sentence(current: Column, following: Column) -> Column:
+    """The start of ``following`` that belongs to ``current`` (both stripped), with the white space after it; null if nothing moves."""
+    return F.when(takes(current), offered(following))
 
 
 def stitched_books(pages: DataFrame) -> DataFrame:
-    """All pages of each project after joining (``project_id``, ``page_number``, ``text``). A book is one row of texts; books are spread over tasks."""
-    books = pages.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "text"))).alias("p"))
-    made = books.select("project_id", F.arrays_zip(F.col("p.page_number").alias("n"), joined_pages(F.col("p.text")).alias("t")).alias("z"))
-    return made.select("project_id", F.explode("z").alias("z")).select("project_id", F.col("z.n").alias("page_number"), F.col("z.t").alias("text"))
+    """All pages of each project after joining (``project_id``, ``page_number``, ``text``), as ``joined_pages`` folds them.
+
+    Written without gathering a book: whether a page loses its first sentence
+    depends on the page before only by whether that one has lost its own, so the
+    answers follow from each other by constants and negations, which running sums
+    resolve. Windows see flags and first sentences; texts stay where they are. A
+    page number stands for one page.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    read = pages.select("project_id", "page_number", "text", T.strip(text).alias("s")).select("project_id", "page_number", "text", "s", offered(F.col("s")).alias("head"))
+    rest = T.strip(F.substring("s", F.length("head") + 1, F.length("s")))
+    small = read.select("project_id", "page_number", "head", F.col("head").isNotNull().alias("gives"), takes(F.col("s")).alias("takes"), F.coalesce(takes(rest), F.lit(False)).alias("takes_after"))
+    order = W.partitionBy("project_id").orderBy("page_number")
+    # Whether a page gives, if the page before has kept its sentence, and if it has given it.
+    kept, gave = (F.col("gives") & F.coalesce(F.lag(c).over(order), F.lit(False)) for c in ("takes", "takes_after"))
+    step = small.withColumn("kept", kept).withColumn("gave", gave)
+    # Where both are alike the page before does not matter; from there on each "kept, not gave" turns the answer round.
+    runs = step.withColumn("run", F.sum((F.col("kept") == F.col("gave")).cast("int")).over(order))
+    inside = W.partitionBy("project_id", "run").orderBy("page_number")
+    turns = F.sum((F.col("kept") & ~F.col("gave")).cast("int")).over(inside)
+    lost = runs.withColumn("loses", (F.first("kept").over(inside).cast("int") + turns) % 2 == 1)
+    gained = lost.withColumn("gains", F.when(F.lead("loses").over(order), F.lead("head").over(order)))
+    moves = gained.where("loses or gains is not null").select("project_id", "page_number", "loses", "gains")
+    joined = read.join(moves, ["project_id", "page_number"], "left")
+    own = F.when(F.col("loses"), rest).otherwise(text)
+    return joined.select("project_id", "page_number", F.when(F.col("gains").isNotNull(), F.concat(T.strip(own), F.lit(" "), T.strip("gains"))).otherwise(own).alias("text"))
 
 
 def stitched_single(pages: DataFrame) -> DataFrame:

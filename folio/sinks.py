@@ -24,10 +24,15 @@ def page_markdown(number: Column, text: Column) -> Column:
     return F.concat(F.lit("# Page "), number.cast("string"), F.lit("\n\n"), T.strip(text), F.lit("\n"))
 
 
-def books(projects: DataFrame, pages: DataFrame) -> DataFrame:
-    """``project_id``, ``book``: title, languages and all pages of each project in order (``pages``: project_id, page_number, id, text). A book is one row; projects without pages have only their head."""
+def book_parts(pages: DataFrame) -> DataFrame:
+    """``project_id``, ``page_number``, ``id``, ``part``: what each page adds to its book (``pages``: project_id, page_number, id, text). A book too large for a row is written from these, sorted."""
     part = F.concat(F.lit("\n<!-- Page "), F.col("page_number").cast("string"), F.lit(" -->\n\n"), T.strip("text"), F.lit("\n\n---\n"))
-    gathered = pages.where("page_number is not null").select("project_id", "page_number", "id", part.alias("part")).groupBy("project_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "id", "part"))), lambda p: p["part"]), "").alias("body"))
+    return pages.where("page_number is not null").select("project_id", "page_number", "id", part.alias("part"))
+
+
+def books(projects: DataFrame, pages: DataFrame) -> DataFrame:
+    """``project_id``, ``book``: title, languages and all pages of each project in order. The book is the result and one row, so it must fit into one; ``book_parts`` has no such bound. Projects without pages have only their head."""
+    gathered = book_parts(pages).groupBy("project_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "id", "part"))), lambda p: p["part"]), "").alias("body"))
     head = F.concat(F.lit("# "), F.coalesce("title", F.lit("")), F.lit("\n_"), F.col("source_language"), F.lit(" → "), F.col("target_language"), F.lit("_\n\n---\n"))
     joined = projects.select(F.col("id").alias("project_id"), head.alias("head")).join(gathered, "project_id", "left")
     return joined.select("project_id", F.concat("head", F.coalesce("body", F.lit(""))).alias("book"))
@@ -149,15 +154,25 @@ def books_docx(books_: DataFrame) -> DataFrame:
     return books_.mapInPandas(run, "project_id string, content binary")
 
 
-def archives(files: DataFrame, manifest: dict) -> DataFrame:
-    """``project_id``, ``content``: one archive per project of its files (project_id, path, content) with a manifest. An archive is the unit in which a backup is read back."""
+#: Files of one archive; a project with more gets several.
+ARCHIVE_FILES = 2000
+
+
+def archives(files: DataFrame, manifest: dict, most: int = ARCHIVE_FILES) -> DataFrame:
+    """``project_id``, ``part``, ``content``: archives of the files of each project (project_id, path, content), each with a manifest.
+
+    A task packs about ``most`` files at a time, however many a project has; an
+    archive is the unit in which a backup is read back.
+    """
+    counts = files.groupBy("project_id").agg(F.ceil(F.count("*") / most).alias("parts"))
+    placed = files.join(counts, "project_id").withColumn("part", F.pmod(F.xxhash64("path"), F.col("parts")).cast("int")).drop("parts")
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         members = {"manifest.json": json.dumps(manifest | {"files": len(frame)}, ensure_ascii=False, sort_keys=True).encode()}
         members |= {f"projects/{p}": bytes(c) for p, c in sorted(zip(frame["path"], frame["content"], strict=True)) if is_inside(p)}
-        return pd.DataFrame({"project_id": [frame["project_id"].iloc[0]], "content": [zipped(members)]})
+        return pd.DataFrame({"project_id": [frame["project_id"].iloc[0]], "part": [frame["part"].iloc[0]], "content": [zipped(members)]})
 
-    return files.groupBy("project_id").applyInPandas(pack, "project_id string, content binary")
+    return placed.groupBy("project_id", "part").applyInPandas(pack, "project_id string, part int, content binary")
 
 
 def is_inside(path: str) -> bool:
