@@ -23,6 +23,23 @@ PERSIAN_NAMES = ("persian", "farsi", "فارسی")
 NO_TEXT = "array<struct<source_term:string,target_term:string,both:boolean>>"
 
 
+#: Terms that may become a constant of a plan.
+MOST_TERMS = 10_000
+
+
+def terms_of(glossary: DataFrame) -> Column:
+    """The terms for all projects as a constant array (source_term, target_term, both); a term counts once, with the first target by alphabet.
+
+    A glossary is written by people; beyond MOST_TERMS it is refused rather than
+    sent along with every plan.
+    """
+    rows = glossary.where("project_id is null").groupBy(T.strip("source_term").alias("s")).agg(F.min(F.struct("target_term", "include_parenthesis_english")).alias("t")).where("s <> ''").limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"a glossary may have {MOST_TERMS} terms for all projects at most")
+    made = [F.struct(F.lit(r["s"]).alias("source_term"), F.lit(r["t"][0]).cast("string").alias("target_term"), F.lit(r["t"][1]).cast("boolean").alias("both")) for r in sorted(rows, key=lambda r: r["s"])]
+    return F.array(*made).cast(NO_TEXT)
+
+
 def glossary_section(terms: Column) -> Column:
     """Rules of a glossary (array of source_term, target_term, both), one per line; null without any."""
     line = lambda g: F.concat(
@@ -129,13 +146,13 @@ def mock_translation(text: Column, terms: Column) -> Column:
     return F.array_join(F.transform(F.split(T.strip(text), "\n"), put), "\n")
 
 
-def translated(pages: DataFrame, terms: str = "terms", clean: bool = True) -> DataFrame:
-    """``page_id``, ``translation``, ``asked`` of (``page_id``, ``source_text``, ``terms``): pages of only code or images pass through, others are masked, translated by the stand-in, restored and cleaned."""
-    rows = pages.select("page_id", "source_text", F.col(terms).alias("terms"), M.only_code_or_media("source_text").alias("media"))
+def translated(pages: DataFrame, terms: Column, clean: bool = True) -> DataFrame:
+    """``page_id``, ``translation``, ``asked`` of (``page_id``, ``source_text``): pages of only code or images pass through, others are masked, translated by the stand-in, restored and cleaned."""
+    rows = pages.select("page_id", "source_text", M.only_code_or_media("source_text").alias("media"))
     passed = rows.where("media").select("page_id", F.col("source_text").alias("translation"), F.lit(False).alias("asked"))
-    masked = rows.where(~F.col("media")).select("page_id", "terms", M.blocks("source_text", M.FENCED).alias("code"), M.masked_code("source_text").alias("m"))
-    masked = masked.select("page_id", "terms", "code", M.blocks("m", M.IMAGE).alias("tags"), M.masked_images("m").alias("m"))
-    said = masked.select("page_id", "code", "tags", mock_translation(F.col("m"), F.col("terms")).alias("m"))
+    masked = rows.where(~F.col("media")).select("page_id", M.blocks("source_text", M.FENCED).alias("code"), M.masked_code("source_text").alias("m"))
+    masked = masked.select("page_id", "code", M.blocks("m", M.IMAGE).alias("tags"), M.masked_images("m").alias("m"))
+    said = masked.select("page_id", "code", "tags", mock_translation(F.col("m"), terms).alias("m"))
     back = said.select("page_id", "code", M.unmasked("m", F.col("tags"), "IMAGE_BLOCK").alias("m")).select("page_id", M.unmasked("m", F.col("code"), "CODE_BLOCK").alias("m"))
     done = back.select("page_id", (repair.clean_markdown("m") if clean else F.col("m")).alias("translation"), F.lit(True).alias("asked"))
     return passed.unionByName(done)

@@ -60,10 +60,11 @@ def attempts_of_pages(pages: DataFrame, attempts: DataFrame) -> DataFrame:
 
 def resolved_profiles(projects: DataFrame, profiles: DataFrame) -> DataFrame:
     """The profile of each project: its own, else the oldest one; null if there is none at all."""
-    oldest = profiles.agg(F.min_by(F.struct("id", "name"), F.struct("created_at", "id")).alias("fallback"))
+    # One row, whatever the size of the tables: it becomes a constant of the plan.
+    oldest = profiles.agg(F.min_by(F.struct("id", "name"), F.struct("created_at", "id")).alias("fallback")).first()["fallback"]
+    number, name = (F.lit(v).cast("string") for v in (oldest or (None, None)))
     own = projects.select(F.col("id").alias("project_id"), "profile_id").join(profiles.select(F.col("id").alias("profile_id"), F.col("name").alias("own_name")), "profile_id", "left")
-    # One row joined to all: a constant, not a product.
-    return own.crossJoin(oldest).select("project_id", F.when(F.col("own_name").isNotNull(), F.col("profile_id")).otherwise(F.col("fallback.id")).alias("profile_id"), F.coalesce("own_name", "fallback.name").alias("profile_name"))
+    return own.select("project_id", F.when(F.col("own_name").isNotNull(), F.col("profile_id")).otherwise(number).alias("profile_id"), F.coalesce("own_name", name).alias("profile_name"))
 
 
 def neighbour_context(pages: DataFrame) -> DataFrame:
@@ -149,3 +150,24 @@ def changed_states(events: DataFrame, allowed: DataFrame, key: str = "page_id",
     before = F.lag(state).over(W.partitionBy(key).orderBy(*order))
     moves = events.withColumn("from_state", before).where(F.col("from_state").isNotNull() & (F.col("from_state") != F.col(state)))
     return moves.join(allowed, (moves["from_state"] == allowed["from_status"]) & (moves[state] == allowed["to_status"]), "left_anti")
+
+
+def default_rows(templates: DataFrame) -> DataFrame:
+    """The default of a table of templates: the first one marked, else the oldest."""
+    return templates.orderBy(F.desc(F.coalesce("is_default", F.lit(False))), "created_at", "id").limit(1)
+
+
+def with_single_default(templates: DataFrame, chosen: str) -> DataFrame:
+    """One template as the default and no other."""
+    return templates.withColumn("is_default", F.col("id") == chosen)
+
+
+def conversations_of(conversations: DataFrame, chapter: str, section: int | None = None) -> DataFrame:
+    """Conversations of a chapter, oldest first: of one section, or all of them if none is given."""
+    rows = conversations.where(F.col("chapter_summary_id") == chapter)
+    return (rows if section is None else rows.where(F.col("section_index") == section)).orderBy("created_at", "id")
+
+
+def by_key(df: DataFrame, key: str, value: object) -> DataFrame:
+    """The row with a key; the filter reaches the scan."""
+    return df.where(F.col(key) == value).limit(1)

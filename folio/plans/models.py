@@ -20,13 +20,6 @@ def _pages(spark: SparkSession, directory: str) -> DataFrame:
     return R.once(table(spark, directory, "pages"), "id", "project_id", "source_text").where("source_text is not null").withColumnRenamed("id", "page_id")
 
 
-def _terms(spark: SparkSession, directory: str) -> DataFrame:
-    """Terms for all projects as one row; a term counts once, with the first target by alphabet."""
-    rows = table(spark, directory, "glossary_items").where("project_id is null").groupBy(T.strip("source_term").alias("source_term")).agg(F.min(F.struct("target_term", "include_parenthesis_english")).alias("t"))
-    # A hand-written list: one short array.
-    return rows.agg(F.array_sort(F.collect_list(F.struct("source_term", F.col("t.target_term").alias("target_term"), F.col("t.include_parenthesis_english").alias("both")))).alias("terms"))
-
-
 def translation_prompts(spark: SparkSession, directory: str) -> DataFrame:
     pages = _pages(spark, directory)
     projects = table(spark, directory, "projects").select(F.col("id").alias("project_id"), "source_language", "target_language")
@@ -34,8 +27,8 @@ def translation_prompts(spark: SparkSession, directory: str) -> DataFrame:
     system = table(spark, directory, "translation_profiles").select(F.col("id").alias("profile_id"), "system_prompt")
     about = projects.join(resolved, "project_id").join(system, "profile_id", "left")
     context = R.neighbour_context(table(spark, directory, "pages"))
-    joined = pages.join(about, "project_id").join(context, "page_id", "left").crossJoin(_terms(spark, directory))
-    used = F.filter("terms", lambda g: F.contains(F.lower("source_text"), F.lower(g["source_term"])))
+    joined = pages.join(about, "project_id").join(context, "page_id", "left")
+    used = F.filter(Q.terms_of(table(spark, directory, "glossary_items")), lambda g: F.contains(F.lower("source_text"), F.lower(g["source_term"])))
     around = F.concat_ws("\n", "before", "after")
     return joined.select("page_id", Q.translation_prompt(F.col("source_text"), F.col("source_language"), F.col("target_language"), F.col("system_prompt"), used, around).alias("prompt"))
 
@@ -50,13 +43,12 @@ def question_prompts(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def mock_translate(spark: SparkSession, directory: str) -> DataFrame:
-    pages = _pages(spark, directory).crossJoin(_terms(spark, directory))
-    return pages.select("page_id", Q.mock_translation(F.col("source_text"), F.col("terms")).alias("translation"))
+    terms = Q.terms_of(table(spark, directory, "glossary_items"))
+    return _pages(spark, directory).select("page_id", Q.mock_translation(F.col("source_text"), terms).alias("translation"))
 
 
 def translate_pipeline(spark: SparkSession, directory: str) -> DataFrame:
-    pages = _pages(spark, directory).crossJoin(_terms(spark, directory))
-    return Q.translated(pages)
+    return Q.translated(_pages(spark, directory), Q.terms_of(table(spark, directory, "glossary_items")))
 
 
 def section_prompts(spark: SparkSession, directory: str) -> DataFrame:
@@ -115,7 +107,7 @@ QUERIES = {
 
 _S = r"[\s\p{Z}\x1c-\x1f\x{85}]"
 _STRIP = lambda x: f"regexp_replace({x}, '^{_S}+|{_S}+$', '', 'g')"
-_TERMS = f"g AS (SELECT {_STRIP('source_term')} AS s, min({{'t': target_term, 'b': include_parenthesis_english}}) AS x FROM glossary_items WHERE project_id IS NULL GROUP BY 1), gl AS (SELECT list({{'s': s, 't': x.t, 'b': x.b}} ORDER BY s) AS terms FROM g)"
+_TERMS = f"g AS (SELECT {_STRIP('source_term')} AS s, min({{'t': target_term, 'b': include_parenthesis_english}}) AS x FROM glossary_items WHERE project_id IS NULL AND source_term IS NOT NULL GROUP BY 1), gl AS (SELECT list({{'s': s, 't': x.t, 'b': x.b}} ORDER BY s) AS terms FROM g)"
 
 SQL = {
     "question_prompts": f"""

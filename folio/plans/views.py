@@ -229,3 +229,38 @@ SQL = {
         SELECT article_id, status, CASE WHEN status IN (401, 403, 429) OR status >= 500 THEN 'browser' WHEN status >= 400 THEN 'error_status' WHEN title IS NULL THEN 'error_pdf' WHEN title = '' THEN 'error_type' ELSE 'parse' END AS action FROM a""",
     "data_uris": "SELECT DISTINCT article_id, title FROM fetched_articles WHERE title IS NOT NULL",
 }
+
+
+def scalar_families(spark: SparkSession, directory: str) -> DataFrame:
+    """Times, guards, JSON and maps over the projects and pages."""
+    from folio.functions import values as V
+
+    projects = table(spark, directory, "projects")
+    as_json = F.to_json(F.struct("total_pages", "source_type"))
+    lookup = F.create_map(F.lit("PDF"), F.lit("book"), F.lit("ARTICLE"), F.lit("page"))
+    return projects.select(
+        F.col("id").alias("project_id"),
+        V.iso_time("created_at").alias("created"),
+        V.file_stamp("updated_at").alias("stamp"),
+        V.upload_kind("source_pdf_filename").alias("upload"),
+        V.is_export_format(F.lower("source_type")).alias("exportable"),
+        F.get_json_object(as_json, "$.source_type").alias("kind"),
+        F.element_at(lookup, F.col("source_type")).alias("shown_as"),
+        F.round(V.thumbnail_scale(F.col("total_pages") + 500.0), 6).alias("scale"),
+    )
+
+
+def page_formulas(spark: SparkSession, directory: str) -> DataFrame:
+    from folio.functions import values as V
+
+    documents = table(spark, directory, "documents").where("text is not null")
+    return documents.select("doc_id", F.size(V.formulas("text")).alias("formulas"))
+
+
+QUERIES |= {"scalar_families": scalar_families, "page_formulas": page_formulas}
+SQL |= {
+    "scalar_families": """SELECT id AS project_id, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS created, strftime(updated_at, '%Y-%m-%d_%H%M%S') AS stamp,
+        CASE WHEN lower(source_pdf_filename) LIKE '%.pdf' THEN 'book' WHEN lower(source_pdf_filename) LIKE '%.zip' THEN 'backup' END AS upload, false AS exportable, source_type AS kind,
+        CASE source_type WHEN 'PDF' THEN 'book' WHEN 'ARTICLE' THEN 'page' END AS shown_as, CASE WHEN total_pages + 500 > 0 THEN round(300 / (total_pages + 500.0::DOUBLE), 6) END AS scale FROM projects""",
+    "page_formulas": r"SELECT doc_id, len(regexp_extract_all(text, '\$\$[\s\S]+?\$\$|\\\[[\s\S]+?\\\]|\\\([\s\S]+?\\\)|\$[^$\n]+?\$'))::INT AS formulas FROM documents WHERE text IS NOT NULL",
+}

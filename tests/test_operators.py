@@ -133,3 +133,21 @@ def test_schema_is_additive(spark):
     old = spark.createDataFrame([("i", 1)], "id string, extra int")
     made = schemas.with_schema(old, "page_conversations")
     assert made.columns[0] == "id" and "extra" not in made.columns and made.first().question is None
+
+
+def test_defaults_and_lookups(spark):
+    rows = [("a", False, 2, "c", None), ("b", None, 1, "c", 1), ("d", True, 3, "x", 2)]
+    df = spark.createDataFrame(rows, "id string, is_default boolean, created_at int, chapter_summary_id string, section_index int")
+    assert R.default_rows(df).first().id == "d" and R.default_rows(df.where("id <> 'd'")).first().id == "b" and R.default_rows(df.limit(0)).count() == 0
+    assert {r.id for r in R.with_single_default(df, "a").where("is_default").collect()} == {"a"}
+    assert [r.id for r in R.conversations_of(df, "c").collect()] == ["b", "a"] and [r.id for r in R.conversations_of(df, "c", 1).collect()] == ["b"]
+    assert R.by_key(df, "id", "a").count() == 1
+
+
+def test_values(spark):
+    from folio.functions import values as V
+
+    row = spark.createDataFrame([("#000000", "#ffffff", "x.PDF", "p/page_2_img_11.png", "OpenAI ", "a $x$ \\(y\\) $$z$$")], "a string, b string, f string, p string, m string, t string").select(
+        V.contrast("a", "b").alias("c"), V.upload_kind("f").alias("u"), V.image_order("p").alias("o"), V.provider_key("m").alias("k"), V.formulas("t").alias("t")
+    ).first()
+    assert abs(row.c - 21) < 1e-9 and row.u == "book" and tuple(row.o) == (2, 11) and row.k == "openai" and row.t == ["$x$", "\\(y\\)", "$$z$$"]
