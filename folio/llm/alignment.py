@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from folio.llm import bitext
 from folio.llm.bitext import Lexicon, Text
+from folio.llm.store import spread
 
 #: Weight of a shared number or name; words have at most 1, words without a tie hardly any.
 ANCHOR_WEIGHT, UNTIED = 1.5, 0.05
@@ -330,7 +331,7 @@ def align(pages: DataFrame, lexicon: Lexicon, key: str = "id", source: str = "so
                 right += [j for _, j in found]
             yield pa.RecordBatch.from_arrays([pa.array(keys, type=pa.string()), pa.array(left, type=pa.int32()), pa.array(right, type=pa.int32())], names=["page_id", "source_sentence", "target_sentence"])
 
-    cases = pages.where((F.col(source) != "") & (F.col(target) != "")).select(key, source, target)
+    cases = spread(pages.where((F.col(source) != "") & (F.col(target) != "")).select(key, source, target))
     return cases.mapInArrow(run, "page_id string, source_sentence int, target_sentence int").distinct()
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import looks
-from folio.llm.store import written
+from folio.llm.store import spread, written
 
 #: Least number of sentence pairs that hold both words, and least strength of a tie.
 TIE_PAIRS = 3
@@ -188,7 +188,7 @@ def counted(pairs: DataFrame) -> DataFrame:
         if total:
             yield handed()
 
-    return pairs.mapInArrow(run, "e string, f string, n bigint")
+    return spread(pairs).mapInArrow(run, "e string, f string, n bigint")
 
 
 class Lexicon(NamedTuple):

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.store import written
+from folio.llm.store import spread, written
 
 #: Share of all articles in which a sentence must recur to count as the site's, and the least number of articles.
 #: At most 4 * (sentences per article) / RECUR_RATE sentences can recur a quarter as often, which bounds the table that is sent to all tasks.
@@ -182,7 +182,7 @@ def counted(articles: DataFrame, host: str, markdown: str) -> DataFrame:
         if paths or held or texts:
             yield handed()
 
-    return articles.select(host, markdown).mapInArrow(run, "kind string, key bigint, text string, n bigint, chars bigint, marks bigint")
+    return spread(articles.select(host, markdown)).mapInArrow(run, "kind string, key bigint, text string, n bigint, chars bigint, marks bigint")
 
 
 class Model(NamedTuple):
@@ -307,7 +307,7 @@ def not_article(articles: DataFrame, key: str = "article_id", host: str = "host"
     columns are left out. Two passes over the scan; only counts are shuffled.
     """
     model = learned(articles, host, markdown) if model is None else model
-    source = articles.select(F.col(key), host, title, markdown)
+    source = spread(articles.select(F.col(key), host, title, markdown))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,4 +337,4 @@ def main_text(articles: DataFrame, key: str = "article_id", host: str = "host",
                 out.append(re.sub(r"\n{3,}", "\n\n", kept).strip("\n"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, type=pa.string())], names=["article_id", "content"])
 
-    return articles.select(F.col(key), host, title, markdown).mapInArrow(run, "article_id string, content string")
+    return spread(articles.select(F.col(key), host, title, markdown)).mapInArrow(run, "article_id string, content string")

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.store import spread
+
 # Fixed values.
 #: Never seen, whatever the neighbours: soft hyphen, directional and other format characters, variation selectors.
 INVISIBLE = r"\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}\x{E0000}-\x{E0FFF}"
@@ -132,7 +134,7 @@ def with_forms(df: DataFrame, key: str, columns: list[str], where: str = "") ->
     ``where``, a condition in DuckDB's SQL over the forms, drops them); other
     columns are left out. One pass over the scan without a shuffle.
     """
-    source = df.select(F.col(key).alias("k"), *(F.col(c).alias(f"c{n}") for n, c in enumerate(columns)))
+    source = spread(df.select(F.col(key).alias("k"), *(F.col(c).alias(f"c{n}") for n, c in enumerate(columns))))
     names = {f"c{n}": f"f{n}" for n in range(len(columns))}
     sql = f"SELECT k{''.join(f', {n}' for n in names.values())} FROM ({select_sql(['k'], names)})" + (f" WHERE {where}" if where else "")
     out = pa.schema([("k", pa.string()), *((n, pa.string()) for n in names.values())])

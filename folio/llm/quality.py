@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import examples
-from folio.llm.store import bounded_sample
+from folio.llm.store import bounded_sample, spread
 
 #: Documents from which the rule list is fitted, at most; they are labelled by ``examples`` and only fit the thresholds.
 FIT_ROWS = 6000
@@ -103,7 +103,7 @@ def statistics(documents: DataFrame, common: DataFrame, key: str = "doc_id", tex
         raise ValueError("the list of common words must stay below 20,000 words")
     frequent = [r["w"] for r in rows if r["w"]]
     whole = F.coalesce(F.col(text), F.lit(""))
-    based = documents.select(key, whole.alias("t")).withColumn("blank", F.length(F.regexp_replace("t", UNSEEN, "")) == 0)
+    based = spread(documents.select(key, whole.alias("t"))).withColumn("blank", F.length(F.regexp_replace("t", UNSEEN, "")) == 0)
     cut = based.select(
         key,
         "blank",
@@ -240,7 +240,7 @@ def fit(documents: DataFrame, common: DataFrame, rows: int = FIT_ROWS, key: str
         return []
     spark: SparkSession = documents.sparkSession
     made = statistics(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(8), common)
-    values = made.select("doc_id", *NAMES).orderBy("doc_id").collect()
+    values = sorted(made.select("doc_id", *NAMES).collect())
     x = np.array([[float(v) for v in r[1:]] for r in values])
     return induce(x, np.array(labels))
 

@@ -46,3 +46,17 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> list:
     hashed = df.withColumn("_h", F.xxhash64(key).bitwiseAND(F.lit((1 << 63) - 1)))
     found = hashed.where(F.col("_h") < F.lit(min(int(limit), (1 << 63) - 1))).collect()
     return sorted(found, key=lambda r: r["_h"])[:rows]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where a plain scan has fewer partitions than the session has cores, as with one small file.
+
+    Larger inputs have more partitions than that and are left alone, as is
+    anything but a plain scan, so nothing runs and nothing large is shuffled.
+    """
+    spark = df.sparkSession
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan or "Adaptive" in plan or "FileScan" not in plan:
+        return df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

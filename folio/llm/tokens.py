@@ -19,6 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from folio.llm.store import spread
+
 #: Default file; a parameter everywhere. Never copied into the repository.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Words kept between batches by one Python worker before the store starts afresh.
@@ -131,9 +133,9 @@ def encode_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", pa
 
     Empty and null texts give an empty list; text that looks like a special token
     is ordinary text; rows are neither joined nor dropped, so repeated rows give
-    repeated results; other columns are left out. No shuffle: one pass over the scan.
+    repeated results; other columns are left out. One pass over the scan without a shuffle (but see ``store.spread``).
     """
-    source = documents.select(key, text)
+    source = spread(documents.select(key, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path)
@@ -149,7 +151,7 @@ def encode_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", pa
 
 def token_counts(documents: DataFrame, keys: list[str], text: str = "text", path: str = TOKENIZER, name: str = "tokens") -> DataFrame:
     """``keys`` and the number of tokens of every row; 0 for empty and null texts."""
-    source = documents.select(*keys, text)
+    source = spread(documents.select(*keys, text))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1]) + f", `{name}` bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
