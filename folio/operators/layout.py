@@ -146,10 +146,12 @@ def pairwise(items: Column, joins, joined) -> Column:
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
 
     def step(acc: Column, x: Column) -> Column:
-        both = acc["open"].isNotNull() & F.coalesce(joins(acc["open"], x), F.lit(False))
-        return F.struct(
-            F.when(both, F.concat(acc["done"], F.array(joined(acc["open"], x)))).when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))).alias("done"),
-            F.when(both, F.lit(None).cast("string")).otherwise(x).alias("open"),
+        return T.let(
+            acc["open"].isNotNull() & F.coalesce(joins(acc["open"], x), F.lit(False)),
+            lambda both: F.struct(
+                F.when(both, F.concat(acc["done"], F.array(joined(acc["open"], x)))).when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))).alias("done"),
+                F.when(both, F.lit(None).cast("string")).otherwise(x).alias("open"),
+            ),
         )
 
     return F.aggregate(F.transform(items, T.strip), start, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))

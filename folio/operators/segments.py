@@ -117,8 +117,7 @@ def packed_sections(raw: Column) -> Column:
     """Sections joined in order until the next one would exceed TARGET_WORDS and LEAST_WORDS are reached; a last one below TAIL_WORDS joins the one before."""
     start = F.struct(F.array().cast(f"array<{SECTION}>").alias("done"), F.lit(None).cast(SECTION).alias("open"))
 
-    def step(acc: Column, s: Column) -> Column:
-        words = T.word_count(s["text"])
+    def put(acc: Column, s: Column, words: Column) -> Column:
         banner = s["title"].rlike(r"(?i)^(?:chapter|فصل)\s+\p{Nd}+") & (words <= 100)
         titles = F.when(banner, F.array().cast("array<string>")).otherwise(F.array(s["title"]))
         seal = acc["open"].isNotNull() & (acc["open"]["words"] + words > TARGET_WORDS) & (acc["open"]["words"] >= LEAST_WORDS)
@@ -126,6 +125,9 @@ def packed_sections(raw: Column) -> Column:
         grown = F.struct(F.concat(acc["open"]["titles"], titles).alias("titles"), F.concat(acc["open"]["text"], F.lit("\n\n"), s["text"]).alias("text"), (acc["open"]["words"] + words).cast("int").alias("words"))
         return F.struct(F.when(seal, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"), F.when(seal | acc["open"].isNull(), fresh).otherwise(grown).alias("open"))
 
+    def step(acc: Column, s: Column) -> Column:
+        return T.let(T.word_count(s["text"]), lambda words: put(acc, s, words))
+
     def finish(acc: Column) -> Column:
         last = F.element_at(acc["done"], -1)
         merged = F.struct(F.concat(last["titles"], acc["open"]["titles"]).alias("titles"), F.concat(last["text"], F.lit("\n\n"), acc["open"]["text"]).alias("text"), (last["words"] + acc["open"]["words"]).cast("int").alias("words"))
@@ -146,7 +148,7 @@ def chapter_sections(chapters: DataFrame) -> DataFrame:
     """
     ordered = F.array_sort("pages")
     text = F.array_join(F.transform(ordered, lambda p: F.concat(F.lit("<!-- PAGE_"), p["page_number"].cast("string"), F.lit(" -->\n"), F.coalesce(p["text"], F.lit("")))), "\n\n")
-    cut = chapters.select("project_id", "chapter", "start_page", "end_page", packed_sections(raw_sections(text)).alias("s")).select("project_id", "chapter", "start_page", "end_page", F.posexplode("s").alias("k", "s"))
+    cut = chapters.select("project_id", "chapter", "start_page", "end_page", packed_sections(raw_sections(text)).alias("s")).select("project_id", "chapter", "start_page", "end_page", F.posexplode_outer("s").alias("k", "s")).where("k is not null")
     marks = F.transform(F.regexp_extract_all(F.col("s.text"), F.lit(PAGE_MARK), F.lit(1)), lambda m: m.cast("int"))
     first, last = F.coalesce(F.array_min(marks), F.col("start_page")), F.coalesce(F.array_max(marks), F.col("end_page"))
     clean = T.strip(F.regexp_replace("s.text", PAGE_MARK, ""))
