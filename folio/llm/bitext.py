@@ -8,7 +8,6 @@ together far more often than by chance are kept with the strength of their tie.
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from collections import Counter
@@ -209,14 +208,12 @@ def lexicon_of(rows: list[tuple[str, str, float]]) -> Lexicon:
     return Lexicon(forward, backward, {e: max(t.values()) for e, t in forward.items()}, {f: max(t.values()) for f, t in backward.items()})
 
 
-def strength(both: int, e: int, f: int, total: int) -> float:
-    """How firmly two words are tied: the geometric mean of both conditional shares, damped where they meet hardly more often than by chance."""
-    surprise = math.log(both * total / (e * f))
-    return math.sqrt(both / e * both / f) * min(1.0, max(0.0, surprise) / 2.5)
-
-
 def learned(texts: DataFrame, source: str, target: str, glossary: DataFrame | None = None) -> Lexicon:
-    """The lexicon of all rows of ``texts`` with both texts; terms of ``glossary`` (source_term, target_term) are added."""
+    """The lexicon of all rows of ``texts`` with both texts; terms of ``glossary`` (source_term, target_term) are added.
+
+    The strength of a tie is the geometric mean of both conditional shares, damped
+    where the words meet hardly more often than by chance.
+    """
     sums = counted(texts.where((F.col(source) != "") & (F.col(target) != "")).select(source, target)).groupBy("e", "f").agg(F.sum("n").alias("n")).where(F.col("n") >= TIE_PAIRS)
     sums = written(sums, "word-pairs")
     total = (sums.where("e = '' and f = ''").agg(F.sum("n")).first()[0]) or 0

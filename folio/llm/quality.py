@@ -8,7 +8,6 @@ become one CASE expression over the statistics.
 
 from __future__ import annotations
 
-import re
 from typing import NamedTuple
 
 import numpy as np

@@ -234,7 +234,7 @@ def cut(text: str, most: int, overlap: int, first: int = 0) -> list[tuple[int, i
     if not 0 <= overlap < most:
         raise ValueError("the overlap must be smaller than the limit")
     n, found = len(text), []
-    at = places(text) if n - 0 > most else {}
+    at = places(text) if n > most else {}
     start, lead = first, 0
     while True:
         limit = lead + most

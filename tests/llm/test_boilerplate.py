@@ -46,5 +46,5 @@ def test_patterns_are_no_notices():
 
 def test_long_line():
     model = B.Model(frozenset(), frozenset(), frozenset(), 0)
-    assert B.site_lines("x" * 200_000, "h", None, model) == [] or True
+    assert B.site_lines("x" * 200_000, "h", None, model) == []
     assert B.shape_of(B.lines_of("word " * 50_000)[0]).split("/")[3] == "5"
