@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 
 from folio.llm.store import spread, written
 
-#: Share of all articles in which a sentence must recur to count as the site's, and the least number of articles.
+#: Share of all distinct texts in which a sentence must recur to count as the site's, and the least number of texts.
 #: At most 4 * (sentences per article) / RECUR_RATE sentences can recur a quarter as often, which bounds the table that is sent to all tasks.
 RECUR_RATE = 0.001
 RECUR_LEAST = 5
 #: So many recurring sentences that differ in one word mark a pattern of the articles, not of the sites.
 PATTERN_VARIANTS = 6
+#: Share of a text that sentences of few rows must make up to tell it from others; below that it counts as a copy.
+OWN_SHARE = 0.125
 #: Longest sentence that can recur as a notice.
 NOTICE_CHARS = 160
 #: Entries a task holds before it hands its counts on.
@@ -144,45 +146,91 @@ def hashed(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
+def prose_sizes(lines: list[tuple[str, str, list[str]]]) -> dict[int, int]:
+    """Of lines as kind, path and sentences: hashes and lengths of the sentences by which a text is told from others: those of lines like prose, else of all that are no menus."""
+    prose: dict[int, int] = {}
+    other: dict[int, int] = {}
+    for kind, path, parts in lines:
+        if kind == "heading":
+            continue
+        _, _, end, size, share = path.split("/")
+        if share == "all" or end in ("row", "trail"):
+            continue
+        found = prose if (end == "end" or size == "5") and share != "much" else other
+        found.update((hashed(s), len(s)) for s in parts)
+    return prose or other
+
+
+COUNTS = pa.schema([("kind", pa.string()), ("key", pa.int64()), ("text", pa.string()), ("n", pa.int64()), ("chars", pa.int64()), ("marks", pa.int64()), ("keys", pa.list_(pa.int64())), ("prose", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
+
+
 def counted(articles: DataFrame, host: str, markdown: str) -> DataFrame:
-    """``kind`` (path, sentence), ``key``, ``text``, ``n``, ``chars``, ``marks``, summed up inside each task first."""
-    schema = pa.schema([("kind", pa.string()), ("key", pa.int64()), ("text", pa.string()), ("n", pa.int64()), ("chars", pa.int64()), ("marks", pa.int64())])
+    """``kind`` (path, sentence), ``key``, ``text``, ``n``, ``chars``, ``marks``, summed up inside each task first; of kind article a row each: ``keys`` of its sentences, those of its ``prose`` with their ``sizes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paths: dict[str, list[int]] = {}
         held: Counter = Counter()
-        texts = 0
 
-        def handed() -> pa.RecordBatch:
-            rows = [("path", hashed(p), p, *v) for p, v in paths.items()] + [("sentence", hashed(s), s, n, 0, 0) for s, n in held.items()]
-            rows.append(("articles", 0, "", texts, 0, 0))
-            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        def handed(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), COUNTS, strict=True)], schema=COUNTS)
+
+        def sums() -> pa.RecordBatch:
+            return handed([("path", hashed(p), p, *v, None, None, None) for p, v in paths.items()] + [("sentence", hashed(s), s, n, 0, 0, None, None, None) for s, n in held.items()])
 
         for batch in batches:
+            read = []
             for site, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                label, seen = label_of(site), set()
-                texts += 1
+                label, seen, lines = label_of(site), set(), []
                 for line in lines_of(body or ""):
                     if line.kind in ("code", "image", "table"):
                         continue
-                    stats = paths.setdefault(shape_of(line), [0, 0, 0])
+                    lines.append((line.kind, path := shape_of(line), parts := sentences(line, label)))
+                    stats = paths.setdefault(path, [0, 0, 0])
                     shown = LINK.sub(r"\1", line.text)
                     stats[0] += 1
                     stats[1] += len(shown)
                     stats[2] += len(MARKS.findall(shown))
                     # Sentences of paragraphs are counted as well, so that their patterns show.
-                    seen.update(s for s in sentences(line, label) if len(s) <= NOTICE_CHARS)
+                    seen.update(s for s in parts if len(s) <= NOTICE_CHARS)
                     if line.kind == "text" and ":" in line.text and not TERMINAL.search(line.text):
                         seen.add(plain(line.text.split(":", 1)[0], label) + ":")
                 held.update(seen)
+                prose = prose_sizes(lines)
+                read.append(("article", 0, "", 1, 0, 0, list(map(hashed, seen)), list(prose), list(prose.values())))
+            if read:
+                yield handed(read)
             if len(held) > HELD:
-                yield handed()
-                paths, texts = {}, 0
+                yield sums()
+                paths = {}
                 held = Counter()
-        if paths or held or texts:
-            yield handed()
+        if paths or held:
+            yield sums()
+
+    return spread(articles.select(host, markdown)).mapInArrow(run, "kind string, key bigint, text string, n bigint, chars bigint, marks bigint, keys array<bigint>, prose array<bigint>, sizes array<int>")
+
+
+def body_of(keys: list[int], prose: list[int], sizes: list[int], frequent: Set[int]) -> int:
+    """What tells a text from others and is the same in its copies: its longest sentence, of those that stand in few rows if they make up enough of it."""
+    own = [(n, k) for k, n in zip(prose, sizes, strict=True) if k not in frequent]
+    if own and sum(n for n, _ in own) >= OWN_SHARE * sum(sizes):
+        return max(own)[1]
+    return max(zip(sizes, prose, strict=True))[1] if prose else hashed(",".join(map(str, sorted(keys))))
+
+
+def text_counts(rows: DataFrame, frequent: Set[int]) -> DataFrame:
+    """``key``, ``n``: the distinct texts in which each frequent sentence stands; the number of all distinct texts has no key."""
+    shared = rows.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: set[tuple[int | None, int]] = set()
+            for keys, prose, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                body = body_of(keys, prose, sizes, shared.value)
+                found.add((None, body))
+                found.update((k, body) for k in keys if k in shared.value)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], type=pa.int64()) for k in (0, 1)], names=["key", "body"])
 
-    return spread(articles.select(host, markdown)).mapInArrow(run, "kind string, key bigint, text string, n bigint, chars bigint, marks bigint")
+    return rows.select("keys", "prose", "sizes").mapInArrow(run, "key bigint, body bigint").distinct().groupBy("key").agg(F.count("*").alias("n"))
 
 
 class Model(NamedTuple):
@@ -251,17 +299,23 @@ def recurring_sentences(rows: list[tuple[str, int]], least: float) -> list[str]:
 
 
 def learned(articles: DataFrame, host: str = "host", markdown: str = "markdown") -> Model:
-    """Paths and recurring sentences of a whole corpus."""
-    parts = counted(articles, host, markdown)
+    """Paths and recurring sentences of a whole corpus. A text counts once, whatever the number of its copies and the sites they lie on."""
+    parts = written(counted(articles, host, markdown), "line-counts")
+    rows = parts.where("kind = 'article'")
     # Texts of one key are equal, so any of them will do; sums are combined before the shuffle.
-    whole = parts.groupBy("kind", "key").agg(F.first("text").alias("text"), *(F.sum(c).alias(c) for c in ("n", "chars", "marks")))
-    number = F.max(F.when(F.col("kind") == "articles", F.col("n")))
-    whole = written(whole, "line-counts")
-    articles_read = whole.agg(number).first()[0] or 0
-    least, some = max(RECUR_LEAST, RECUR_RATE * articles_read), max(2, RECUR_RATE / 4 * articles_read)
-    kept = whole.where((F.col("kind") == "path") | ((F.col("kind") == "sentence") & (F.col("n") >= some))).select("kind", "text", "n", "chars", "marks").collect()
-    paths = [(r["text"], r["n"], r["chars"], r["marks"]) for r in kept if r["kind"] == "path"]
-    found = recurring_sentences([(r["text"], r["n"]) for r in kept if r["kind"] == "sentence"], least)
+    whole = parts.where("kind <> 'article'").groupBy("kind", "key").agg(F.first("text").alias("text"), *(F.sum(c).alias(c) for c in ("n", "chars", "marks")))
+    paths = [tuple(r) for r in whole.where("kind = 'path'").select("text", "n", "chars", "marks").collect()]
+    texts = rows.count()
+    while True:
+        some = max(2, RECUR_RATE / 4 * texts)
+        known = {r["key"]: r["text"] for r in whole.where((F.col("kind") == "sentence") & (F.col("n") >= some)).select("key", "text").collect()}
+        counts = {r["key"]: r["n"] for r in text_counts(rows, frozenset(known)).collect()}
+        # With many copies there are far fewer texts than rows, and sentences in fewer rows must be looked at.
+        before, texts = texts, counts.pop(None, 0)
+        if before * RECUR_RATE / 4 <= 2 or before <= 4 * texts:
+            break
+    some = max(2, RECUR_RATE / 4 * texts)
+    found = recurring_sentences([(known[k], n) for k, n in counts.items() if n >= some], max(RECUR_LEAST, RECUR_RATE * texts))
     return Model(content_paths(paths), frozenset(map(hashed, found)), frozenset(t.split(" ", 1)[0] for t in found), max((t.count(" ") + 1 for t in found), default=0))
 
 

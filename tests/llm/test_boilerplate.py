@@ -33,6 +33,18 @@ def test_found(spark):
     assert texts["n"] is None and texts["e"] == "" and "cookies" not in texts["1"] and "Back to top" in texts["1"]
 
 
+def test_copies_are_no_notices(spark):
+    rows, truth = made()
+    body = "# Of lanterns\n\nA lantern hangs by the gate. Nobody lights it now.\n\nThe keeper left when the road moved away."
+    notices = ["Write to us about anything you miss here.", "Our shop opens at noon on weekdays.", "All prices hold until the end of May."]
+    copies = [(f"c{k}", f"{'abcdefghij'[k % 10]}mirror.test", "", f"{body}\n\n{notices[k % 3]}" if k % 4 else body) for k in range(40)]
+    df = spark.createDataFrame([*rows, *copies, copies[0]], "article_id string, host string, title string, markdown string")
+    got = {(r.article_id, r.line_no) for r in B.not_article(df).collect()}
+    assert not {(k, no) for k, no in got if k.startswith("c") and no <= 5}
+    assert len({x for x in got if x[0][0] != "c"} & truth) / len(truth) > 0.97
+    assert all("lantern hangs" in r.content for r in B.main_text(df).where("article_id like 'c%'").collect())
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "article_id string, host string, title string, markdown string")
     assert B.not_article(df).count() == 0
