@@ -4,13 +4,13 @@ An item is looked at in ranges. A range is scanned on its own, with a halo of a
 few characters on either side, and gives a fixed-size summary: for each kind of
 unit (block, line, sentence, run without white space) the longest one inside and
 the open ends on both sides. Summaries are stitched by an associative operation,
-so ranges may be scanned by different workers and combined in a tree. Long items
-are cut into segments at the first natural boundary after each multiple of
-``SEGMENT_CHARS``; segments are cut into pieces independently of each other and
-pieces are emitted by offset.
+so ranges may be scanned by different workers and combined in a tree.
 
-Rows of a table are scanned where they lie. Files are scanned by byte range: no
-worker reads more of a file than its range and its halo.
+Rows of a table are scanned and cut where they lie, window by window. Files are
+scanned by byte range: no worker reads more of a file than its range and its halo.
+They are cut into segments at the first natural boundary after each multiple of
+``SEGMENT_CHARS``; an exclusive scan over the boundary table tells each segment
+whether it begins in text or code, so segments are cut independently of each other.
 """
 
 from __future__ import annotations
@@ -24,14 +24,16 @@ from functools import reduce
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folio.llm.store import written
+
 #: Characters (of files: bytes) of a range.
 RANGE_CHARS = 1 << 16
 #: Characters of look-ahead by which the kind of a line is told: a line that opens with more white space counts as text.
 HALO_CHARS = 1 << 12
-#: Characters after which a long item is cut into segments.
+#: Characters of a window of a long item; bytes after which a file is cut into segments.
 SEGMENT_CHARS = 1 << 20
 #: Summaries combined by one task at a time.
 FAN_IN = 512
@@ -202,11 +204,10 @@ def summary_of(text: str, size: int = RANGE_CHARS) -> Summary:
     return reduce(stitch, parts)
 
 
-def places(text: str) -> dict[str, list[int]]:
-    """Positions where a unit of each kind begins (and the one before has ended)."""
-    lines, state, blocks = line_kinds(text, 0, len(text), 0), CLOSED, []
+def places(text: str, first: int = 0, state: int = CLOSED) -> dict[str, list[int]]:
+    """Positions where a unit of each kind begins (and the one before has ended). Blocks and lines are looked for from ``first``, where the block scan is in ``state``."""
+    lines, blocks = line_kinds(text, first, len(text), 0), []
     for at, kind in lines:
-        before = state
         if state == CLOSING:
             state = CLOSED
         if state == FENCE:
@@ -219,8 +220,6 @@ def places(text: str) -> dict[str, list[int]]:
         elif state == CLOSED:
             blocks.append(at)
             state = TEXT
-        elif before == CLOSING:
-            blocks.append(at)
     return {
         "block": blocks,
         "line": [at for at, _ in lines],
@@ -229,18 +228,19 @@ def places(text: str) -> dict[str, list[int]]:
     }
 
 
-def cut(text: str, most: int, overlap: int, first: int = 0) -> list[tuple[int, int, int, str]]:
-    """Pieces of ``text`` as (start with overlap, start, end, kind of place where it ends); ``text[:first]`` is overlap of the first piece."""
+def cut_window(text: str, most: int, overlap: int, first: int = 0, state: int = CLOSED, lead: int = 0, upto: int | None = None) -> tuple[list[tuple[int, int, int, str]], int, int]:
+    """Pieces as of ``cut`` and where the next one begins, with and without overlap. If the text goes on, only pieces whose limit lies before ``upto`` are given."""
     if not 0 <= overlap < most:
         raise ValueError("the overlap must be smaller than the limit")
-    n, found = len(text), []
-    at = places(text) if n > most else {}
-    start, lead = first, 0
+    n, found, start = len(text), [], first
+    at = places(text, first, state) if n > lead + most else {}
     while True:
         limit = lead + most
+        if upto is not None and limit >= upto:
+            return found, lead, start
         if limit >= n:
             found.append((lead, start, n, "end"))
-            return found
+            return found, n, n
         end, level = limit, "none"
         for kind in LEVELS[:-1]:
             k = bisect_right(at[kind], limit) - 1
@@ -260,29 +260,32 @@ def cut(text: str, most: int, overlap: int, first: int = 0) -> list[tuple[int, i
         start = end
 
 
-def segments(text: str, size: int = SEGMENT_CHARS) -> list[int]:
-    """Where the segments of a long item begin: the first block, line, sentence or space after each multiple of ``size``."""
-    starts = [0]
-    for target in range(size, len(text), size):
-        low = max(target, starts[-1] + 1)
-        window = text[low - 1 : low + HALO_CHARS]
-        for pattern in (r"\n[^\S\n]*\n\s*", r"\n", r"(?<=[.!?؟])\s+", r"\s+"):
-            m = re.search(pattern, window)
-            if m and low - 1 + m.end() > starts[-1] and low - 1 + m.end() < len(text):
-                starts.append(low - 1 + m.end())
-                break
-        else:
-            starts.append(low)
-    return starts
+def cut(text: str, most: int, overlap: int, first: int = 0, state: int = CLOSED) -> list[tuple[int, int, int, str]]:
+    """Pieces of ``text`` as (start with overlap, start, end, kind of place where it ends); ``text[:first]`` is overlap of the first piece, ``state`` that of the block scan at ``first``."""
+    return cut_window(text, most, overlap, first, state)[0]
 
 
 def pieces_of(text: str, most: int, overlap: int, size: int = SEGMENT_CHARS) -> Iterator[tuple[int, int, int, str]]:
-    """Pieces of a whole item as (start with overlap, start, end, kind), segment by segment."""
-    starts = segments(text, max(size, 2 * most))
-    for a, b in zip(starts, [*starts[1:], len(text)], strict=True):
-        low = max(0, a - overlap)
-        for lead, start, end, kind in cut(text[low:b], most, overlap, a - low):
-            yield low + lead, low + start, low + end, kind
+    """Pieces of a whole item as (start with overlap, start, end, kind): those of ``cut(text, most, overlap)``, but no more than a window is looked at in one go."""
+    n, lead, start, state = len(text), 0, 0, CLOSED
+    size = max(size, 2 * most)
+    while True:
+        # White space around the window's ends belongs to it, so that places and kinds of lines are those of the whole text.
+        low, high = lead, min(n, lead + size)
+        while low and text[low - 1].isspace():
+            low -= 1
+        low, upto = max(0, low - 1), high
+        while high < n and text[high].isspace():
+            high += 1
+        high = min(n, high + 3)
+        window = text[low:high]
+        found, next_lead, end = cut_window(window, most, overlap, start - low, state, lead - low, None if high == n else upto - low)
+        for a, b, c, kind in found:
+            yield low + a, low + b, low + c, kind
+        if found[-1][3] == "end":
+            return
+        state = scan_blocks(line_kinds(window, start - low, end, 0), state).state
+        lead, start = low + next_lead, low + end
 
 
 def oversized(items: dict[str, DataFrame], limits: DataFrame, keys: dict[str, str]) -> DataFrame:
@@ -448,44 +451,97 @@ def file_cut_places(spark: SparkSession, paths: list[str], most: int, overlap: i
     return whole.mapInArrow(run, "path string, cut_at string")
 
 
+def incoming_states(boundaries: DataFrame, ranges: int) -> DataFrame:
+    """``path``, ``n``, ``state`` of the block scan before each range: an exclusive scan in a tree, so no task combines more than FAN_IN rows of a file."""
+    import pandas as pd
+
+    after = boundaries.select("path", "n", "after")
+    groups = after.groupBy("path", F.expr(f"n div {FAN_IN}").alias("g"))
+    if ranges <= FAN_IN:
+        before = boundaries.select("path", F.lit(0).cast("bigint").alias("g")).distinct().withColumn("entry", F.lit(CLOSED))
+    else:
+
+        def fold(rows: pd.DataFrame) -> pd.DataFrame:
+            whole = reduce(lambda a, b: [b[k] for k in a], rows.sort_values("n")["after"], list(range(4)))
+            return pd.DataFrame({"path": [rows["path"].iloc[0]], "n": [rows["n"].iloc[0] // FAN_IN], "after": [whole]})
+
+        summed = groups.applyInPandas(fold, "path string, n bigint, after array<int>")
+        before = incoming_states(summed, -(-ranges // FAN_IN)).select("path", F.col("n").alias("g"), F.col("state").alias("entry"))
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("n")
+        states = [int(rows["entry"].iloc[0])]
+        for change in rows["after"]:
+            states.append(int(change[states[-1]]))
+        return pd.DataFrame({"path": rows["path"], "n": rows["n"], "state": states[:-1]})
+
+    joined = after.withColumn("g", F.expr(f"n div {FAN_IN}")).join(before, ["path", "g"])
+    return joined.groupBy("path", "g").applyInPandas(walk, "path string, n bigint, state int")
+
+
+def segment_begin(path: str, target: int, total: int, state: int, reach: int) -> tuple[int, str, int]:
+    """Byte of the first place from ``target`` on, its kind and the state of the block scan there; ``state`` is that at ``target``.
+
+    The coarsest kind of place within ``reach`` characters counts.
+    """
+    if target <= 0 or target >= total:
+        return max(0, min(target, total)), "end", state
+    halo, at = read_text(path, max(0, target - 8), min(total, target + 4 * reach + HALO_CHARS))
+    first = len(read_text(path, at, target)[0])
+    found = places(halo, first, state)
+    for level in LEVELS[:-1]:
+        k = bisect_left(found[level], first)
+        if k < len(found[level]) and found[level][k] - first <= reach and (place := at + len(halo[: found[level][k]].encode("utf-8"))) < total:
+            return place, level, scan_blocks(line_kinds(halo, first, found[level][k], 0), state).state
+    return read_text(path, target, min(total, target + 4))[1], "none", state
+
+
 def file_pieces(spark: SparkSession, paths: list[str], most: int, overlap: int, size: int = SEGMENT_CHARS) -> DataFrame:
-    """Pieces of files by offset: ``path``, ``segment``, ``piece_no`` (in its segment), ``byte_start``, ``bytes``, ``chars``, ``cut_at``, ``piece``.
+    """Pieces of files by offset: ``path``, ``segment``, ``piece_no`` (in the file), ``byte_start``, ``bytes``, ``start`` (in characters), ``chars``, ``cut_at``, ``piece``.
 
     A segment begins at the first natural boundary after each multiple of ``size``
     bytes. Its worker finds its own begin and that of the next segment from two
-    halos, so segments need nothing from each other.
+    halos and the states of the block scan before them.
     """
     step = max(size, 8 * most)
-    sized = spark.createDataFrame([(p, os.path.getsize(p)) for p in paths], "path string, bytes bigint")
-    parts = sized.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(bytes - 1) div {step}"))).alias("segment")).repartition(F.col("path"), F.col("segment"))
-
-    def begin(path: str, target: int, total: int) -> int:
-        if target <= 0 or target >= total:
-            return max(0, min(target, total))
-        text, at = read_text(path, target - 4, min(total, target + 4 * HALO_CHARS))
-        for pattern in (r"\n[^\S\n]*\n\s*", r"\n", r"(?<=[.!?؟])\s+", r"\s+"):
-            for m in re.finditer(pattern, text):
-                place = at + len(text[: m.end()].encode("utf-8"))
-                if place >= target and place < total:
-                    return place
-        return read_text(path, target, min(total, target + 4))[1]
+    reach = max(HALO_CHARS, most)
+    sized = spark.createDataFrame([(p, os.path.getsize(p)) for p in paths], "path string, bytes bigint").where("bytes > 0")
+    ranges = max(1, max((-(-os.path.getsize(p) // step) for p in paths), default=1))
+
+    def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            after = [[b.state for b in unpacked(s).blocks] for s in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(after, type=pa.list_(pa.int32()))], names=["path", "n", "after"])
+
+    boundaries = scan_files(spark, paths, step).select("path", "n", "summary").mapInArrow(changes, "path string, n bigint, after array<int>")
+    states = written(incoming_states(written(boundaries, "file-ranges"), ranges), "file-states")
+    following = states.select("path", (F.col("n") - 1).alias("n"), F.col("state").alias("next"))
+    parts = states.join(following, ["path", "n"], "left").join(sized, "path").select("path", "bytes", F.col("n").alias("segment"), "state", F.coalesce("next", F.lit(CLOSED)).alias("next"))
+    parts = parts.repartition(F.col("path"), F.col("segment"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["path", "segment", "piece_no", "byte_start", "bytes", "chars", "cut_at", "piece"]
+        names = ["path", "segment", "piece_no", "byte_start", "bytes", "start", "chars", "cut_at", "piece", "segment_chars"]
         for batch in batches:
-            for path, total, segment in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a, b = begin(path, segment * step, total), begin(path, (segment + 1) * step, total)
+            for path, total, segment, state, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a, _, state = segment_begin(path, segment * step, total, state, reach)
+                b, level, _ = segment_begin(path, (segment + 1) * step, total, after, reach)
                 if b <= a:
                     continue
                 text, _ = read_text(path, a, b)
                 before = read_text(path, max(0, a - 4 * overlap), a)[0][-overlap:] if overlap and a else ""
                 whole, rows = before + text, []
                 origin, offset, place = a - len(before.encode("utf-8")), 0, 0
-                for k, (lead, _, end, kind) in enumerate(cut(whole, most, overlap, len(before))):
+                for k, (lead, _, end, kind) in enumerate(cut(whole, most, overlap, len(before), state)):
                     offset += len(whole[place:lead].encode("utf-8"))
                     place = lead
                     piece = whole[lead:end]
-                    rows.append((path, segment, k, origin + offset, len(piece.encode("utf-8")), len(piece), kind, piece))
+                    rows.append((path, segment, k, origin + offset, len(piece.encode("utf-8")), lead - len(before), len(piece), level if kind == "end" else kind, piece, len(text)))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=names)
 
-    return parts.mapInArrow(run, "path string, segment bigint, piece_no bigint, byte_start bigint, bytes bigint, chars bigint, cut_at string, piece string")
+    found = written(parts.mapInArrow(run, "path string, segment bigint, piece_no bigint, byte_start bigint, bytes bigint, start bigint, chars bigint, cut_at string, piece string, segment_chars bigint"), "file-pieces")
+    # One row per segment: a prefix sum of pieces and characters before it.
+    earlier = Window.partitionBy("path").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    counts = found.groupBy("path", "segment").agg(F.count("*").alias("n"), F.first("segment_chars").alias("m"))
+    before = counts.select("path", "segment", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("n", "m")))
+    moved_on = {"piece_no": F.col("piece_no") + F.col("n_before"), "start": F.col("start") + F.col("m_before")}
+    return found.join(before, ["path", "segment"]).withColumns(moved_on).select("path", "segment", "piece_no", "byte_start", "bytes", "start", "chars", "cut_at", "piece")

@@ -52,6 +52,34 @@ def test_pieces(text, limits, size):
     assert end == len(text)
 
 
+@settings(max_examples=500, deadline=None)
+@given(PARTS.map(lambda t: t * 3), st.sampled_from([(5, 2), (9, 0), (12, 5)]), st.sampled_from([1, 30, 70]))
+def test_long_items_are_cut_like_short_ones(text, limits, size):
+    assert list(S.pieces_of(text, *limits, size)) == S.cut(text, *limits)
+
+
+def test_file_segments_know_code(spark, tmp_path):
+    text = "".join(f"Prose number {k}.\n\n```\n" + "code\n\nmore سلام\n\n" * 12 + "```\n\n" for k in range(120))
+    path = tmp_path / "long.md"
+    path.write_text(text, encoding="utf-8")
+    rows = S.file_pieces(spark, [str(path)], 600, 50, size=5000).orderBy("piece_no").collect()
+    blocks = {*S.places(text)["block"]}
+    assert [r.piece_no for r in rows] == list(range(len(rows))) and len({r.segment for r in rows}) > 5
+    for r in rows:
+        assert text[r.start : r.start + r.chars] == r.piece
+        assert r.cut_at == ("end" if r is rows[-1] else "block") and (r is rows[-1] or r.start + r.chars in blocks)
+
+
+def test_states_before_ranges(spark, monkeypatch):
+    monkeypatch.setattr(S, "FAN_IN", 3)
+    changes = [[(s * (k + 1) + k) % 4 for s in range(4)] for k in range(20)]
+    found = S.incoming_states(spark.createDataFrame([("p", k, c) for k, c in enumerate(changes)], "path string, n bigint, after array<int>"), 20)
+    want = [S.CLOSED]
+    for c in changes:
+        want.append(c[want[-1]])
+    assert [r.state for r in found.orderBy("n").collect()] == want[:-1]
+
+
 def test_rows(spark):
     limits = spark.createDataFrame([("pages", "source_text", 20, 5), ("other", "x", 1, 0)], "item_table string, field_name string, max_chars int, overlap_chars int")
     rows = [("a", "para one.\n\npara two is.\n\nthree"), ("a", "para one.\n\npara two is.\n\nthree"), ("b", "x" * 50), ("c", None), ("d", ""), ("e", "short"), ("f", "one two three four five six seven")]
