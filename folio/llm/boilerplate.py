@@ -161,11 +161,11 @@ def prose_sizes(lines: list[tuple[str, str, list[str]]]) -> dict[int, int]:
     return prose or other
 
 
-COUNTS = pa.schema([("kind", pa.string()), ("key", pa.int64()), ("text", pa.string()), ("n", pa.int64()), ("chars", pa.int64()), ("marks", pa.int64()), ("keys", pa.list_(pa.int64())), ("prose", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
+COUNTS = pa.schema([("kind", pa.string()), ("key", pa.int64()), ("text", pa.string()), ("n", pa.int64()), ("chars", pa.int64()), ("marks", pa.int64()), ("keys", pa.list_(pa.int64())), ("prose", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("host", pa.string())])
 
 
 def counted(articles: DataFrame, host: str, markdown: str) -> DataFrame:
-    """``kind`` (path, sentence), ``key``, ``text``, ``n``, ``chars``, ``marks``, summed up inside each task first; of kind article a row each: ``keys`` of its sentences, those of its ``prose`` with their ``sizes``."""
+    """``kind`` (path, sentence), ``key``, ``text``, ``n``, ``chars``, ``marks``, summed up inside each task first; of kind article a row each: ``keys`` of its sentences, those of its ``prose`` with their ``sizes``, and its ``host``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paths: dict[str, list[int]] = {}
@@ -175,7 +175,7 @@ def counted(articles: DataFrame, host: str, markdown: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), COUNTS, strict=True)], schema=COUNTS)
 
         def sums() -> pa.RecordBatch:
-            return handed([("path", hashed(p), p, *v, None, None, None) for p, v in paths.items()] + [("sentence", hashed(s), s, n, 0, 0, None, None, None) for s, n in held.items()])
+            return handed([("path", hashed(p), p, *v, None, None, None, None) for p, v in paths.items()] + [("sentence", hashed(s), s, n, 0, 0, None, None, None, None) for s, n in held.items()])
 
         for batch in batches:
             read = []
@@ -196,7 +196,7 @@ def counted(articles: DataFrame, host: str, markdown: str) -> DataFrame:
                         seen.add(plain(line.text.split(":", 1)[0], label) + ":")
                 held.update(seen)
                 prose = prose_sizes(lines)
-                read.append(("article", 0, "", 1, 0, 0, list(map(hashed, seen)), list(prose), list(prose.values())))
+                read.append(("article", 0, "", 1, 0, 0, list(map(hashed, seen)), list(prose), list(prose.values()), site))
             if read:
                 yield handed(read)
             if len(held) > HELD:
@@ -206,7 +206,7 @@ def counted(articles: DataFrame, host: str, markdown: str) -> DataFrame:
         if paths or held:
             yield sums()
 
-    return spread(articles.select(host, markdown)).mapInArrow(run, "kind string, key bigint, text string, n bigint, chars bigint, marks bigint, keys array<bigint>, prose array<bigint>, sizes array<int>")
+    return spread(articles.select(host, markdown)).mapInArrow(run, "kind string, key bigint, text string, n bigint, chars bigint, marks bigint, keys array<bigint>, prose array<bigint>, sizes array<int>, host string")
 
 
 def body_of(keys: list[int], prose: list[int], sizes: list[int], frequent: Set[int]) -> int:
@@ -217,29 +217,41 @@ def body_of(keys: list[int], prose: list[int], sizes: list[int], frequent: Set[i
     return max(zip(sizes, prose, strict=True))[1] if prose else hashed(",".join(map(str, sorted(keys))))
 
 
-def text_counts(rows: DataFrame, frequent: Set[int]) -> DataFrame:
-    """``key``, ``n``: the distinct texts in which each frequent sentence stands; the number of all distinct texts has no key."""
+def text_counts(rows: DataFrame, frequent: Set[int], own: DataFrame) -> DataFrame:
+    """``host``, ``key``, ``n``: the distinct texts, of all hosts (null) and of each, in which each frequent sentence stands; the number of all distinct texts has no key.
+
+    ``own``: ``host``, ``frequent``, the keys of sentences frequent on one host.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: set[tuple[int | None, int]] = set()
-            for keys, prose, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                body = body_of(keys, prose, sizes, shared.value)
-                found.add((None, body))
-                found.update((k, body) for k in keys if k in shared.value)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], type=pa.int64()) for k in (0, 1)], names=["key", "body"])
-
-    return rows.select("keys", "prose", "sizes").mapInArrow(run, "key bigint, body bigint").distinct().groupBy("key").agg(F.count("*").alias("n"))
+            found: set[tuple[str | None, int | None, int]] = set()
+            sites: dict[str | None, Set[int]] = {None: frozenset()}
+            for k, (keys, prose, sizes, site) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True)):
+                if site not in sites:
+                    sites[site] = frozenset(batch.column(4)[k].as_py() or ())
+                here = sites[site]
+                known = {x for x in (*keys, *prose) if x in here or x in shared.value}
+                body = body_of(keys, prose, sizes, known)
+                found.add((None, None, body))
+                found.update((None, x, body) for x in keys if x in shared.value)
+                if site is not None:
+                    found.add((site, None, body))
+                    found.update((site, x, body) for x in keys if x in here)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], type=t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["host", "key", "body"])
+
+    return rows.select("keys", "prose", "sizes", "host").join(own, "host", "left").select("keys", "prose", "sizes", "host", "frequent").mapInArrow(run, "host string, key bigint, body bigint").distinct().groupBy("host", "key").agg(F.count("*").alias("n"))
 
 
 class Model(NamedTuple):
-    """Paths of content; hashes of recurring sentences, their first words and the most words one has."""
+    """Paths of content; hashes of recurring sentences, their first words and the most words one has; the same of single hosts as a table."""
 
     content: frozenset[str]
     recurring: frozenset[int]
     starts: frozenset[str]
     most: int
+    sites: DataFrame | None = None
 
 
 def otsu(values: list[tuple[float, float]]) -> float:
@@ -305,18 +317,71 @@ def learned(articles: DataFrame, host: str = "host", markdown: str = "markdown")
     # Texts of one key are equal, so any of them will do; sums are combined before the shuffle.
     whole = parts.where("kind <> 'article'").groupBy("kind", "key").agg(F.first("text").alias("text"), *(F.sum(c).alias(c) for c in ("n", "chars", "marks")))
     paths = [tuple(r) for r in whole.where("kind = 'path'").select("text", "n", "chars", "marks").collect()]
+    sizes = rows.groupBy("host").agg(F.count("*").alias("size")).where("host is not null")
+    per_host = written(rows.where("host is not null").select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where("n >= 2"), "host-counts")
     texts = rows.count()
     while True:
         some = max(2, RECUR_RATE / 4 * texts)
         known = {r["key"]: r["text"] for r in whole.where((F.col("kind") == "sentence") & (F.col("n") >= some)).select("key", "text").collect()}
-        counts = {r["key"]: r["n"] for r in text_counts(rows, frozenset(known)).collect()}
+        least_here = F.greatest(F.lit(float(RECUR_LEAST)), F.lit(RECUR_RATE / 4) * F.col("size"))
+        own = per_host.join(sizes, "host").where(F.col("n") >= least_here).groupBy("host").agg(F.collect_list("key").alias("frequent"))
+        every = written(text_counts(rows, frozenset(known), own), "text-counts")
+        counts = {r["key"]: r["n"] for r in every.where("host is null").collect()}
         # With many copies there are far fewer texts than rows, and sentences in fewer rows must be looked at.
         before, texts = texts, counts.pop(None, 0)
-        if before * RECUR_RATE / 4 <= 2 or before <= 4 * texts:
+        fewer = every.where("host is not null and key is null").select("host", F.col("n").alias("texts"))
+        copied = sizes.join(fewer, "host").where((F.col("size") * RECUR_RATE / 4 > RECUR_LEAST) & (F.col("size") > 4 * F.col("texts")))
+        sizes = fewer.withColumnRenamed("texts", "size")
+        if (before * RECUR_RATE / 4 <= 2 or before <= 4 * texts) and copied.isEmpty():
             break
     some = max(2, RECUR_RATE / 4 * texts)
     found = recurring_sentences([(known[k], n) for k, n in counts.items() if n >= some], max(RECUR_LEAST, RECUR_RATE * texts))
-    return Model(content_paths(paths), frozenset(map(hashed, found)), frozenset(t.split(" ", 1)[0] for t in found), max((t.count(" ") + 1 for t in found), default=0))
+    recurring = frozenset(map(hashed, found))
+    sites = host_sentences(per_host, whole, every.where("host is not null and key is not null"), sizes, recurring)
+    return Model(content_paths(paths), recurring, frozenset(t.split(" ", 1)[0] for t in found), max((t.count(" ") + 1 for t in found), default=0), written(sites, "host-sentences"))
+
+
+def host_sentences(per_host: DataFrame, whole: DataFrame, counts: DataFrame, sizes: DataFrame, recurring: Set[int]) -> DataFrame:
+    """``host``, ``keys``, ``starts``, ``most`` of the sentences that recur on a host, as a table: there may be as many as hosts have notices.
+
+    ``recurring`` are those that recur in the corpus anyway.
+    """
+    import pandas as pd
+
+    rows = per_host.join(sizes, "host").where(F.col("n") >= F.greatest(F.lit(2.0), F.lit(RECUR_RATE / 4) * F.col("size")))
+    rows = rows.join(whole.where("kind = 'sentence'").select("key", "text"), "key").join(counts.withColumnRenamed("n", "texts"), ["host", "key"], "left")
+    shape = "host string, keys array<bigint>, starts array<string>, most int"
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        # Sentences in too few texts serve only to show patterns.
+        part = part.fillna({"texts": 0})
+        found = [t for t in recurring_sentences(list(zip(part["text"], part["texts"], strict=True)), max(RECUR_LEAST, RECUR_RATE * part["size"].iloc[0])) if hashed(t) not in recurring]
+        row = (part["host"].iloc[0], [hashed(t) for t in found], sorted({t.split(" ", 1)[0] for t in found}), max((t.count(" ") + 1 for t in found), default=0))
+        return pd.DataFrame([row] if found else [], columns=["host", "keys", "starts", "most"], dtype=object)
+
+    return rows.select("host", "text", "texts", "size").groupBy("host").applyInPandas(fold, shape)
+
+
+def with_sites(source: DataFrame, model: Model) -> DataFrame:
+    """``source`` with ``_keys``, ``_starts``, ``_most``: the sentences of the host in its second column."""
+    if model.sites is None:
+        return source.withColumns({"_keys": F.lit(None).cast("array<bigint>"), "_starts": F.lit(None).cast("array<string>"), "_most": F.lit(None).cast("int")})
+    host = source.columns[1]
+    sites = model.sites.select(F.col("host").alias("_host"), F.col("keys").alias("_keys"), F.col("starts").alias("_starts"), F.col("most").alias("_most"))
+    return source.join(sites, source[host] == sites["_host"], "left").drop("_host")
+
+
+class Sites:
+    """The model as it is for each host of a batch as of ``with_sites``."""
+
+    def __init__(self, model: Model, batch: pa.RecordBatch) -> None:
+        self.model, self.columns, self.held = model, batch.columns[-3:], {}
+
+    def at(self, row: int, host: str | None) -> Model:
+        if host not in self.held:
+            keys, starts, most = (c[row].as_py() for c in self.columns)
+            self.held[host] = self.model if not keys else self.model._replace(recurring=self.model.recurring | set(keys), starts=self.model.starts | set(starts), most=max(self.model.most, most))
+        return self.held[host]
 
 
 def is_recurring(sentence: str, model: Model) -> bool:
@@ -361,13 +426,14 @@ def not_article(articles: DataFrame, key: str = "article_id", host: str = "host"
     columns are left out. Two passes over the scan; only counts are shuffled.
     """
     model = learned(articles, host, markdown) if model is None else model
-    source = spread(articles.select(F.col(key), host, title, markdown))
+    source = with_sites(spread(articles.select(F.col(key), host, title, markdown)), model)
+    model = model._replace(sites=None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, numbers = [], []
-            for k, site, name, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = site_lines(body or "", site, name, model)
+            keys, numbers, sites = [], [], Sites(model, batch)
+            for n, (k, site, name, body) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True)):
+                found = site_lines(body or "", site, name, sites.at(n, site))
                 keys += [k] * len(found)
                 numbers += found
             yield pa.RecordBatch.from_arrays([pa.array(keys, type=pa.string()), pa.array(numbers, type=pa.int32())], names=["article_id", "line_no"])
@@ -378,17 +444,19 @@ def not_article(articles: DataFrame, key: str = "article_id", host: str = "host"
 def main_text(articles: DataFrame, key: str = "article_id", host: str = "host", markdown: str = "markdown", title: str = "title", model: Model | None = None) -> DataFrame:
     """``article_id``, ``content``: the Markdown without the lines of the site, runs of blank lines closed up. Null stays null; rows are kept as they are."""
     model = learned(articles, host, markdown) if model is None else model
+    source = with_sites(spread(articles.select(F.col(key), host, title, markdown)), model)
+    model = model._replace(sites=None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for site, name, body in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            out, sites = [], Sites(model, batch)
+            for n, (site, name, body) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:4]), strict=True)):
                 if body is None:
                     out.append(None)
                     continue
-                drop = set(site_lines(body, site, name, model))
+                drop = set(site_lines(body, site, name, sites.at(n, site)))
                 kept = "\n".join(x for no, x in enumerate(body.split("\n"), 1) if no not in drop)
                 out.append(re.sub(r"\n{3,}", "\n\n", kept).strip("\n"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, type=pa.string())], names=["article_id", "content"])
 
-    return spread(articles.select(F.col(key), host, title, markdown)).mapInArrow(run, "article_id string, content string")
+    return source.mapInArrow(run, "article_id string, content string")

@@ -45,6 +45,18 @@ def test_copies_are_no_notices(spark):
     assert all("lantern hangs" in r.content for r in B.main_text(df).where("article_id like 'c%'").collect())
 
 
+def test_notices_of_one_host(spark, monkeypatch):
+    monkeypatch.setattr(B, "RECUR_RATE", 0.1)
+    rows, truth = made(90)
+    notice = "Letters reach us through the side door."
+    small = [(f"s{k}", "smallsite.test", "", f"{rows[k][3]}\n\n{notice}") for k in range(6)]
+    rows = [r for r in rows[6:]]
+    df = spark.createDataFrame([*rows, *small], "article_id string, host string, title string, markdown string")
+    got = {(r.article_id, r.line_no) for r in B.not_article(df).collect()}
+    assert {(k, text.count("\n") + 1) for k, _, _, text in small} <= got
+    assert all(notice not in r.content for r in B.main_text(df).where("article_id like 's%'").collect())
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "article_id string, host string, title string, markdown string")
     assert B.not_article(df).count() == 0
