@@ -13,7 +13,7 @@ IMAGE = r"!\[[\s\S]*?\]\([^\n]*?\)"
 DEFAULT_ALT = "Figure/Diagram"
 TAIL_TITLES = ("Summary", rf"Chapter[{WS}]+Summary", rf"Concluding[{WS}]+Remarks", "Conclusion", rf"In[{WS}]+Summary", "References", "Bibliography", rf"Further[{WS}]+Reading", rf"Works[{WS}]+Cited", rf"Suggested[{WS}]+Reading",
                rf"خلاصه[{WS}]+فصل", "خلاصه", "جمع‌بندی", "نتیجه‌گیری", "منابع", "مراجع")
-CANNED = ("بله", "آماده‌ام", "آماده ام", "آمادهام", "ارسال کنید", "بفرستید", "متن بخش بعدی", "در خدمتم", "رویکرد", "بخش موردنظر", "متن را ارسال")
+CANNED = rf"بله|آماده[‌{WS}]?ام|ارسال کنید|بفرستید|متن بخش بعدی|در خدمتم|رویکرد|بخش موردنظر|متن را ارسال"
 CANNED_BELOW = 320
 MARKED = r"\p{L}\p{N}_"
 
@@ -81,7 +81,7 @@ def image_place(url: Column | str) -> Column:
 def is_canned(x: Column | str) -> Column:
     """A short answer that only acknowledges."""
     c = strip(x)
-    return F.coalesce((F.length(c) < CANNED_BELOW) & c.rlike("|".join(CANNED)), F.lit(False))
+    return F.coalesce((F.length(c) < CANNED_BELOW) & c.rlike(CANNED), F.lit(False))
 
 
 def without_tail(x: Column | str) -> Column:
@@ -91,25 +91,25 @@ def without_tail(x: Column | str) -> Column:
 
 
 def clean_alt(x: Column | str) -> Column:
-    """Alternative text on one line without brackets, 150 characters at most, a default if nothing is left."""
-    plain = strip(F.regexp_replace(F.regexp_replace(col(x), r"[\[\]\n\r\t]+", " "), rf"[{WS}]{{2,}}", " "))
+    """Alternative text on one line without brackets and parentheses, 150 characters at most, a default if nothing is left."""
+    plain = strip(F.regexp_replace(F.regexp_replace(col(x), r"[\[\]()\n\r\t]+", " "), rf"[{WS}]{{2,}}", " "))
     return F.coalesce(F.nullif(F.substring(plain, 1, 150), F.lit("")), F.lit(DEFAULT_ALT))
 
 
+#: Where a srcset is cut, and what one unit of each descriptor is worth; a candidate without one is worth 1 (fixed values).
+SOURCE_CUT = r"(?<=[0-9][wx]),\s*|,\s+"
+DESCRIPTORS = {"w": 1.0, "x": 1000.0}
+
+
 def best_source(srcset: Column | str) -> Column:
     """The candidate of a srcset with the largest descriptor: widths as they are, densities as thousands, none as 1; the first wins ties."""
-    parts = F.filter(F.transform(F.split(col(srcset), r"(?<=[0-9][wx]),|,\s+"), strip), lambda p: F.length(p) > 0)
-    scored = F.transform(
-        parts,
-        lambda p, k: F.struct(
-            F.when(p.rlike(r"\s[0-9.]+w$"), F.regexp_extract(p, r"\s([0-9.]+)w$", 1).cast("double"))
-            .when(p.rlike(r"\s[0-9.]+x$"), F.regexp_extract(p, r"\s([0-9.]+)x$", 1).cast("double") * 1000)
-            .otherwise(F.lit(1.0))
-            .alias("score"),
-            (-k).alias("k"),
-            F.regexp_extract(p, r"^(\S+)", 1).alias("url"),
-        ),
-    )
+    parts = F.filter(F.transform(F.split(col(srcset), SOURCE_CUT), strip), lambda p: F.length(p) > 0)
+
+    def score(p: Column) -> Column:
+        value = lambda unit: F.regexp_extract(p, rf"\s([0-9.]+){unit}$", 1).try_cast("double")
+        return F.coalesce(*(value(unit) * worth for unit, worth in DESCRIPTORS.items()), F.lit(1.0))
+
+    scored = F.transform(parts, lambda p, k: F.struct(score(p).alias("score"), (-k).alias("k"), F.regexp_extract(p, r"^(\S+)", 1).alias("url")))
     return F.array_max(scored)["url"]
 
 

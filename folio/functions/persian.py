@@ -99,7 +99,8 @@ def composed(texts: pd.Series) -> pd.Series:
 def composed_where_needed(x: Column | str) -> Column:
     """NFC for texts with a combining mark; others are composed already and stay out of Python."""
     c = col(x)
-    return F.when(c.rlike(r"\p{M}"), composed(c)).otherwise(c)
+    # Spark calls the function for all rows whatever the branch, so the others are sent as null.
+    return F.coalesce(composed(F.when(c.rlike(r"\p{M}"), c)), c)
 
 
 #: Steps of the clean-up in their order; each relies on the ones before.

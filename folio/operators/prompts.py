@@ -154,7 +154,7 @@ def translated(pages: DataFrame, terms: Column, clean: bool = True) -> DataFrame
     masked = masked.select("page_id", "code", M.blocks("m", M.IMAGE).alias("tags"), M.masked_images("m").alias("m"))
     said = masked.select("page_id", "code", "tags", mock_translation(F.col("m"), terms).alias("m"))
     back = said.select("page_id", "code", M.unmasked("m", F.col("tags"), "IMAGE_BLOCK").alias("m")).select("page_id", M.unmasked("m", F.col("code"), "CODE_BLOCK").alias("m"))
-    done = back.select("page_id", (repair.clean_markdown("m") if clean else F.col("m")).alias("translation"), F.lit(True).alias("asked"))
+    done = (repair.clean_markdown(back, "m") if clean else back).select("page_id", F.col("m").alias("translation"), F.lit(True).alias("asked"))
     return passed.unionByName(done)
 
 

@@ -74,7 +74,7 @@ def chapter_question_texts(spark: SparkSession, directory: str) -> DataFrame:
 
 def cleaned_markdown(spark: SparkSession, directory: str) -> DataFrame:
     pages = R.once(table(spark, directory, "pages"), "id", "latest_translation").where("latest_translation is not null")
-    return pages.select(F.col("id").alias("page_id"), repair.clean_markdown("latest_translation").alias("text"))
+    return repair.clean_markdown(pages.select(F.col("id").alias("page_id"), F.col("latest_translation").alias("text")), "text")
 
 
 def repaired_markdown(spark: SparkSession, directory: str) -> DataFrame:

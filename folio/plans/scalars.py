@@ -188,7 +188,7 @@ SQL = {
         SELECT id AS page_id, CASE WHEN length(shown) > 120 THEN left(shown, 120) || '...' ELSE shown END AS preview, coalesce({_STRIP('source_text')} <> '', false) AS has_text,
                coalesce(len(regexp_extract_all(coalesce(shown, nullif(source_text, '')), '[^{S[1:-1]}]+')), 0)::INT AS words, {_STRIP("regexp_replace(source_text, '\\r\\n?', chr(10), 'g')")} AS clean_source,
                shown IS NOT NULL AS readable, '/api/projects/' || project_id || '/pages/' || page_number || '/image' AS image_url, CASE WHEN page_number > 1 THEN page_number - 1 END AS previous_page FROM q""",
-    "canned_answers": rf"""SELECT DISTINCT id AS conversation_id, coalesce(length({_STRIP('answer')}) < 320 AND regexp_matches(answer, '{'|'.join(M.CANNED)}'), false) AS canned,
+    "canned_answers": rf"""SELECT DISTINCT id AS conversation_id, coalesce(length({_STRIP('answer')}) < 320 AND regexp_matches(answer, '{M.CANNED.replace(T.WS, S[1:-1])}'), false) AS canned,
         {_STRIP("regexp_replace(answer, '(?i)</?(?:source_document|translation)>', '', 'g')")} AS answer FROM page_conversations""",
     "without_tails": f"""WITH a AS (SELECT DISTINCT article_id, markdown FROM fetched_articles)
         SELECT article_id, {_TAIL("(markdown || chr(10) || chr(10) || '[1] a 2001' || chr(10) || '[2] b 2002' || chr(10) || '[3] c 2003' || chr(10))")} AS body, {_TAIL("(markdown || chr(10) || '## References' || chr(10) || 'x' || chr(10))")} AS before_references FROM a""",
@@ -196,7 +196,7 @@ SQL = {
         WITH a AS (SELECT DISTINCT article_id, title, final_url FROM fetched_articles), b AS (SELECT *, coalesce(nullif({_STRIP('title')}, ''), final_url) AS shown_title FROM a)
         SELECT article_id, coalesce(regexp_matches(final_url, '(?i)^https?://\S+$'), false) AS valid, coalesce(regexp_matches(final_url, '^https?://[^/?#:]+'), false) AS fetchable,
                left(regexp_replace(shown_title, '[^\p{{L}}\p{{N}}_\-]', '_', 'g'), 40) AS file_name, shown_title,
-               coalesce(nullif(left({_STRIP(f"regexp_replace(regexp_replace(title, '[\\[\\]\\n\\r\\t]+', ' ', 'g'), '{S}{{2,}}', ' ', 'g')")}, 150), ''), 'Figure/Diagram') AS alt FROM b""",
+               coalesce(nullif(left({_STRIP(f"regexp_replace(regexp_replace(title, '[\\[\\]()\\n\\r\\t]+', ' ', 'g'), '{S}{{2,}}', ' ', 'g')")}, 150), ''), 'Figure/Diagram') AS alt FROM b""",
     "image_tags": r"""
         WITH p AS (SELECT DISTINCT id, source_text FROM pages WHERE source_text <> ''),
         t AS (SELECT id, regexp_extract_all(source_text, '!\[[\s\S]*?\]\([^\n]*?\)') AS tags FROM p),

@@ -126,7 +126,7 @@ def pages_docx(pages: DataFrame) -> DataFrame:
     """``page_id``, ``content`` (a Word document) of (page_id, page_number, text); the text is cleaned once before. Null numbers count as 0."""
     from folio.functions import repair
 
-    clean = pages.select("page_id", F.coalesce("page_number", F.lit(0)).alias("page_number"), repair.clean_markdown(F.coalesce("text", F.lit(""))).alias("text"))
+    clean = repair.clean_markdown(pages.select("page_id", F.coalesce("page_number", F.lit(0)).alias("page_number"), F.coalesce("text", F.lit("")).alias("text")), "text")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -11,6 +11,10 @@ from folio.functions import text as T
 Z = "‌"
 
 
+def cleaned(spark, text):
+    return R.clean_markdown(spark.createDataFrame([(text,)], "t string"), "t").first().t
+
+
 def value(spark, column, text, kind="string"):
     return spark.createDataFrame([(text,)], f"t {kind}").select(column(F.col("t")).alias("r")).first()[0]
 
@@ -55,7 +59,7 @@ def test_function(spark, function, text, expected):
     assert value(spark, function, text) == expected
 
 
-@pytest.mark.parametrize("function", [P.clean_prose, P.persian_digits, T.strip, M.masked_code, M.without_tail, R.clean_markdown, R.emphasis])
+@pytest.mark.parametrize("function", [P.clean_prose, P.persian_digits, T.strip, M.masked_code, M.without_tail, R.clean_around_shields, R.emphasis])
 def test_null_and_empty(spark, function):
     assert value(spark, function, None) is None
     assert value(spark, function, "") == ""
@@ -70,36 +74,74 @@ def test_masks_round_trip(spark):
     assert value(spark, M.only_code_or_media, "```\nx\n```\n![a](b)\n---\n12.")
 
 
-def test_emphasis():
-    assert R.emphasis_text("**foo: **bar") == "**foo:** bar"
-    assert R.emphasis_text("**عنوان :**متن") == "**عنوان:** متن"
-    assert R.emphasis_text(f"**a**{Z}b") == "**a** b"
-    assert R.emphasis_text("**a**-b") == "**a** - b"
-    assert R.emphasis_text("-   x") == "- x"
-    assert R.emphasis_text("** **") == "** **"
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("**foo: **bar", "**foo:** bar"),
+        ("**عنوان :**متن", "**عنوان:** متن"),
+        (f"**a**{Z}b", "**a** b"),
+        ("**a**-b", "**a** - b"),
+        ("-   x", "- x"),
+        ("** **", "** **"),
+        ("** **bold**", "** **bold**"),
+        ("***a***", "***a***"),
+        ("**a **- **b **- **c **- d", "**a** - **b** - **c** - d"),
+        ("x ** y** z", "x  **y** z"),
+        ("**Log : **داده", "**Log:** داده"),
+        ("- **A:** b (**C**) d", "- **A:** b (**C**) d"),
+        ("**one: **\n**two**", "**one:**\n**two**"),
+        ("**one: **", "**one:** "),
+        ("__a __b", "__a __b"),
+        ("__a __ b", "__a__ b"),
+        ("my__name__x", "my__name__x"),
+        ("**a", "**a"),
+        ("**a** *b* **c**d", "**a** *b* **c**d"),
+    ],
+)
+def test_emphasis(spark, text, expected):
+    assert R.emphasis_text(text) == expected
+    assert value(spark, R.emphasis, text) == expected
 
 
-def test_clean_markdown_keeps_code_and_addresses():
+def test_clean_markdown_keeps_code_and_addresses(spark):
     text = "می رود `a,b` [x](http://h/a?b=1;c) $x;y$ &amp; <b>\n\n```py\nx = a ? b;\n```\n1. یک"
-    clean = R.clean_text(text)
+    clean = cleaned(spark, text)
     for kept in ("`a,b`", "(http://h/a?b=1;c)", "$x;y$", "&amp;", "<b>", "```py\nx = a ? b;\n```"):
         assert kept in clean
     assert f"می{Z}رود" in clean and "۱. یک" in clean
     # A formula inside inline code is protected once and comes back whole.
-    assert R.clean_text("`$x$; a` ?") == "`$x$; a`؟"
+    assert cleaned(spark, "`$x$; a` ?") == "`$x$; a`؟"
+    # Characters of private use are text like any other.
+    assert cleaned(spark, "a \ue0005\ue001 `b` \ue000 ?") == "a \ue0005\ue001 `b` \ue000؟"
 
 
-def test_native_and_batched_prose_agree(spark, data):
-    rows = spark.read.parquet(f"{data}/pages.parquet").where("latest_translation is not null").select(F.translate("latest_translation", Z, " ").alias("t"))
-    found = rows.select("t", P.clean_prose(P.composed_where_needed("t")).alias("native")).collect()
-    assert found and all(R.prose_text(r.t) == r.native for r in found)
+def test_clean_markdown_of_a_whole_page(spark):
+    page = "# فصل 1 : مقدمه ای بر سیستم ها\nدر این فصل ، ما می دانیم که سیستم ها کار می کنند .\nبه عنوان مثال \"مقیاس\" مهم است .\n\n1. مورد: کتاب ها\n2. مورد: بزرگ تر\n\n```python\nx=1, y=\"test\"?\n```\n\n$E = m, c = 2$ و:\n$$\nx_i = y, z\n$$\n\n[[CODE_BLOCK_0]] [سند](https://example.com/api?id=12,34) ![نمودار](/api/1)"
+    clean = cleaned(spark, page)
+    for part in (f"سیستم{Z}ها", f"می{Z}دانیم", f"کار می{Z}کنند.", f"به{Z}عنوان مثال", "«مقیاس»", f"۱. مورد: کتاب{Z}ها", f"۲. مورد: بزرگ{Z}تر", 'x=1, y="test"?', "$E = m, c = 2$", "x_i = y, z", "[[CODE_BLOCK_0]]", "https://example.com/api?id=12,34", "![نمودار](/api/1)"):
+        assert part in clean, part
+    assert "**Embedding مناسب نیست:** این" in cleaned(spark, "**Embedding مناسب نیست: ** این")
 
 
 def test_restoring():
     source = "![a](u1)\n\ntext\n\n```py\nx\n```"
     assert R.code_back("see [[ CODE\\_BLOCK\\_۰ ]] end", source) == "see ```py\nx\n``` end"
+    assert R.code_back("see [CODE BLOCK 0], not [[CODE_BLOCK_7]]\n\nx", source) == "see ```py\nx\n```, not x"
+    assert R.code_back("[[کد ۰]]", source) == R.code_back("CODE_BLOCK_0", source) == "```py\nx\n```"
     assert R.code_back("lost", source).endswith("```py\nx\n```")
     assert R.images_back("متن", source).startswith("![a](u1)")
     assert R.images_back("[[IMAGE_BLOCK_0]] x [[IMAGE_BLOCK_7]]", source) == "![a](u1) x"
+    assert R.images_back("a\n\nFigure/Diagram\n\nb", source) == "a\n\n![a](u1)\n\nb"
+    assert R.images_back("a ![تصویر ۱](x) b", source) == "a ![a](u1) b"
+    two = "text ![a](u1)\n\n![b](u2)"
+    assert R.images_back("![Image 2] [[IMAGE_BLOCK_۰]]", two) == "![b](u2) ![a](u1)"
+    assert R.images_back("x\n\n## شکل 3\n\ny", two) == "x\n\n![a](u1)\n\n![b](u2)\n\n## شکل 3\n\ny"
+    assert R.images_back("lost", "long text before it ![a](u)") == "lost\n\n![a](u)"
+    assert R.images_back("lost", "no image") == "lost" and R.images_back("", source) == "![a](u1)"
     assert R.answer_images("[[IMAGE_BLOCK_۰]][[IMAGE_BLOCK_9]]", source) == "![a](u1)"
     assert R.tidy_fences("```py\n\nx  \n\n\n\ny\n\n```") == "```py\nx\n\ny\n```"
+
+
+def test_canned_answers(spark):
+    assert value(spark, M.is_canned, "آماده ام") and value(spark, M.is_canned, f"آماده{Z}ام") and value(spark, M.is_canned, "آماده\u00a0ام")
+    assert not value(spark, M.is_canned, "یادداشت") and not value(spark, M.is_canned, "بله " * 100)
