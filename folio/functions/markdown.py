@@ -114,8 +114,8 @@ def best_source(srcset: Column | str) -> Column:
 
 
 def safe_name(title: Column | str, most: int = 40) -> Column:
-    """A title as part of a file name."""
-    return F.substring(F.regexp_replace(col(title), rf"[^\p{{L}}\p{{N}}_\-]", "_"), 1, most)
+    """A title as part of a file name: characters that file systems refuse, and blanks, as underscores."""
+    return F.substring(F.regexp_replace(col(title), r'[\\/*?:"<>| ]', "_"), 1, most)
 
 
 def is_web_address(x: Column | str) -> Column:

@@ -191,7 +191,8 @@ def tidied(x: Column) -> Column:
 
 
 def page_markdown(spans: DataFrame) -> DataFrame:
-    """``page_id`` and ``markdown`` of every page with at least one span that stays."""
+    """``page_id`` and ``markdown`` of every page with at least one span that stays. Spans are brought together by page once; all that follows stays in place."""
+    spans = spans.repartition("page_id")
     rows = with_blocks(lines(spans))
     parts = prose(kinds(rows, body_sizes(spans))).unionByName(code(rows))
     gathered = parts.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("y0", "sort", "block_no", "para", "n", "text"))).alias("p"))

@@ -14,32 +14,33 @@ from folio.functions import repair
 from folio.functions import text as T
 from folio.schemas import NOTES
 
-# Wording of the prompt.
+# Wording of the prompts.
 GLOSSARY_HEAD = "### واژه‌نامه تخصصی (Glossary) که باید رعایت شود:"
 CONTEXT_HEAD = "### بافت و زمینه صفحات قبلی:"
 SOURCE_LABEL, TARGET_LABEL = "زبان مبدأ: ", "زبان مقصد: "
+SOURCE_HEAD = "متن ورودی جهت ترجمه:"
+CLOSING = "ترجمه نهایی (فقط متن ترجمه شده را با همان ساختار دقیق مارک‌داون، حفظ کامل تگ‌های تصاویر و حفظ ۱۰۰٪ دست‌نخورده کدهای درون ``` خروجی دهید. بدون هیچ‌گونه مقدمه، نتیجه‌گیری یا توضیحات اضافی):"
+BOUNDARY_HEAD = "Adjacent Page Boundary Context:"
+BEFORE, AFTER = ("- Previous page ends with: '... ", "'"), ("- Next page starts with: '", " ...'")
+BOUNDARY_RULE = "Rule: If a sentence is split across page boundaries, ensure the translation maintains natural Persian fluency without leaving meaningless incomplete fragments. Translate ONLY the current page's content."
+CODE_RULE = (
+    "قانون حیاتی برای بلوک‌های کد:\n"
+    "تگ‌های [[CODE_BLOCK_0]]، [[CODE_BLOCK_1]] و غیره جایگاه بلوک‌های کد برنامه‌نویسی هستند. این تگ‌ها را دقیقاً با همان فرمت و بدون هیچ‌گونه ترجمه، تغییر، جا‌به‌جایی یا حذف، در همان موقعیت میان پاراگراف‌ها قرار دهید."
+)
+IMAGE_RULE = (
+    "قانون حیاتی برای تصاویر، نمودارها و دیاگرام‌ها:\n"
+    "تگ‌های [[IMAGE_BLOCK_0]]، [[IMAGE_BLOCK_1]] و غیره جایگاه تصاویر، دیاگرام‌ها و نمودارهای صفحه هستند. این تگ‌ها را دقیقاً با همان فرمت و بدون هیچ‌گونه ترجمه، تغییر، جا‌به‌جایی یا حذف، دقیقاً در همان موقعیت میان پاراگراف‌ها یا بالای عناوین شکل‌ها حفظ کنید."
+)
+INSTRUCTIONS = "Additional Instructions: "
+HISTORY_HEAD = "تاریخچه گفتگوی قبلی در این صفحه:"
+FOLLOW_UP_HEAD = "تاریخچه گفتگوی قبلی در این صفحه (پاسخ باید در ادامه گفتگوی قبلی باشد):"
+QUOTED_SELECTION = r'(?:\n|^)[^\n]*?(?:متن مورد سوال|کد یا متن مورد سوال)[^\n]*?\n*"""\s*\{selected_text\}\s*"""\n*'
 MOCK_PREFIX, MOCK_SUFFIX = "ترجمه روان: ", " (ترجمه)"
+PASSED_THROUGH = "INSTANT_PASSTHROUGH (Code/Media Only)"
 PERSIAN_NAMES = ("persian", "farsi", "فارسی")
 NO_TEXT = "array<struct<source_term:string,target_term:string,both:boolean>>"
 
 
-#: Terms that may become a constant of a plan.
-MOST_TERMS = 10_000
-
-
-def terms_of(glossary: DataFrame) -> Column:
-    """The terms for all projects as a constant array (source_term, target_term, both); a term counts once, with the first target by alphabet.
-
-    A glossary is written by people; beyond MOST_TERMS it is refused rather than
-    sent along with every plan.
-    """
-    rows = glossary.where("project_id is null").groupBy(T.strip("source_term").alias("s")).agg(F.min(F.struct("target_term", "include_parenthesis_english")).alias("t")).where("s <> ''").limit(MOST_TERMS + 1).collect()
-    if len(rows) > MOST_TERMS:
-        raise ValueError(f"a glossary may have {MOST_TERMS} terms for all projects at most")
-    made = [F.struct(F.lit(r["s"]).alias("source_term"), F.lit(r["t"][0]).cast("string").alias("target_term"), F.lit(r["t"][1]).cast("boolean").alias("both")) for r in sorted(rows, key=lambda r: r["s"])]
-    return F.array(*made).cast(NO_TEXT)
-
-
 def glossary_section(terms: Column) -> Column:
     """Rules of a glossary (array of source_term, target_term, both), one per line; null without any."""
     line = lambda g: F.concat(
@@ -48,21 +49,27 @@ def glossary_section(terms: Column) -> Column:
     return F.when(F.size(terms) > 0, F.concat(F.lit(f"{GLOSSARY_HEAD}\n"), F.array_join(F.transform(terms, line), "\n")))
 
 
+def context_notes(before: Column, after: Column, has_code: Column, has_images: Column, instructions: Column | None = None) -> Column:
+    """What a model is told besides the text: the ends of the neighbouring pages, rules for tokens where there are any, further instructions; '' if nothing."""
+    ends = F.concat_ws("\n", *(F.when(T.filled(x).isNotNull(), F.concat(F.lit(a), x, F.lit(b))) for x, (a, b) in ((before, BEFORE), (after, AFTER))))
+    boundary = F.when(ends != "", F.concat(F.lit(f"{BOUNDARY_HEAD}\n"), ends, F.lit(f"\n{BOUNDARY_RULE}"))).otherwise("")
+    rules = [F.when(has_code, f"\n\n{CODE_RULE}").otherwise(""), F.when(has_images, f"\n\n{IMAGE_RULE}").otherwise("")]
+    more = [F.when(T.filled(instructions).isNotNull(), F.concat(F.lit(f"\n\n{INSTRUCTIONS}"), instructions)).otherwise("")] if instructions is not None else []
+    return F.concat(boundary, *rules, *more)
+
+
 def translation_prompt(source: Column, source_language: Column, target_language: Column, system: Column, terms: Column | None = None, context: Column | None = None) -> Column:
-    """The request for a translation: system text, languages, glossary, context and the source between tags; without a system text the source alone."""
-    head = T.unix_lines(F.coalesce(system, F.lit("")))
-    body = T.unix_lines(F.coalesce(source, F.lit("")))
-    section = glossary_section(terms) if terms is not None else F.lit(None).cast("string")
-    around = T.filled(T.unix_lines(context)) if context is not None else F.lit(None).cast("string")
-    parts = F.concat_ws(
-        "\n\n",
-        head,
-        F.concat(F.lit(SOURCE_LABEL), source_language, F.lit(f"\n{TARGET_LABEL}"), target_language),
-        section,
-        F.when(around.isNotNull(), F.concat(F.lit(f"{CONTEXT_HEAD}\n"), around)),
-        F.concat(F.lit("<source_document>\n"), body, F.lit("\n</source_document>")),
-    )
-    return F.when(head == "", body).otherwise(parts)
+    """The request for a translation: system text, languages, glossary, context, the source between tags, and what is wanted; without a system text the source alone. Null counts as ''."""
+    head, body = (T.unix_lines(F.coalesce(x, F.lit(""))) for x in (system, source))
+    none = F.lit(None).cast("string")
+    opened = lambda x: F.coalesce(F.concat(F.lit("\n\n"), x), F.lit(""))
+    around = T.filled(context) if context is not None else none
+    section = opened(glossary_section(terms) if terms is not None else none)
+    notes = opened(F.concat(F.lit(f"{CONTEXT_HEAD}\n"), T.unix_lines(around)))
+    languages = (F.coalesce(x, F.lit("")) for x in (source_language, target_language))
+    first, second = languages
+    parts = (head, F.lit(f"\n\n{SOURCE_LABEL}"), first, F.lit(f"\n{TARGET_LABEL}"), second, F.lit("\n"), section, F.lit("\n"), notes, F.lit(f"\n\n{SOURCE_HEAD}\n<source_document>\n"), body, F.lit(f"\n</source_document>\n\n{CLOSING}\n"))
+    return F.when(head == "", body).otherwise(F.concat(*parts))
 
 
 def filled_template(template: Column, values: list[tuple[str, Column]]) -> Column:
@@ -73,10 +80,12 @@ def filled_template(template: Column, values: list[tuple[str, Column]]) -> Colum
 
 
 def question_prompt(template: Column, page_text: Column, selected: Column, question: Column, history: Column) -> Column:
-    """The request for an answer about a page: the filled template and the turns before. Follow-ups without a selection lose the template's quotation of it."""
-    quoted = F.when(T.has_text(selected), template).otherwise(F.regexp_replace(template, r"(?m)^.*\{selected_text\}.*\n?", ""))
-    body = filled_template(quoted, [("selected_text", selected), ("page_text", page_text), ("question", question)])
-    return F.when(F.size(history) > 0, F.concat(F.array_join(history, "\n\n"), F.lit("\n\n"), body)).otherwise(body)
+    """The request for an answer about a page: the filled template, with the turns before as a part of the page's text. Without a selection the template loses its quotation of it."""
+    chosen = T.strip(F.coalesce(selected, F.lit("")))
+    head = F.when(chosen != "", HISTORY_HEAD).otherwise(FOLLOW_UP_HEAD)
+    turns = F.when(F.size(history) > 0, F.concat(F.lit("\n\n"), head, F.lit('\n"""\n'), F.array_join(history, "\n\n"), F.lit('\n"""'))).otherwise("")
+    quoted = F.when(chosen != "", template).otherwise(F.regexp_replace(template, f"(?i){QUOTED_SELECTION}", "\n"))
+    return filled_template(quoted, [("selected_text", chosen), ("page_text", F.concat(F.coalesce(page_text, F.lit("")), turns)), ("question", T.strip(question))])
 
 
 def section_prompt(template: Column, chapter: Column, section: Column, first: Column, last: Column, text: Column) -> Column:
@@ -128,7 +137,10 @@ def answered(df: DataFrame, prompt: str, provider: Callable[[], Provider], name:
 
 
 def mock_translation(text: Column, terms: Column) -> Column:
-    """A stand-in for a model, line by line: headings get a suffix, other lines a prefix and the glossary's terms; blank lines and lines that are only a placeholder stay."""
+    """A stand-in for a model, line by line: headings get a suffix, other lines a prefix and the glossary's terms; blank lines and lines that are only a placeholder stay.
+
+    ``terms`` are best those that the text holds (``glossary.with_terms``), as each line looks for all of them.
+    """
 
     def with_terms(line: Column) -> Column:
         return F.aggregate(
@@ -146,16 +158,25 @@ def mock_translation(text: Column, terms: Column) -> Column:
     return F.array_join(F.transform(F.split(T.strip(text), "\n"), put), "\n")
 
 
-def translated(pages: DataFrame, terms: Column, clean: bool = True) -> DataFrame:
-    """``page_id``, ``translation``, ``asked`` of (``page_id``, ``source_text``): pages of only code or images pass through, others are masked, translated by the stand-in, restored and cleaned."""
-    rows = pages.select("page_id", "source_text", M.only_code_or_media("source_text").alias("media"))
-    passed = rows.where("media").select("page_id", F.col("source_text").alias("translation"), F.lit(False).alias("asked"))
-    masked = rows.where(~F.col("media")).select("page_id", M.blocks("source_text", M.FENCED).alias("code"), M.masked_code("source_text").alias("m"))
-    masked = masked.select("page_id", "code", M.blocks("m", M.IMAGE).alias("tags"), M.masked_images("m").alias("m"))
-    said = masked.select("page_id", "code", "tags", mock_translation(F.col("m"), terms).alias("m"))
-    back = said.select("page_id", "code", M.unmasked("m", F.col("tags"), "IMAGE_BLOCK").alias("m")).select("page_id", M.unmasked("m", F.col("code"), "CODE_BLOCK").alias("m"))
-    done = (repair.clean_markdown(back, "m") if clean else back).select("page_id", F.col("m").alias("translation"), F.lit(True).alias("asked"))
-    return passed.unionByName(done)
+def translated(pages: DataFrame, clean: bool = True) -> DataFrame:
+    """``page_id``, ``translation``, ``asked`` of (``page_id``, ``source_text``, ``terms``): pages of only code or images pass through, others are masked, translated by the stand-in, restored and cleaned."""
+    rows = pages.select("page_id", "source_text", "terms", M.only_code_or_media("source_text").alias("media"))
+    masked = rows.withColumn("code", M.blocks("source_text", M.FENCED)).withColumn("coded", M.masked_code("source_text"))
+    masked = masked.withColumn("tags", M.blocks("coded", M.IMAGE)).withColumn("m", F.when(~F.col("media"), M.masked_images("coded")))
+    said = masked.withColumn("m", mock_translation(F.col("m"), F.col("terms")))
+    back = repair.blocks_back(repair.blocks_back(said, "m", "tags", "coded", "IMAGE"), "m", "code", "source_text", "CODE")
+    done = repair.clean_markdown(back, "m") if clean else back
+    return done.select("page_id", F.when(F.col("media"), T.strip("source_text")).otherwise(F.col("m")).alias("translation"), (~F.col("media")).alias("asked"))
+
+
+def attempts(made: DataFrame, earlier: DataFrame, provider: str, model: str) -> DataFrame:
+    """Rows for the attempts that translations (``page_id``, ``translation``, ``asked``) are: numbered after the ``earlier`` ones of their page, not approved."""
+    counts = earlier.select("id", "page_id").distinct().groupBy("page_id").agg(F.count("*").alias("n"))
+    asked = lambda a, b: F.when(F.col("asked"), a).otherwise(b)
+    return made.join(counts, "page_id", "left").select(
+        "page_id", (F.coalesce("n", F.lit(0)) + 1).cast("int").alias("version_number"), asked(provider, PASSED_THROUGH).alias("provider_name"), asked(model, "N/A").alias("model_name"),
+        F.col("translation").alias("raw_response"), F.col("translation").alias("edited_text"), F.lit(False).alias("is_approved"),
+    )
 
 
 # Notes of chapters.

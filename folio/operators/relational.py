@@ -8,8 +8,6 @@ optimizer's own size check; nothing is broadcast by hand.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,7 +17,10 @@ from folio.functions import text as T
 # Fixed values.
 STATES = ("PENDING", "READY", "APPROVED_FOR_TRANSLATION", "TRANSLATING", "TRANSLATED", "IN_REVIEW", "APPROVED", "EXPORTED", "FAILED")
 CONTEXT_CHARS = 160
-HISTORY_TURNS = 4
+HISTORY_TURNS, QUOTED_CHARS = 4, 60
+
+#: Page numbers in which pages and ranges of pages meet.
+RANGE_PAGES = 64
 
 
 def once(df: DataFrame, *columns: str) -> DataFrame:
@@ -80,18 +81,26 @@ def neighbour_context(pages: DataFrame) -> DataFrame:
 
 
 def conversation_history(conversations: DataFrame) -> DataFrame:
-    """The up to HISTORY_TURNS turns before each turn of a page, oldest first."""
-    rows = once(conversations, "id", "project_id", "page_number", "question", "answer", "created_at")
+    """The up to HISTORY_TURNS turns before each turn of a page, oldest first: question, start of the text it quotes, answer. Turns without a question or answer are left out."""
+    rows = once(conversations, "id", "project_id", "page_number", "selected_text", "question", "answer", "created_at")
     order = W.partitionBy("project_id", "page_number").orderBy("created_at", "id").rowsBetween(-HISTORY_TURNS, -1)
-    return rows.select(F.col("id").alias("conversation_id"), F.collect_list(F.concat(F.lit("Q: "), "question", F.lit("\nA: "), "answer")).over(order).alias("history"))
+    quote = F.when(T.filled("selected_text").isNotNull(), F.concat(F.lit(" (نقل‌قول مربوطه: «"), F.substring("selected_text", 1, QUOTED_CHARS), F.lit("...»)"))).otherwise("")
+    turn = F.concat(F.lit("کاربر: "), "question", quote, F.lit("\nپاسخ دستیار: "), "answer")
+    return rows.select(F.col("id").alias("conversation_id"), F.collect_list(turn).over(order).alias("history"))
 
 
-def pages_of_ranges(ranges: DataFrame, pages: DataFrame) -> DataFrame:
-    """Pages whose number lies in a range of their project. The project is the hash key; the range is checked on its pairs."""
-    rows = once(pages, "id", "project_id", "page_number")
-    return ranges.join(rows, (ranges["project_id"] == rows["project_id"]) & rows["page_number"].between(ranges["start_page"], ranges["end_page"])).select(
-        ranges["project_id"], "chapter", "start_page", "end_page", rows["id"].alias("page_id"), "page_number"
-    )
+def pages_of_ranges(ranges: DataFrame, pages: DataFrame, *columns: str) -> DataFrame:
+    """Pages (and ``columns`` of them) whose number lies in a range of their project; ranges may overlap.
+
+    Pages and ranges meet in buckets of RANGE_PAGES numbers, so a project that holds
+    many rows is spread over many tasks, and only ranges and pages of one bucket are
+    compared. Null numbers and empty ranges give nothing; pages of one number all count.
+    """
+    bucket = lambda c: F.expr(f"cast(floor({c} / {RANGE_PAGES}) as int)")
+    rows = once(pages, "id", "project_id", "page_number", *columns).where("page_number is not null").withColumn("_bucket", bucket("page_number")).withColumnRenamed("project_id", "_project")
+    parts = ranges.where("start_page <= end_page").withColumn("_bucket", F.explode(F.sequence(bucket("start_page"), bucket("end_page"))))
+    meet = (parts["project_id"] == rows["_project"]) & (parts["_bucket"] == rows["_bucket"]) & rows["page_number"].between(parts["start_page"], parts["end_page"])
+    return parts.join(rows, meet).select("project_id", "chapter", "start_page", "end_page", rows["id"].alias("page_id"), "page_number", *columns)
 
 
 def range_is_valid(start: Column, end: Column, total: Column) -> Column:
@@ -129,22 +138,6 @@ def rebased_paths(pages: DataFrame, root: str) -> DataFrame:
     )
 
 
-def glossary_hits(lines: DataFrame, glossary: DataFrame, block: int = 500) -> DataFrame:
-    """Glossary terms that occur anywhere in a line, ignoring case: ``key``, ``term``.
-
-    The glossary is a query set written by people; its terms go through the lines
-    in blocks of ``block``, each a constant array inside one scan, so no line is
-    ever joined or shuffled. Null lines hold no term.
-    """
-    terms = sorted({t for r in glossary.select(T.strip("source_term").alias("t")).distinct().toLocalIterator() if (t := r["t"])})
-    parts = []
-    for k in range(0, max(1, len(terms)), block):
-        held = F.array(*(F.lit(t) for t in terms[k : k + block])).cast("array<string>")
-        found = F.filter(held, lambda t: F.contains(F.lower("line"), F.lower(t)))
-        parts.append(lines.where("line is not null").select("key", F.explode(found).alias("term")))
-    return reduce(DataFrame.unionByName, parts)
-
-
 def changed_states(events: DataFrame, allowed: DataFrame, key: str = "page_id", state: str = "status", order: tuple[str, ...] = ("at", "event_id")) -> DataFrame:
     """Changes of state of each key that no rule allows; staying in a state is always allowed."""
     before = F.lag(state).over(W.partitionBy(key).orderBy(*order))

@@ -153,7 +153,7 @@ def chapter_sections(chapters: DataFrame) -> DataFrame:
     first, last = F.coalesce(F.array_min(marks), F.col("start_page")), F.coalesce(F.array_max(marks), F.col("end_page"))
     clean = T.strip(F.regexp_replace("s.text", PAGE_MARK, ""))
     return cut.select(
-        "project_id", "chapter", (F.col("k") + 1).alias("section"), M.section_title(F.col("s.titles"), first, last).alias("title"), first.alias("first_page"), last.alias("last_page"), T.word_count(clean).alias("words"), clean.alias("text")
+        "project_id", "chapter", "start_page", (F.col("k") + 1).alias("section"), M.section_title(F.col("s.titles"), first, last).alias("title"), first.alias("first_page"), last.alias("last_page"), T.word_count(clean).alias("words"), clean.alias("text")
     )
 
 
@@ -234,12 +234,18 @@ def stitched_books(pages: DataFrame) -> DataFrame:
 
 
 def stitched_single(pages: DataFrame) -> DataFrame:
-    """Each page joined with its raw neighbours only: it loses what the page before takes and gains from the page after. Runs page by page, without a fold."""
-    order = W.partitionBy("project_id").orderBy("page_number")
+    """Each page (``project_id``, ``page_number``, ``text``) joined with its raw neighbours only: it loses what the page before takes and gains from the page after.
+
+    Runs page by page, without a fold; windows see flags and first sentences only.
+    A page number stands for one page.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = pages.withColumn("before", T.strip(F.lag(text).over(order))).withColumn("after", T.strip(F.lead(text).over(order)))
-    lost = moved_sentence(F.coalesce("before", F.lit("")), T.strip(text))
-    own = F.when(lost.isNotNull(), T.strip(F.substring(T.strip(text), F.length(lost) + 1, F.length(text)))).otherwise(text)
-    rows = rows.withColumn("own", own)
-    gained = moved_sentence(T.strip("own"), F.coalesce("after", F.lit("")))
-    return rows.select("project_id", "page_number", F.when(gained.isNotNull(), F.concat(T.strip("own"), F.lit(" "), T.strip(gained))).otherwise(F.col("own")).alias("text"))
+    read = pages.select("project_id", "page_number", text.alias("text"), T.strip(text).alias("s")).withColumn("head", offered(F.col("s")))
+    order = W.partitionBy("project_id").orderBy("page_number")
+    small = read.select("project_id", "page_number", takes(F.col("s")).alias("takes"), "head")
+    near = small.select("project_id", "page_number", F.coalesce(F.lag("takes").over(order), F.lit(False)).alias("taken"), F.lead("head").over(order).alias("next"))
+    joined = read.join(near, ["project_id", "page_number"])
+    own = F.when(F.col("taken") & F.col("head").isNotNull(), T.strip(F.substring("s", F.length("head") + 1, F.length("s")))).otherwise(F.col("text"))
+    kept = joined.withColumn("own", own)
+    gains = takes(T.strip("own")) & F.col("next").isNotNull()
+    return kept.select("project_id", "page_number", F.when(gains, F.concat(T.strip("own"), F.lit(" "), T.strip("next"))).otherwise(F.col("own")).alias("text"))

@@ -11,7 +11,6 @@ from folio import sinks
 from folio.functions import text as T
 from folio.operators import html as H
 from folio.operators import relational as R
-from folio.plans.segmenting import chapter_sections
 from folio.plans.views import SQL as VIEWS
 from folio.plans.views import _STRIP, _events
 from folio.runtime import shared_folder, table
@@ -61,13 +60,6 @@ def book_exports(spark: SparkSession, directory: str) -> DataFrame:
     return sinks.books(table(spark, directory, "projects"), _best_pages(spark, directory))
 
 
-def note_exports(spark: SparkSession, directory: str) -> DataFrame:
-    sections = chapter_sections(spark, directory)
-    note = F.struct(F.col("section").alias("section_index"), F.col("title").alias("section_title"), F.substring("text", 1, 80).alias("note"))
-    kept = sections.groupBy("project_id", "chapter").agg(F.to_json(F.array_sort(F.collect_list(note))).alias("notes"), F.min("first_page").alias("first"), F.max("last_page").alias("last"))
-    return kept.select("project_id", sinks.notes_file_name(F.col("first"), F.col("last"), F.col("chapter"), "md").alias("file"), sinks.notes_markdown(F.col("chapter"), F.col("notes")).alias("markdown"))
-
-
 def page_documents(spark: SparkSession, directory: str) -> DataFrame:
     made = sinks.pages_docx(_best_pages(spark, directory).select(F.col("id").alias("page_id"), "page_number", "text"))
     return made.select("page_id", F.length("content").alias("bytes"), F.sha2("content", 256).alias("digest"))
@@ -104,7 +96,6 @@ QUERIES = {
     "link_density": link_density,
     "page_exports": page_exports,
     "book_exports": book_exports,
-    "note_exports": note_exports,
     "page_documents": page_documents,
     "book_documents": book_documents,
     "backups": backups,

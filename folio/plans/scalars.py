@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folio.functions import markdown as M
 from folio.functions import persian as P
 from folio.functions import text as T
+from folio.plans import prose_sql
 from folio.runtime import table
 
 # Classes for the SQL side, whose engine knows Unicode classes but no lookaround.
@@ -66,6 +67,12 @@ def masks(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def media_only_sql(x: str) -> str:
+    """Whether nothing is left of a text without code, images, rules, digits and punctuation."""
+    left = rf"regexp_replace(regexp_replace(regexp_replace({x}, '```[a-zA-Z0-9_-]*\n[\s\S]*?```', '', 'g'), '!\[[^\]]*\]\([^)]+\)', '', 'g'), '(?m)^[ \t]*[-*_]{{3,}}[ \t]*$', '', 'g')"
+    return rf"""length(regexp_replace({left}, '[\s\p{{Z}}\x1c-\x1f\x{{85}}\p{{Nd}}.,:;!?"''()\[\]{{}}\-_/\\|><+=*&^%$#@~`]+', '', 'g')) = 0"""
+
+
 MASKS_SQL = r"""
     WITH p AS (SELECT DISTINCT id AS page_id, source_text AS t FROM pages WHERE source_text <> ''),
     q AS (SELECT *, regexp_extract_all(t, '```[a-zA-Z0-9_-]*\n[\s\S]*?```') AS c, regexp_extract_all(t, '!\[[\s\S]*?\]\([^\n]*?\)') AS i,
@@ -161,9 +168,21 @@ QUERIES = {
 _STRIP = lambda x: f"regexp_replace({x}, '^{S}+|{S}+$', '', 'g')"
 _PUNCT = f"regexp_replace(regexp_replace(regexp_replace(translate(t, '?;', '؟؛'), '({L}){S}*,{S}*', '\\1، ', 'g'), ',{S}*({L})', '، \\1', 'g'), '[ \\t]*—[ \\t]*', '، ', 'g')"
 _TITLES = "|".join(x.replace(T.WS, S[1:-1]) for x in M.TAIL_TITLES)
-_TAIL = lambda x: _STRIP(f"regexp_replace({_STRIP(f"regexp_replace({x}, '(?i)(?:\\n|^){S}*#{{1,3}}{S}*(?:{_TITLES})($|{W}[\\s\\S]*$)', '')")}, '(?:\\n{S}*\\[\\p{{Nd}}+\\][^\\n]+){{3,}}{S}*$', '')")
+tail = lambda x: _STRIP(f"regexp_replace({_STRIP(f"regexp_replace({x}, '(?i)(?:\\n|^){S}*#{{1,3}}{S}*(?:{_TITLES})($|{W}[\\s\\S]*$)', '')")}, '(?:\\n{S}*\\[\\p{{Nd}}+\\][^\\n]+){{3,}}{S}*$', '')")
+
+#: The languages of code in SQL: no lookahead, so the marks of JSON are looked for one by one.
+_JSON = r"""regexp_matches(body, '\A\s*(?:\{[\s\S]*\}|\[[\s\S]*\])\s*\z') AND contains(body, '"') AND contains(body, ':')"""
+_LANGUAGE = " ".join(f"WHEN {_JSON if name == 'json' else "regexp_matches(body, '(?m)" + pattern.replace("'", "''") + "')"} THEN '{name}'" for name, pattern in M.CODE_LANGUAGES)
 
 SQL = {
+    "fa_spacing": f"{PERSIAN_SQL}, {prose_sql.chain('q', 'p', 'page_id', prose_sql.SPACING)} SELECT page_id, t AS text FROM q",
+    "fa_clean_prose": f"{PERSIAN_SQL}, {prose_sql.chain('q', 'p', 'page_id', prose_sql.PROSE, 'nfc_normalize(t)')} SELECT page_id, t AS text FROM q",
+    "code_spans": rf"""
+        WITH p AS (SELECT DISTINCT id AS page_id, source_text AS t FROM pages WHERE source_text <> ''),
+        c AS (SELECT page_id, regexp_extract_all(t, '```[a-zA-Z0-9_-]*\n[\s\S]*?```') AS cs FROM p),
+        e AS (SELECT page_id, unnest(range(len(cs)))::INT AS n, unnest(cs) AS block FROM c),
+        b AS (SELECT *, regexp_replace(block, '^```[^\n]*\n|```$', '', 'g') AS body FROM e)
+        SELECT page_id, n, block, CASE {_LANGUAGE} ELSE '' END AS language FROM b""",
     "fa_digits": f"{PERSIAN_SQL} SELECT page_id, translate(t, '0123456789٠١٢٣٤٥٦٧٨٩', '۰۱۲۳۴۵۶۷۸۹۰۱۲۳۴۵۶۷۸۹') AS persian, translate(t, '۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩', '01234567890123456789') AS latin FROM p",
     "fa_letters": f"{PERSIAN_SQL} SELECT page_id, replace(translate(t, '{P.ARABIC_LETTERS[0]}', '{P.ARABIC_LETTERS[1]}'), '{P.HEH_WITH_YEH[0]}', '{P.HEH_WITH_YEH[1]}') AS letters, replace(t, '{P.TATWEEL}', '') AS plain, regexp_replace(t, '[{P.DIACRITICS}]', '', 'g') AS bare FROM p",
     "fa_zwnj_verbs": f"{PERSIAN_SQL} SELECT page_id, {SQL_VERBS} AS text FROM p",
@@ -191,11 +210,11 @@ SQL = {
     "canned_answers": rf"""SELECT DISTINCT id AS conversation_id, coalesce(length({_STRIP('answer')}) < 320 AND regexp_matches(answer, '{M.CANNED.replace(T.WS, S[1:-1])}'), false) AS canned,
         {_STRIP("regexp_replace(answer, '(?i)</?(?:source_document|translation)>', '', 'g')")} AS answer FROM page_conversations""",
     "without_tails": f"""WITH a AS (SELECT DISTINCT article_id, markdown FROM fetched_articles)
-        SELECT article_id, {_TAIL("(markdown || chr(10) || chr(10) || '[1] a 2001' || chr(10) || '[2] b 2002' || chr(10) || '[3] c 2003' || chr(10))")} AS body, {_TAIL("(markdown || chr(10) || '## References' || chr(10) || 'x' || chr(10))")} AS before_references FROM a""",
+        SELECT article_id, {tail("(markdown || chr(10) || chr(10) || '[1] a 2001' || chr(10) || '[2] b 2002' || chr(10) || '[3] c 2003' || chr(10))")} AS body, {tail("(markdown || chr(10) || '## References' || chr(10) || 'x' || chr(10))")} AS before_references FROM a""",
     "addresses": rf"""
         WITH a AS (SELECT DISTINCT article_id, title, final_url FROM fetched_articles), b AS (SELECT *, coalesce(nullif({_STRIP('title')}, ''), final_url) AS shown_title FROM a)
         SELECT article_id, coalesce(regexp_matches(final_url, '(?i)^https?://\S+$'), false) AS valid, coalesce(regexp_matches(final_url, '^https?://[^/?#:]+'), false) AS fetchable,
-               left(regexp_replace(shown_title, '[^\p{{L}}\p{{N}}_\-]', '_', 'g'), 40) AS file_name, shown_title,
+               left(regexp_replace(shown_title, '[\\/*?:"<>| ]', '_', 'g'), 40) AS file_name, shown_title,
                coalesce(nullif(left({_STRIP(f"regexp_replace(regexp_replace(title, '[\\[\\]()\\n\\r\\t]+', ' ', 'g'), '{S}{{2,}}', ' ', 'g')")}, 150), ''), 'Figure/Diagram') AS alt FROM b""",
     "image_tags": r"""
         WITH p AS (SELECT DISTINCT id, source_text FROM pages WHERE source_text <> ''),

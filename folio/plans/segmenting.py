@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from folio.functions import text as T
 from folio.operators import relational as R
 from folio.operators import segments as S
+from folio.plans.prose_sql import words as _WORDS
+from folio.plans.sections_sql import FIRST as _FIRST
+from folio.plans.sections_sql import SECTIONS, STITCH_PAGES, STITCH_SINGLE
 from folio.plans.views import _STRIP, _chapters
 from folio.runtime import table
 
@@ -35,8 +38,7 @@ def chapter_sections(spark: SparkSession, directory: str) -> DataFrame:
     """Sections of the chapters that headings start."""
     chapters = _chapters(spark, directory).select("project_id", "chapter", "start_page", "end_page")
     first = R.first_by(chapters, ["project_id", "start_page"], F.col("chapter"))
-    pages = _pages(spark, directory).select("project_id", "page_number", F.col("source_text").alias("text"))
-    joined = first.join(pages, "project_id").where("page_number between start_page and end_page")
+    joined = R.pages_of_ranges(first, _pages(spark, directory).withColumnRenamed("source_text", "text"), "text")
     whole = joined.groupBy("project_id", "chapter", "start_page", "end_page").agg(F.collect_list(F.struct("page_number", "text")).alias("pages"))
     return S.chapter_sections(whole)
 
@@ -64,10 +66,10 @@ QUERIES = {
     "stitch_single": lambda spark, directory: S.stitched_single(_cut_pages(spark, directory)),
 }
 
-_FIRST = "f AS (SELECT * FROM (SELECT DISTINCT id, project_id, page_number, source_text, created_at FROM pages WHERE page_number IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY project_id, page_number ORDER BY created_at, id) = 1)"
-_WORDS = lambda x: f"coalesce(len(regexp_extract_all({x}, '[^\\s\\p{{Z}}\\x1c-\\x1f\\x{{85}}]+')), 0)::INT"
-
 SQL = {
+    "chapter_sections": f"WITH {SECTIONS} SELECT * FROM sections",
+    "stitch_pages": STITCH_PAGES,
+    "stitch_single": STITCH_SINGLE,
     "chunk_paragraphs": rf"""
         WITH RECURSIVE p AS (SELECT DISTINCT id, source_text AS t FROM pages WHERE source_text IS NOT NULL),
         a AS (SELECT id, list_filter(regexp_split_to_array({_STRIP('t')}, '\n{{2,}}'), lambda x: {_STRIP('x')} <> '') AS ps FROM p WHERE length(t) > {SMALL_CHUNK}),

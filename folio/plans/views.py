@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folio import schemas
 from folio.functions import text as T
+from folio.operators import glossary
 from folio.operators import relational as R
 from folio.runtime import table
 
@@ -99,7 +100,7 @@ def saved_pages(spark: SparkSession, directory: str) -> DataFrame:
 
 def glossary_hits(spark: SparkSession, directory: str) -> DataFrame:
     questions = R.once(table(spark, directory, "page_conversations"), "id", "question").where("question is not null").select(F.col("id").alias("key"), F.col("question").alias("line"))
-    return R.glossary_hits(questions, table(spark, directory, "glossary_items"))
+    return glossary.hits(questions, table(spark, directory, "glossary_items"))
 
 
 def illegal_transitions(spark: SparkSession, directory: str) -> DataFrame:
@@ -207,8 +208,9 @@ SQL = {
     "neighbour_context": f"""WITH d AS (SELECT DISTINCT id, project_id, page_number, created_at, source_text FROM pages),
         f AS (SELECT *, string_split({_STRIP('source_text')}, chr(10)) AS l FROM d QUALIFY row_number() OVER (PARTITION BY project_id, page_number ORDER BY created_at, id) = 1)
         SELECT id AS page_id, lag(right({_STRIP('l[len(l)]')}, 160)) OVER w AS before, lead(left({_STRIP('l[1]')}, 160)) OVER w AS after FROM f WINDOW w AS (PARTITION BY project_id ORDER BY page_number)""",
-    "qa_history": """WITH c AS (SELECT DISTINCT id, project_id, page_number, question, answer, created_at FROM page_conversations)
-        SELECT id AS conversation_id, coalesce(list('Q: ' || question || chr(10) || 'A: ' || answer) FILTER (WHERE question IS NOT NULL AND answer IS NOT NULL) OVER (PARTITION BY project_id, page_number ORDER BY created_at, id ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), []) AS history FROM c""",
+    "qa_history": """WITH c AS (SELECT DISTINCT id, project_id, page_number, selected_text, question, answer, created_at FROM page_conversations),
+        t AS (SELECT *, 'کاربر: ' || question || CASE WHEN coalesce(selected_text, '') <> '' THEN ' (نقل‌قول مربوطه: «' || left(selected_text, 60) || '...»)' ELSE '' END || chr(10) || 'پاسخ دستیار: ' || answer AS turn FROM c)
+        SELECT id AS conversation_id, coalesce(list(turn) FILTER (WHERE turn IS NOT NULL) OVER (PARTITION BY project_id, page_number ORDER BY created_at, id ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), []) AS history FROM t""",
     "chapter_bounds": f"WITH {_STARTS} SELECT project_id, start_page, chapter, total_pages, end_page, start_page >= 1 AND start_page <= end_page AND end_page <= total_pages AS valid FROM c",
     "chapter_pages": f"WITH {_STARTS}, {_PAGES} SELECT c.project_id, chapter, start_page, end_page, p.id AS page_id, page_number FROM c JOIN p ON p.project_id = c.project_id AND page_number BETWEEN start_page AND end_page",
     "reader_pages": "SELECT DISTINCT id AS page_id, project_id, page_number, length(coalesce(nullif(approved_text, ''), nullif(latest_translation, '')))::INT AS characters FROM pages WHERE coalesce(nullif(approved_text, ''), nullif(latest_translation, '')) IS NOT NULL",

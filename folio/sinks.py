@@ -38,11 +38,13 @@ def books(projects: DataFrame, pages: DataFrame) -> DataFrame:
     return joined.select("project_id", F.concat("head", F.coalesce("body", F.lit(""))).alias("book"))
 
 
-def notes_markdown(title: Column, notes_json: Column) -> Column:
-    """Notes of a chapter behind their titles; null if there are none yet."""
+def notes_markdown(title: Column, start: Column, end: Column, notes_json: Column) -> Column:
+    """Notes of a chapter: title, pages, and each section with its number, title, pages and note; null if there are none yet."""
     notes = F.from_json(notes_json, NOTES)
-    parts = F.transform(notes, lambda n: F.concat(F.lit("## "), F.coalesce(n["section_title"], F.lit("")), F.lit("\n\n"), T.strip(F.coalesce(n["note"], F.lit("")))))
-    return F.when(F.size(notes) > 0, F.concat(F.lit("# "), title, F.lit("\n\n"), F.array_join(parts, "\n\n---\n\n"), F.lit("\n")))
+    said = lambda x: F.coalesce(x.cast("string"), F.lit(""))
+    pages = lambda label, a, b: F.concat(F.lit(f"**{label}"), said(a), F.lit(" الی "), said(b))
+    part = lambda n: F.concat(F.lit("## بخش "), said(n["section_index"]), F.lit(": "), said(n["section_title"]), F.lit("\n"), pages("صفحات ", n["start_page"], n["end_page"]), F.lit("**\n\n"), said(n["note"]), F.lit("\n\n---\n\n"))
+    return F.when(F.size(notes) > 0, F.concat(F.lit("# "), title, F.lit("\n\n"), pages("صفحات:** ", start, end), F.lit("\n\n---\n\n"), F.array_join(F.transform(notes, part), "")))
 
 
 def notes_file_name(start: Column, end: Column, title: Column, kind: str) -> Column:
