@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from folio.functions.text import NOT_IN_WORD, WORD_ENDS, WS, col
+from folio.functions.text import NOT_IN_WORD, WORD_ENDS, WS, col, let
 
 ZWNJ = "‌"
 # Fixed values.
@@ -70,9 +70,13 @@ def joined_possessives(x: Column | str) -> Column:
 
 def persian_quotes(x: Column | str) -> Column:
     """Straight quotes in turn as opening and closing guillemets; a single one stays."""
-    parts = F.split(col(x), '"', -1)
-    turned = F.transform(parts, lambda p, k: F.when(k == 0, p).when(k % 2 == 1, F.concat(F.lit("«"), p)).otherwise(F.concat(F.lit("»"), p)))
-    return F.when(F.size(parts) > 2, F.array_join(turned, "")).otherwise(col(x))
+
+    def turned(text: Column) -> Column:
+        parts = F.split(text, '"', -1)
+        marked = F.transform(parts, lambda p, k: F.when(k == 0, p).when(k % 2 == 1, F.concat(F.lit("«"), p)).otherwise(F.concat(F.lit("»"), p)))
+        return F.when(F.regexp_count(text, F.lit('"')) > 1, F.array_join(marked, "")).otherwise(text)
+
+    return let(col(x), turned)
 
 
 def persian_punctuation(x: Column | str) -> Column:

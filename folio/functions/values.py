@@ -72,3 +72,15 @@ def image_order(path: Column | str) -> Column:
     """Page and number in the name of an extracted image file, for sorting by number."""
     pattern = r"page_([0-9]+)_img_([0-9]+)\.png$"
     return F.struct(F.regexp_extract(col(path), pattern, 1).cast("int").alias("page"), F.regexp_extract(col(path), pattern, 2).cast("int").alias("image"))
+
+
+def fetch_action(status: Column | str, content_type: Column | str) -> Column:
+    """What becomes of an answer to a page request: browser (refused, throttled or failing servers), error_status, error_pdf, error_type, or parse. A missing content type is taken for HTML, a missing status for a failing server."""
+    code, kind = F.coalesce(col(status), F.lit(500)), F.lower(F.coalesce(col(content_type), F.lit("")))
+    return (
+        F.when(code.isin(401, 403, 429) | (code >= 500), "browser")
+        .when(code >= 400, "error_status")
+        .when(kind.contains("pdf"), "error_pdf")
+        .when((kind != "") & ~kind.contains("html") & ~kind.contains("xml"), "error_type")
+        .otherwise("parse")
+    )

@@ -18,6 +18,7 @@ from folio.functions import text as T
 STATES = ("PENDING", "READY", "APPROVED_FOR_TRANSLATION", "TRANSLATING", "TRANSLATED", "IN_REVIEW", "APPROVED", "EXPORTED", "FAILED")
 CONTEXT_CHARS = 160
 HISTORY_TURNS, QUOTED_CHARS = 4, 60
+STALLED = "پردازش با ری‌استارت سرور متوقف شد. لطفاً دکمه تلاش مجدد را بزنید."
 
 #: Page numbers in which pages and ranges of pages meet.
 RANGE_PAGES = 64
@@ -145,6 +146,12 @@ def changed_states(events: DataFrame, allowed: DataFrame, key: str = "page_id",
     return moves.join(allowed, (moves["from_state"] == allowed["from_status"]) & (moves[state] == allowed["to_status"]), "left_anti")
 
 
+def restarted(summaries: DataFrame) -> DataFrame:
+    """Notes of chapters (``status``, ``error_message``) after a restart: what was waiting or running has failed and says why."""
+    stalled = F.col("status").isin("PENDING", "PROCESSING")
+    return summaries.withColumns({"status": F.when(stalled, "FAILED").otherwise(F.col("status")), "error_message": F.when(stalled, STALLED).otherwise(F.col("error_message"))})
+
+
 def default_rows(templates: DataFrame) -> DataFrame:
     """The default of a table of templates: the first one marked, else the oldest."""
     return templates.orderBy(F.desc(F.coalesce("is_default", F.lit(False))), "created_at", "id").limit(1)

@@ -8,43 +8,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio import sinks
+from folio.functions import markdown as M
 from folio.functions import text as T
 from folio.operators import html as H
 from folio.operators import relational as R
 from folio.plans.views import SQL as VIEWS
 from folio.plans.views import _STRIP, _events
-from folio.runtime import shared_folder, table
+from folio.runtime import removed_at_exit, shared_folder, table
 
 
 def as_html(spark: SparkSession, directory: str) -> DataFrame:
-    """Articles wrapped up as pages: ``url``, ``html`` with navigation, the text as headings and paragraphs, and a footer."""
+    """Articles wrapped up as pages: ``url``, ``html`` with navigation, the text as headings and paragraphs with links, and a footer."""
     rows = R.once(table(spark, directory, "fetched_articles"), "article_id", "title", "markdown").where("markdown is not null")
     safe = F.replace(F.replace(F.replace("markdown", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    linked = F.regexp_replace(safe, r"(?<!!)\[([^\[\]\n]*)\]\(([^)\n]*)\)", '<a href="$2">$1</a>')
     part = lambda p: F.when(p.rlike(r"^#{1,3} [^\n]+$"), F.concat(F.lit("<h2>"), F.regexp_replace(p, r"^#+ ", ""), F.lit("</h2>"))).otherwise(F.concat(F.lit("<p>"), p, F.lit("</p>")))
-    body = F.array_join(F.transform(F.split(safe, r"\n{2,}"), part), "\n")
+    body = F.array_join(F.transform(F.split(linked, r"\n{2,}"), part), "\n")
     head = F.concat(F.lit("<html><head><title>"), F.coalesce("title", F.lit("")), F.lit("</title></head><body><nav><a href='/'>Home</a></nav><div id='page'><article>"))
     return rows.select(F.col("article_id").alias("url"), F.concat(head, body, F.lit("</article></div><footer>foot</footer><script>var x = 1;</script></body></html>")).alias("html"))
 
 
 def article_titles(spark: SparkSession, directory: str) -> DataFrame:
-    """Title elements of pages, natively."""
-    return as_html(spark, directory).select(F.col("url").alias("article_id"), T.strip(F.regexp_extract("html", r"<title>([\s\S]*?)</title>", 1)).alias("title"))
+    return H.articles(as_html(spark, directory)).select(F.col("url").alias("article_id"), "title")
 
 
 def article_lengths(spark: SparkSession, directory: str) -> DataFrame:
     """Characters of articles besides images, and whether they are long enough."""
     rows = R.once(table(spark, directory, "fetched_articles"), "article_id", "markdown").where("markdown is not null")
-    n = F.length(T.strip(F.regexp_replace("markdown", r"!\[[^\]]*\]\([^)]*\)", "")))
-    return rows.select("article_id", n.alias("characters"), (n >= H.LEAST_ARTICLE).alias("long_enough"))
+    return rows.select("article_id", H.prose_length("markdown").alias("characters"), H.is_long_enough("markdown").alias("long_enough"))
 
 
 def link_density(spark: SparkSession, directory: str) -> DataFrame:
-    """Share of an article's characters that are link text, and the characters of its long plain paragraphs."""
-    rows = R.once(table(spark, directory, "fetched_articles"), "article_id", "markdown").where("markdown <> ''")
-    shown = F.regexp_replace("markdown", r"!?\[([^\]\n]*)\]\([^)\n]*\)", "$1")
-    linked = F.aggregate(F.regexp_extract_all("markdown", F.lit(r"(?:^|[^!])\[([^\]\n]*)\]\([^)\n]*\)"), F.lit(1)), F.lit(0), lambda a, x: a + F.length(x))
-    prose = F.aggregate(F.split(shown, r"\n{2,}"), F.lit(0), lambda a, p: a + F.when(F.length(p) >= H.LEAST_PARAGRAPH, F.length(p)).otherwise(0))
-    return rows.select("article_id", linked.alias("linked"), F.length(shown).alias("characters"), prose.alias("prose"))
+    """Characters of articles, the share of them that is link text, and the characters of their long paragraphs that are not mostly links."""
+    found = H.measures(as_html(spark, directory), "article")
+    return found.select(F.col("url").alias("article_id"), "characters", F.round("link_share", 9).alias("link_share"), "prose")
+
+
+def chat_answers(spark: SparkSession, directory: str) -> DataFrame:
+    """Fenced code of pages as chat pages show it, with the bar above it, read back."""
+    code = R.once(table(spark, directory, "pages"), "id", "source_text").select("id", F.get(M.blocks("source_text", M.FENCED), F.lit(0)).alias("block")).where("block is not null")
+    body = F.regexp_replace("block", r"^```[^\n]*\n|\n?```$", "")
+    safe = F.replace(F.replace(F.replace(body, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    page = F.concat(F.lit("<p>متن  پاسخ</p><pre><div class='toolbar'><span>python</span><button>Copy code</button></div><code class='hljs language-python'>"), safe, F.lit("</code></pre><p>پایان</p>"))
+    return H.chat_answers(code.select("id", page.alias("html")), "id")
 
 
 def _best_pages(spark: SparkSession, directory: str) -> DataFrame:
@@ -82,7 +88,7 @@ def state_stream(spark: SparkSession, directory: str) -> DataFrame:
     """The log of states as a stream, run to its end: refused moves by kind."""
     from folio.streaming.states import checked_states
 
-    folder = f"{shared_folder(spark)}/folio-states-{uuid.uuid4().hex}"
+    folder = removed_at_exit(spark, f"{shared_folder(spark)}/folio-states-{uuid.uuid4().hex}")
     _events(spark, directory).select(F.col("page_id").cast("string").alias("page_id"), "event_id", F.col("at").cast("timestamp").alias("at"), "status").write.parquet(f"{folder}/in")
     source = spark.readStream.schema("page_id string, event_id long, at timestamp, status string").parquet(f"{folder}/in")
     checked_states(source).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
@@ -94,6 +100,8 @@ QUERIES = {
     "article_lengths": article_lengths,
     "article_markdown": lambda spark, directory: H.articles(as_html(spark, directory)),
     "link_density": link_density,
+    "chat_answers": chat_answers,
+    "book_parts": lambda spark, directory: sinks.book_parts(_best_pages(spark, directory)),
     "page_exports": page_exports,
     "book_exports": book_exports,
     "page_documents": page_documents,
@@ -104,13 +112,27 @@ QUERIES = {
 
 _BEST = "b AS (SELECT DISTINCT id, project_id, page_number, coalesce(nullif(approved_text, ''), nullif(latest_translation, ''), nullif(source_text, ''), '') AS t FROM pages)"
 
+_SQUEEZE = lambda x: f"trim(regexp_replace({x}, '[\\s\\p{{Z}}\\x1c-\\x1f\\x{{85}}]+', ' ', 'g'))"
+#: Paragraphs of articles: ``p``, ``text`` without the marks of links and headings, ``shown`` with white space closed up, the ``labels`` of links.
+_PARTS = rf"""WITH a AS (SELECT *, row_number() OVER () AS row_no FROM (SELECT DISTINCT article_id, title, markdown FROM fetched_articles WHERE markdown IS NOT NULL)), s AS (SELECT *, regexp_split_to_array(markdown, '\n{{2,}}') AS ps FROM a),
+    u AS (SELECT article_id, row_no, title, unnest(range(len(ps))) AS k, unnest(ps) AS p FROM s), h AS (SELECT *, regexp_matches(p, '^#{{1,3}} [^\n]+$') AS heading FROM u),
+    t AS (SELECT *, list_transform(regexp_extract_all(p, '(?:^|[^!])\[([^\[\]\n]*)\]\([^)\n]*\)', 1), lambda x: x) AS labels, regexp_replace(regexp_replace(CASE WHEN heading THEN regexp_replace(p, '^#+ ', '') ELSE p END, '(^|[^!])\[([^\[\]\n]*)\]\([^)\n]*\)', '\1\2', 'g'), '(^|[^!])\[([^\[\]\n]*)\]\([^)\n]*\)', '\1\2', 'g') AS text FROM h),
+    e AS (SELECT *, {_SQUEEZE('text')} AS shown FROM t)"""
+
 SQL = {
-    "article_titles": f"SELECT article_id, {_STRIP("coalesce(title, '')")} AS title FROM (SELECT DISTINCT article_id, title, markdown FROM fetched_articles WHERE markdown IS NOT NULL)",
+    "article_titles": f"SELECT article_id, {_SQUEEZE("coalesce(title, '')")} AS title FROM (SELECT DISTINCT article_id, title, markdown FROM fetched_articles WHERE markdown IS NOT NULL)",
     "article_lengths": rf"""WITH a AS (SELECT DISTINCT article_id, length({_STRIP(r"regexp_replace(markdown, '!\[[^\]]*\]\([^)]*\)', '', 'g')")})::INT AS n, markdown FROM fetched_articles WHERE markdown IS NOT NULL)
         SELECT article_id, n AS characters, n >= 150 AS long_enough FROM a""",
-    "link_density": r"""WITH a AS (SELECT DISTINCT article_id, markdown, regexp_replace(markdown, '!?\[([^\]\n]*)\]\([^)\n]*\)', '\1', 'g') AS shown FROM fetched_articles WHERE markdown <> '')
-        SELECT article_id, coalesce(list_sum(list_transform(regexp_extract_all(markdown, '(?:^|[^!])\[([^\]\n]*)\]\([^)\n]*\)', 1), lambda x: length(x))), 0)::INT AS linked, length(shown)::INT AS characters,
-               coalesce(list_sum(list_transform(regexp_split_to_array(shown, '\n{2,}'), lambda p: CASE WHEN length(p) >= 40 THEN length(p) ELSE 0 END)), 0)::INT AS prose FROM a""",
+    "article_markdown": rf"""{_PARTS}, b AS (SELECT article_id, any_value(title) AS title, string_agg(CASE WHEN heading THEN '## ' || trim(shown, '#¶ ') ELSE {_SQUEEZE('p')} END, chr(10) || chr(10) ORDER BY k) FILTER (WHERE CASE WHEN heading THEN trim(shown, '#¶ ') ELSE {_SQUEEZE('p')} END <> '') AS body FROM e GROUP BY article_id, row_no),
+        c AS (SELECT article_id, {_SQUEEZE("coalesce(title, '')")} AS title, coalesce(body, '') AS body FROM b),
+        d AS (SELECT *, CASE WHEN title <> '' AND lower({_SQUEEZE(r"regexp_extract(body, '^#+ ([^\n]+)', 1)")}) <> lower(title) THEN {_STRIP("('# ' || title || chr(10) || chr(10) || body)")} ELSE body END AS m FROM c)
+        SELECT article_id AS url, title, CASE WHEN n >= 150 THEN m END AS markdown, CASE WHEN n < 150 THEN 'too_short' END AS error FROM (SELECT *, length({_STRIP(r"regexp_replace(m, '!\[[^\]]*\]\([^)]*\)', '', 'g')")}) AS n FROM d)""",
+    "link_density": rf"""{_PARTS}, f AS (SELECT *, coalesce(list_sum(list_transform(labels, lambda x: length({_SQUEEZE('x')}))), 0) AS linked FROM e)
+        SELECT article_id, length({_SQUEEZE("string_agg(text, chr(10) ORDER BY k)")})::INT AS characters, round(CASE WHEN characters > 0 THEN sum(linked)::DOUBLE / characters ELSE 0 END, 9) AS link_share,
+               coalesce(sum(length(shown)) FILTER (WHERE NOT heading AND length(shown) >= 40 AND linked::DOUBLE / length(shown) < 0.5), 0)::INT AS prose FROM f GROUP BY article_id, row_no""",
+    "chat_answers": r"""WITH p AS (SELECT DISTINCT id, regexp_extract(source_text, '```[a-zA-Z0-9_-]*\n[\s\S]*?```') AS block FROM pages)
+        SELECT id, 'متن پاسخ' || chr(10) || chr(10) || '```python' || chr(10) || regexp_replace(regexp_replace(regexp_replace(regexp_replace(block, '^```[^\n]*\n|\n?```$', '', 'g'), '^\n+', ''), '\s+$', ''), '\n{3,}', chr(10) || chr(10), 'g') || chr(10) || '```' || chr(10) || chr(10) || 'پایان' AS markdown FROM p WHERE block <> ''""",
+    "book_parts": f"WITH {_BEST} SELECT project_id, page_number, id, chr(10) || '<!-- Page ' || page_number || ' -->' || chr(10) || chr(10) || {_STRIP('t')} || chr(10) || chr(10) || '---' || chr(10) AS part FROM b WHERE page_number IS NOT NULL",
     "page_exports": f"WITH {_BEST} SELECT id AS page_id, '# Page ' || coalesce(page_number, 0) || chr(10) || chr(10) || {_STRIP('t')} || chr(10) AS markdown FROM b",
     "book_exports": f"""WITH {_BEST}, g AS (SELECT project_id, string_agg(chr(10) || '<!-- Page ' || page_number || ' -->' || chr(10) || chr(10) || {_STRIP('t')} || chr(10) || chr(10) || '---' || chr(10), '' ORDER BY page_number, id) AS body FROM b WHERE page_number IS NOT NULL GROUP BY 1)
         SELECT j.id AS project_id, '# ' || coalesce(title, '') || chr(10) || '_' || source_language || ' → ' || target_language || '_' || chr(10) || chr(10) || '---' || chr(10) || coalesce(body, '') AS book FROM projects j LEFT JOIN g ON g.project_id = j.id""",

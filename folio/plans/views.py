@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio import schemas
+from folio import schemas, sinks
 from folio.functions import text as T
+from folio.functions import values as V
 from folio.operators import glossary
 from folio.operators import relational as R
 from folio.runtime import table
 
 #: States that count as finished.
 DONE = ("APPROVED", "EXPORTED")
+#: Tables of a backup.
+BACKED_UP = ("projects", "pages", "translation_attempts", "page_conversations", "fetched_articles", "translation_profiles", "glossary_items")
 
 
 def project_progress(spark: SparkSession, directory: str) -> DataFrame:
@@ -108,19 +111,15 @@ def illegal_transitions(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def repaired_states(spark: SparkSession, directory: str) -> DataFrame:
-    """Jobs that were running when the service stopped count as failed."""
-    return R.once(table(spark, directory, "pages"), "id", "status").select(F.col("id").alias("page_id"), F.when(F.col("status").isin("PENDING", "TRANSLATING"), "FAILED").otherwise(F.col("status")).alias("status"))
+    """Notes of chapters after a restart; the state of each is made up from its first page."""
+    states = F.array(*(F.lit(s) for s in ("PENDING", "PROCESSING", "COMPLETED", "FAILED")))
+    summaries = _chapters(spark, directory).select("project_id", "chapter", "start_page", F.get(states, F.pmod("start_page", F.lit(4))).alias("status"), F.lit(None).cast("string").alias("error_message"))
+    return R.restarted(summaries)
 
 
 def backup_manifest(spark: SparkSession, directory: str) -> DataFrame:
-    """Rows of every table as one JSON document."""
-    names = ("projects", "pages", "translation_attempts", "page_conversations")
-    counts = [table(spark, directory, n).select("id").distinct().agg(F.count("*").alias("n")).select(F.lit(n).alias("k"), "n") for n in names]
-    united = counts[0]
-    for c in counts[1:]:
-        united = united.unionByName(c)
-    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n"))))
-    return united.agg(F.to_json(entries).alias("counts"))
+    """Rows of every table of a backup as one JSON document."""
+    return sinks.manifest({n: table(spark, directory, n).select("article_id" if n == "fetched_articles" else "id").distinct() for n in BACKED_UP})
 
 
 def addresses_of_images(spark: SparkSession, directory: str) -> DataFrame:
@@ -128,14 +127,7 @@ def addresses_of_images(spark: SparkSession, directory: str) -> DataFrame:
     articles = R.once(table(spark, directory, "fetched_articles"), "article_id", "image_count", "title")
     status = F.get(F.array(*(F.lit(s) for s in (200, 200, 301, 403, 404, 429, 500, 503))), F.pmod(F.coalesce("image_count", F.lit(0)), F.lit(8)))
     kind = F.when(F.col("title").isNull(), "application/pdf").when(F.col("title") == "", "image/png").otherwise("text/html; charset=utf-8")
-    action = (
-        F.when(status.isin(401, 403, 429) | (status >= 500), "browser")
-        .when(status >= 400, "error_status")
-        .when(kind.contains("pdf"), "error_pdf")
-        .when(~(kind.contains("html") | kind.contains("xml")), "error_type")
-        .otherwise("parse")
-    )
-    return articles.select("article_id", status.alias("status"), action.alias("action"))
+    return articles.select("article_id", status.alias("status"), V.fetch_action(status, kind).alias("action"))
 
 
 def embedded_texts(spark: SparkSession, directory: str) -> DataFrame:
@@ -225,8 +217,9 @@ SQL = {
         SELECT q.id AS key, t.term FROM q, t WHERE term <> '' AND contains(lower(question), lower(term))""",
     "illegal_transitions": f"""WITH e AS (SELECT user_id, CASE event_id % 9 {_CASES} END AS status, lag(CASE event_id % 9 {_CASES} END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_state FROM events)
         SELECT from_state, status, count(*) AS times FROM e WHERE from_state IS NOT NULL AND from_state <> status AND (from_state, status) NOT IN ({_ALLOWED}) GROUP BY 1, 2""",
-    "repaired_states": "SELECT DISTINCT id AS page_id, CASE WHEN status IN ('PENDING', 'TRANSLATING') THEN 'FAILED' ELSE status END AS status FROM pages",
-    "backup_manifest": """SELECT '{"page_conversations":' || (SELECT count(DISTINCT id) FROM page_conversations) || ',"pages":' || (SELECT count(DISTINCT id) FROM pages) || ',"projects":' || (SELECT count(DISTINCT id) FROM projects) || ',"translation_attempts":' || (SELECT count(DISTINCT id) FROM translation_attempts) || '}' AS counts""",
+    "repaired_states": f"""WITH {_STARTS} SELECT project_id, chapter, start_page, CASE start_page % 4 WHEN 2 THEN 'COMPLETED' ELSE 'FAILED' END AS status,
+        CASE WHEN start_page % 4 < 2 THEN 'پردازش با ری‌استارت سرور متوقف شد. لطفاً دکمه تلاش مجدد را بزنید.' END AS error_message FROM c""",
+    "backup_manifest": "SELECT '{' || " + " || ',' || ".join(f"""'"{n}":' || (SELECT count(DISTINCT {'article_id' if n == 'fetched_articles' else 'id'}) FROM {n})""" for n in sorted(BACKED_UP)) + " || '}' AS counts",
     "fetch_actions": """WITH a AS (SELECT DISTINCT article_id, title, [200, 200, 301, 403, 404, 429, 500, 503][(coalesce(image_count, 0) % 8 + 8) % 8 + 1] AS status FROM (SELECT DISTINCT article_id, image_count, title FROM fetched_articles))
         SELECT article_id, status, CASE WHEN status IN (401, 403, 429) OR status >= 500 THEN 'browser' WHEN status >= 400 THEN 'error_status' WHEN title IS NULL THEN 'error_pdf' WHEN title = '' THEN 'error_type' ELSE 'parse' END AS action FROM a""",
     "data_uris": "SELECT DISTINCT article_id, title FROM fetched_articles WHERE title IS NOT NULL",
@@ -235,8 +228,6 @@ SQL = {
 
 def scalar_families(spark: SparkSession, directory: str) -> DataFrame:
     """Times, guards, JSON and maps over the projects and pages."""
-    from folio.functions import values as V
-
     projects = table(spark, directory, "projects")
     as_json = F.to_json(F.struct("total_pages", "source_type"))
     lookup = F.create_map(F.lit("PDF"), F.lit("book"), F.lit("ARTICLE"), F.lit("page"))
@@ -245,7 +236,7 @@ def scalar_families(spark: SparkSession, directory: str) -> DataFrame:
         V.iso_time("created_at").alias("created"),
         V.file_stamp("updated_at").alias("stamp"),
         V.upload_kind("source_pdf_filename").alias("upload"),
-        V.is_export_format(F.lower("source_type")).alias("exportable"),
+        V.is_export_format(F.when(F.col("source_type") == "PDF", "docx").otherwise(F.lower("source_type"))).alias("exportable"),
         F.get_json_object(as_json, "$.source_type").alias("kind"),
         F.element_at(lookup, F.col("source_type")).alias("shown_as"),
         F.round(V.thumbnail_scale(F.col("total_pages") + 500.0), 6).alias("scale"),
@@ -253,8 +244,6 @@ def scalar_families(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def page_formulas(spark: SparkSession, directory: str) -> DataFrame:
-    from folio.functions import values as V
-
     documents = table(spark, directory, "documents").where("text is not null")
     return documents.select("doc_id", F.size(V.formulas("text")).alias("formulas"))
 
@@ -262,7 +251,7 @@ def page_formulas(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES |= {"scalar_families": scalar_families, "page_formulas": page_formulas}
 SQL |= {
     "scalar_families": """SELECT id AS project_id, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS created, strftime(updated_at, '%Y-%m-%d_%H%M%S') AS stamp,
-        CASE WHEN lower(source_pdf_filename) LIKE '%.pdf' THEN 'book' WHEN lower(source_pdf_filename) LIKE '%.zip' THEN 'backup' END AS upload, false AS exportable, source_type AS kind,
+        CASE WHEN lower(source_pdf_filename) LIKE '%.pdf' THEN 'book' WHEN lower(source_pdf_filename) LIKE '%.zip' THEN 'backup' END AS upload, coalesce(source_type = 'PDF', false) AS exportable, source_type AS kind,
         CASE source_type WHEN 'PDF' THEN 'book' WHEN 'ARTICLE' THEN 'page' END AS shown_as, CASE WHEN total_pages + 500 > 0 THEN round(300 / (total_pages + 500.0::DOUBLE), 6) END AS scale FROM projects""",
     "page_formulas": r"SELECT doc_id, len(regexp_extract_all(text, '\$\$[\s\S]+?\$\$|\\\[[\s\S]+?\\\]|\\\([\s\S]+?\\\)|\$[^$\n]+?\$'))::INT AS formulas FROM documents WHERE text IS NOT NULL",
 }

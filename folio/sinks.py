@@ -7,6 +7,7 @@ import json
 import re
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 from pathlib import PurePosixPath
 from xml.sax.saxutils import escape
 
@@ -156,6 +157,12 @@ def books_docx(books_: DataFrame) -> DataFrame:
     return books_.mapInPandas(run, "project_id string, content binary")
 
 
+def manifest(tables: dict[str, DataFrame]) -> DataFrame:
+    """``counts``: the number of rows of each table as one JSON document, by name. One row per table is gathered."""
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("k"), "n") for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, counts).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n"))))).alias("counts"))
+
+
 #: Files of one archive; a project with more gets several.
 ARCHIVE_FILES = 2000
 

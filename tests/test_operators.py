@@ -6,6 +6,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from folio import schemas, sinks
+from folio.operators import glossary as G
 from folio.operators import html as H
 from folio.operators import layout as Y
 from folio.operators import prompts as Q
@@ -90,6 +91,8 @@ def test_prompts_and_providers(spark):
     row = df.select(Q.translation_prompt(F.col("t"), F.lit("English"), F.lit("Persian"), F.lit("Do"), F.col("g"), F.lit("ctx")).alias("p"), Q.translation_prompt(F.col("t"), F.lit("e"), F.lit("p"), F.lit(" ")).alias("q"), Q.mock_translation(F.col("t"), F.col("g")).alias("m")).first()
     assert "'Hello' → 'سلام'" in row.p and "<source_document>\nHello\n</source_document>" in row.p and row.q == "Hello"
     assert row.m == "ترجمه روان: سلام (Hello)"
+    notes = df.select(Q.context_notes(F.lit("end"), F.lit(""), F.lit(True), F.lit(False), F.lit("short")).alias("n"), Q.context_notes(F.lit(None), F.lit(None), F.lit(False), F.lit(False)).alias("e")).first()
+    assert notes.n.startswith(f"{Q.BOUNDARY_HEAD}\n- Previous page ends with: '... end'\nRule:") and Q.CODE_RULE in notes.n and Q.IMAGE_RULE not in notes.n and notes.n.endswith("Additional Instructions: short") and notes.e == ""
     Q.register("echo", lambda: lambda prompts: [p.upper() for p in prompts])
     assert Q.answered(df.select("t"), "t", Q.PROVIDERS["echo"]).first().answer == "HELLO"
 
@@ -118,6 +121,43 @@ def test_html(spark):
     assert H.best_candidate("a 1x, b 2x") == "b"
 
 
+def test_content_in_sections():
+    text = "Plain words about the matter at hand, with a comma and more words to read. " * 4
+    parts = "".join(f"<section><h2><a href='#s{k}'>Part {k}</a></h2><div><p>{text}{k}</p></div></section>" for k in range(5))
+    page = f"<html><body><header><p>{text}</p></header><main><div>{parts}</div><ul>{''.join(f'<li><a href=/{k}>link number {k} of the contents</a></li>' for k in range(9))}</ul></main><div class='comments'><p>{text}</p></div></body></html>"
+    body = H.article_markdown(page, "http://h/")[1]
+    assert [f"## Part {k}" in body for k in range(5)] == [True] * 5 and "link number" not in body and body.count("matter at hand") == 20
+    deep = "<div>" * 5000 + f"<p>{text * 3}</p>" + "</div>" * 5000
+    assert "matter at hand" in H.article_markdown(deep, "")[1] and H.article_markdown("", "") == ("", "")
+    assert H.chat_markdown("<pre><div class='bar'><span>php</span><button>Copy code</button></div><code class='language-php'>a = 1;\n</code></pre>").endswith("a = 1;\n```")
+
+
+def test_terms(spark):
+    rows = [("a", "Hello World, hello"), ("b", None), ("c", ""), ("d", "nothing")]
+    df = spark.createDataFrame([(k, t, "p" if k == "a" else "q", 1) for k, t in rows], "id string, t string, project_id string, _low int").drop("_low")
+    terms = spark.createDataFrame([(None, " hello ", "x", True), (None, "hello", "b", False), ("p", "World", "own", None), ("q", "Hello", "other", None), (None, "world", "w", None), (None, "", "e", None), (None, None, "n", None)], "project_id string, source_term string, target_term string, include_parenthesis_english boolean")
+    for size in (1, 100):
+        found = {r.id: [tuple(t) for t in r.terms] for r in G.with_terms(df, "t", terms, "project_id", size=size).collect()}
+        assert found == {"a": [("World", "own", None), ("hello", "b", False), ("world", "w", None)], "b": [], "c": [], "d": []}
+    lines = df.select(F.col("id").alias("key"), F.col("t").alias("line"))
+    assert sorted(r.term for r in G.hits(lines, terms).collect()) == ["Hello", "World", "hello", "world"]
+    assert G.hits(lines, terms.limit(0)).count() == 0 and G.with_terms(df.limit(0), "t", terms).count() == 0
+
+
+def test_pages_of_ranges(spark):
+    pages = spark.createDataFrame([(f"{p}{k}", p, k) for p in "ab" for k in (1, 64, 65, 200, None)], "id string, project_id string, page_number int")
+    ranges = spark.createDataFrame([("a", "x", 1, 65), ("a", "y", 65, 300), ("b", "z", 5, 2), ("c", "w", 1, 9)], "project_id string, chapter string, start_page int, end_page int")
+    found = {(r.chapter, r.page_id) for r in R.pages_of_ranges(ranges, pages.union(pages)).collect()}
+    assert found == {("x", "a1"), ("x", "a64"), ("x", "a65"), ("y", "a65"), ("y", "a200")}
+    assert R.pages_of_ranges(ranges.limit(0), pages).count() == R.pages_of_ranges(ranges, pages.limit(0)).count() == 0
+
+
+def test_single_joins(spark):
+    df = spark.createDataFrame([("p", 1, "One broken"), ("p", 2, "sentence. Two"), ("p", 3, None), ("p", 4, "end.")], "project_id string, page_number int, text string")
+    assert [r.text for r in S.stitched_single(df).orderBy("page_number").collect()] == ["One broken sentence.", "Two", "", "end."]
+    assert S.stitched_single(df.limit(0)).count() == 0
+
+
 def test_documents_and_archives(spark):
     content = sinks.page_docx(3, "# T\n\n- a **b**\n\n```\nx\n```\n\n> q\n\n1. n")
     xml = zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml").decode()
