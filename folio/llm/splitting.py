@@ -1,29 +1,34 @@
 """Cutting oversized items into overlapping pieces at natural boundaries.
 
-An item is looked at in ranges. A range is scanned on its own, with a halo of a
-few characters on either side, and gives a fixed-size summary: for each kind of
-unit (block, line, sentence, run without white space) the longest one inside and
-the open ends on both sides. Summaries are stitched by an associative operation,
-so ranges may be scanned by different workers and combined in a tree.
-
-Rows of a table are scanned and cut where they lie, window by window. Files are
-scanned by byte range: no worker reads more of a file than its range and its halo.
-They are cut into segments at the first natural boundary after each multiple of
-``SEGMENT_CHARS``; an exclusive scan over the boundary table tells each segment
-whether it begins in text or code, so segments are cut independently of each other.
+An item is looked at in ranges. A range is scanned on its own, with one character
+of halo before it, and gives a row of the boundary table: for each kind of unit
+(block, line, sentence, run without white space) the longest one inside and the
+open ends on both sides, what the range does to each state of the block scan, and
+the beginning of a line whose kind only a later range can tell. Rows are stitched
+by an associative operation, so ranges may be scanned by different workers and
+combined in a tree, and no kind of line depends on where a range ends.
+
+Rows of a table give their ranges where they lie; their boundary rows are brought
+together by item. Files are scanned by byte range: no worker reads more of a file
+than its range and its halo. They are cut into segments at the first natural
+boundary after each multiple of ``SEGMENT_CHARS``; an exclusive scan over the
+boundary table tells each segment whether it begins in text or code, so segments are
+cut independently of each other, and prefix sums of their pieces and lengths give
+numbers and offsets.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from functools import reduce
 from typing import NamedTuple
+from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +36,8 @@ from folio.llm.store import written
 
 #: Characters (of files: bytes) of a range.
 RANGE_CHARS = 1 << 16
-#: Characters of look-ahead by which the kind of a line is told: a line that opens with more white space counts as text.
-HALO_CHARS = 1 << 12
+#: Characters beyond a segment's nominal begin in which its worker looks for a natural boundary, at least.
+REACH_CHARS = 1 << 12
 #: Characters of a window of a long item; bytes after which a file is cut into segments.
 SEGMENT_CHARS = 1 << 20
 #: Summaries combined by one task at a time.
@@ -41,6 +46,9 @@ FAN_IN = 512
 LEVELS = ("block", "line", "sentence", "space", "none")
 
 LINE_START = re.compile(r"^[^\S\n]*(```|~~~|\S|\n|\Z)", re.M)
+#: What follows a line break: the marks of a fence, what may become one, any other sign, the next break or the end of the range.
+AFTER_BREAK = re.compile(r"\n(?=[^\S\n]*(```|~~~|`{1,2}\Z|~{1,2}\Z|\S|\n|\Z))")
+FENCES = ("```", "~~~")
 CUTS = {"line": re.compile("\n"), "sentence": re.compile(r"\n|(?<=[.!?؟])\s"), "space": re.compile(r"\s")}
 
 #: States of the block scan: between blocks, in text, in a fence, in the line that closes a fence.
@@ -66,9 +74,14 @@ class Blocks(NamedTuple):
 
 
 class Summary(NamedTuple):
+    """A row of the boundary table. ``head``: the first three characters; ``seen``: the first three after white space, up to a line break; ``pending``: begin and first signs of a line whose kind is open."""
+
     chars: int
     ends: tuple[Ends, Ends, Ends]
     blocks: tuple[Blocks, Blocks, Blocks, Blocks]
+    head: str
+    seen: str
+    pending: tuple[int, str] | None
 
 
 def joined(a: tuple[int, int] | None, b: tuple[int, int] | None) -> tuple[int, int] | None:
@@ -100,8 +113,65 @@ def stitch_blocks(a: Blocks, after: tuple[Blocks, ...]) -> Blocks:
     return Blocks(ended, longest, a.opened if b.opened == -1 else b.opened, b.state)
 
 
+def opened(signs: str, b: Summary) -> tuple[str, str | None]:
+    """The signs of an open line with what a range adds to them, and its kind if that tells it."""
+    if not signs:
+        signs, whole = b.seen, b.seen[:1] != "\n" and len(b.seen) < 3
+    else:
+        # Signs of a fence follow each other without white space.
+        signs, whole = signs + b.head[: 3 - len(signs)], b.chars < 3 - len(signs)
+    if signs[:3] in FENCES:
+        return signs, "F"
+    if whole and any(f.startswith(signs) for f in FENCES):
+        return signs, None
+    return signs, "B" if signs[:1] == "\n" else "T"
+
+
+def told(blocks: tuple[Blocks, ...], at: int, kind: str) -> tuple[Blocks, ...]:
+    """The effect of ranges and then of one more line."""
+    line = tuple(scan_blocks([(at, kind)], state) for state in range(4))
+    return tuple(stitch_blocks(x, line) for x in blocks)
+
+
 def stitch(a: Summary, b: Summary) -> Summary:
-    return Summary(a.chars + b.chars, tuple(stitch_ends(x, y) for x, y in zip(a.ends, b.ends, strict=True)), tuple(stitch_blocks(x, b.blocks) for x in a.blocks))
+    blocks, pending = a.blocks, a.pending
+    if pending is not None:
+        signs, kind = opened(pending[1], b)
+        if kind is not None:
+            blocks, pending = told(blocks, pending[0], kind), None
+        else:
+            pending = (pending[0], signs)
+    blocks = tuple(stitch_blocks(x, b.blocks) for x in blocks)
+    head = (a.head + b.head)[:3]
+    # Fewer than three signs mean that the range ended there.
+    seen = a.seen if len(a.seen) == 3 else (a.seen + b.head)[:3] if a.seen else b.seen
+    return Summary(a.chars + b.chars, tuple(stitch_ends(x, y) for x, y in zip(a.ends, b.ends, strict=True)), blocks, head, seen, b.pending or pending)
+
+
+#: What comes before an item: nothing, and its first line is open.
+BEGIN = Summary(0, (Ends(None, 0, None, False),) * 3, tuple(Blocks(None, 0, -1 if state else None, state) for state in range(4)), "", "", (0, ""))
+
+
+#: States between ranges: those of the block scan, for each way in which a line may be open.
+OPEN = (None, "", "`", "``", "~", "~~")
+START = 4 * OPEN.index("") + CLOSED
+
+
+def changes_of(part: Summary) -> list[int]:
+    """What a range makes of each state between ranges."""
+    after = []
+    for signs in OPEN:
+        whole = stitch(BEGIN._replace(pending=None if signs is None else (0, signs)), part)
+        after += [4 * OPEN.index(whole.pending and whole.pending[1]) + b.state for b in whole.blocks]
+    return after
+
+
+def finished(whole: Summary) -> Summary:
+    """The summary of an item, of that of all its ranges: the last line is no longer open."""
+    if whole.pending is None:
+        return whole
+    at, signs = whole.pending
+    return whole._replace(blocks=told(whole.blocks, at, "T" if signs else "B"), pending=None)
 
 
 def line_kinds(text: str, first: int, last: int, base: int) -> list[tuple[int, str]]:
@@ -170,15 +240,19 @@ def scan_ends(text: str, first: int, last: int, base: int, level: str) -> Ends:
     return Ends(units[0], max(map(length, units[1:-1]), default=0), units[-1], True)
 
 
-def scan(text: str, first: int, last: int, base: int, at_start: bool, at_end: bool) -> Summary:
-    """Summary of ``text[first:last]``; what lies before and after is halo, ``base`` is the position of ``text[0]`` in the item."""
-    lines = line_kinds(text, first, last, base)
-    if at_end and (last == first and at_start or last > first and text[last - 1] == "\n"):
-        lines.append((base + last, "B"))
-    if not at_start and first == 0:
-        raise ValueError("a range after the first needs a character of halo before it")
+def scan(text: str, first: int, last: int, base: int) -> Summary:
+    """Summary of ``text[first:last]``; what lies before is halo, ``base`` is the position of ``text[0]`` in the item."""
+    lines: list[tuple[int, str]] = []
+    pending = None
+    for m in AFTER_BREAK.finditer(text, first, last):
+        mark, at = m.group(1), base + m.end()
+        if mark in ("`", "``", "~", "~~") and last - m.end(1) == 0 or not mark:
+            pending = (at, mark)
+        else:
+            lines.append((at, "F" if mark in FENCES else "B" if mark == "\n" else "T"))
     ends = tuple(scan_ends(text, first, last, base, level) for level in CUTS)
-    return Summary(last - first, ends, tuple(scan_blocks(lines, state) for state in range(4)))
+    seen = re.compile(r"[^\S\n]*").match(text, first, last).end()
+    return Summary(last - first, ends, tuple(scan_blocks(lines, state) for state in range(4)), text[first : min(last, first + 3)], text[seen : min(last, seen + 3)], pending)
 
 
 def longest_units(whole: Summary) -> dict[str, int]:
@@ -193,15 +267,18 @@ def coarsest(whole: Summary, room: int) -> str:
     return next((level for level in LEVELS[:-1] if longest[level] <= room), "none")
 
 
+def scanned(text: str, size: int = RANGE_CHARS) -> Iterator[Summary]:
+    """The rows of the boundary table of an item in memory, with positions from its begin."""
+    for a in range(0, len(text), size):
+        low = max(0, a - 1)
+        b = min(len(text), a + size)
+        part = text[low:b]
+        yield scan(part, a - low, b - low, low)
+
+
 def summary_of(text: str, size: int = RANGE_CHARS) -> Summary:
     """An item in memory, range by range."""
-    n = len(text)
-    parts = []
-    for a in range(0, max(n, 1), size):
-        b = min(n, a + size)
-        low, high = max(0, a - 1), min(n, b + HALO_CHARS)
-        parts.append(scan(text[low:high], a - low, b - low, low, a == 0, b == n))
-    return reduce(stitch, parts)
+    return finished(reduce(stitch, scanned(text, size), BEGIN))
 
 
 def places(text: str, first: int = 0, state: int = CLOSED) -> dict[str, list[int]]:
@@ -308,16 +385,40 @@ def oversized(items: dict[str, DataFrame], limits: DataFrame, keys: dict[str, st
     return reduce(DataFrame.unionByName, parts)
 
 
-def cut_places(items: DataFrame) -> DataFrame:
-    """``item_table``, ``item_id``, ``cut_at`` of oversized items: the coarsest place that suffices. Repeated rows count once."""
+BOUNDARIES = "item_table string, item_id string, room int, text bigint, n int, summary string"
+
+
+def boundary_table(items: DataFrame, size: int = RANGE_CHARS) -> DataFrame:
+    """``item_table``, ``item_id``, ``room``, ``text`` (a hash), ``n`` (number of the range), ``summary``: one row per range of an item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split(" ")[0] for f in BOUNDARIES.split(", ")]
+        for batch in batches:
+            rows = []
+            for name, key, text, most, overlap in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mark = xxhash.xxh64_intdigest(text) - (1 << 63)
+                rows += [(name, key, most - overlap, mark, n, packed(part)) for n, part in enumerate(scanned(text, size))]
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=kind) for k, kind in enumerate(kinds)], names=names)
+
+    return items.mapInArrow(run, BOUNDARIES)
+
+
+def cut_places(items: DataFrame, size: int = RANGE_CHARS) -> DataFrame:
+    """``item_table``, ``item_id``, ``cut_at`` of oversized items: the coarsest place that suffices. Repeated rows count once.
+
+    Only rows of the boundary table are brought together, some hundred bytes for
+    each range of ``size`` characters; texts stay where they are.
+    """
+    rows = boundary_table(items, size).groupBy("item_table", "item_id", "room", "text").agg(F.array_sort(F.collect_set(F.struct("n", "summary"))).alias("ranges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, most, overlap = (batch.column(k).to_pylist() for k in (2, 3, 4))
-            levels = [coarsest(summary_of(t), m - o) for t, m, o in zip(texts, most, overlap, strict=True)]
+            levels = [coarsest(finished(reduce(stitch, (unpacked(r["summary"]) for r in ranges), BEGIN)), room) for room, ranges in zip(*(batch.column(k).to_pylist() for k in (2, 3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(levels, type=pa.string())], names=["item_table", "item_id", "cut_at"])
 
-    return items.mapInArrow(run, "item_table string, item_id string, cut_at string").distinct()
+    found = rows.select("item_table", "item_id", "room", "ranges").mapInArrow(run, "item_table string, item_id string, cut_at string")
+    return found.distinct()
 
 
 def cut_pieces(items: DataFrame) -> DataFrame:
@@ -353,9 +454,30 @@ def cut_pieces(items: DataFrame) -> DataFrame:
 # Files, by byte range.
 
 
+def located(spark: SparkSession, paths: list[str]) -> list[tuple[str, int]]:
+    """Files as addresses in their file system, with their sizes; plain paths lie in the default one."""
+    jvm, conf, found = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        system = path.getFileSystem(conf)
+        found.append((system.makeQualified(path).toString(), int(system.getFileStatus(path).getLen())))
+    return found
+
+
+def open_input(path: str):
+    """A file that can be read from any place, of whatever file system."""
+    parts = urlparse(path)
+    if parts.scheme in ("", "file"):
+        return open(unquote(parts.path) if parts.scheme else path, "rb")
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+    return system.open_input_file(inner)
+
+
 def read_text(path: str, first: int, last: int) -> tuple[str, int]:
     """Characters that begin in the bytes ``first`` … ``last`` of a UTF-8 file, and the byte where they begin."""
-    with open(path, "rb") as file:
+    with open_input(path) as file:
         file.seek(first)
         raw = file.read(last - first + 4)
     skip = 0
@@ -368,7 +490,7 @@ def read_text(path: str, first: int, last: int) -> tuple[str, int]:
 
 
 def packed(summary: Summary) -> str:
-    return json.dumps((summary.chars, summary.ends, summary.blocks))
+    return json.dumps(summary, ensure_ascii=False, separators=(",", ":"))
 
 
 def moved(summary: Summary, by: int) -> Summary:
@@ -377,10 +499,10 @@ def moved(summary: Summary, by: int) -> Summary:
     def unit(u: tuple[int, int] | None) -> tuple[int, int] | None:
         return (u[0] + by, u[1] + by) if u else None
 
-    return Summary(
-        summary.chars,
-        tuple(Ends(unit(e.left), e.longest, unit(e.right), e.cut) for e in summary.ends),
-        tuple(Blocks(None if b.ended is None else b.ended + by, b.longest, b.opened if b.opened in (None, -1) else b.opened + by, b.state) for b in summary.blocks),
+    return summary._replace(
+        ends=tuple(Ends(unit(e.left), e.longest, unit(e.right), e.cut) for e in summary.ends),
+        blocks=tuple(Blocks(None if b.ended is None else b.ended + by, b.longest, b.opened if b.opened in (None, -1) else b.opened + by, b.state) for b in summary.blocks),
+        pending=summary.pending and (summary.pending[0] + by, summary.pending[1]),
     )
 
 
@@ -394,32 +516,31 @@ def combined(parts: Iterable[Summary]) -> Summary:
     return whole
 
 
-def scan_files(spark: SparkSession, paths: list[str], size: int = RANGE_CHARS) -> DataFrame:
-    """The boundary table: ``path``, ``n`` (number of the range), ``chars``, ``summary``, one row per byte range."""
-    sized = spark.createDataFrame([(p, os.path.getsize(p)) for p in paths], "path string, bytes bigint")
+def scan_files(spark: SparkSession, paths: list[tuple[str, int]], size: int = RANGE_CHARS) -> DataFrame:
+    """The boundary table of files as of ``located``: ``path``, ``n`` (number of the range), ``chars``, ``summary``, one row per byte range."""
+    sized = spark.createDataFrame(paths, "path string, bytes bigint")
     ranges = sized.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0), F.expr(f"(bytes - 1) div {size}")).cast("bigint"))).alias("n"))
     ranges = ranges.repartition(F.col("path"), F.col("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("path", pa.string()), ("n", pa.int64()), ("chars", pa.int64()), ("summary", pa.string())])
         for batch in batches:
             rows = []
             for path, total, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 a, b = n * size, min(total, (n + 1) * size)
                 text, _ = read_text(path, a, b)
-                before, _ = read_text(path, max(0, a - 4), a) if a else ("", 0)
-                after, _ = read_text(path, b, min(total, b + HALO_CHARS)) if b < total else ("", 0)
-                before = before[-1:]
-                found = scan(before + text + after, len(before), len(before) + len(text), -len(before), a == 0, b == total)
+                before = read_text(path, max(0, a - 4), a)[0][-1:] if a else ""
+                found = scan(before + text, len(before), len(before) + len(text), -len(before))
                 rows.append((path, n, found.chars, packed(found)))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["path", "n", "chars", "summary"]) if rows else pa.RecordBatch.from_pylist([], pa.schema([("path", pa.string()), ("n", pa.int64()), ("chars", pa.int64()), ("summary", pa.string())]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=f.type) for k, f in enumerate(schema)], schema=schema)
 
     return ranges.mapInArrow(run, "path string, n bigint, chars bigint, summary string")
 
 
 def unpacked(text: str) -> Summary:
-    chars, ends, blocks = json.loads(text)
+    chars, ends, blocks, head, seen, pending = json.loads(text)
     unit = lambda u: tuple(u) if u else None
-    return Summary(chars, tuple(Ends(unit(a), longest, unit(b), cut) for a, longest, b, cut in ends), tuple(Blocks(*b) for b in blocks))
+    return Summary(chars, tuple(Ends(unit(a), longest, unit(b), cut) for a, longest, b, cut in ends), tuple(Blocks(*b) for b in blocks), head, seen, unit(pending))
 
 
 def stitched_files(boundaries: DataFrame, ranges: int) -> DataFrame:
@@ -440,29 +561,30 @@ def stitched_files(boundaries: DataFrame, ranges: int) -> DataFrame:
 
 def file_cut_places(spark: SparkSession, paths: list[str], most: int, overlap: int, size: int = RANGE_CHARS) -> DataFrame:
     """``path``, ``cut_at`` of the files longer than ``most`` characters."""
-    ranges = max(1, max((-(-os.path.getsize(p) // size) for p in paths), default=1))
-    whole = stitched_files(scan_files(spark, paths, size), ranges).where(F.col("chars") > most)
+    files = located(spark, paths)
+    ranges = max(1, max((-(-n // size) for _, n in files), default=1))
+    whole = stitched_files(scan_files(spark, files, size), ranges).where(F.col("chars") > most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            levels = [coarsest(unpacked(s), most - overlap) for s in batch.column(2).to_pylist()]
+            levels = [coarsest(finished(stitch(BEGIN, unpacked(s))), most - overlap) for s in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(levels, type=pa.string())], names=["path", "cut_at"])
 
     return whole.mapInArrow(run, "path string, cut_at string")
 
 
 def incoming_states(boundaries: DataFrame, ranges: int) -> DataFrame:
-    """``path``, ``n``, ``state`` of the block scan before each range: an exclusive scan in a tree, so no task combines more than FAN_IN rows of a file."""
+    """``path``, ``n``, ``state`` before each range (of ``after``, what it makes of each state): an exclusive scan in a tree, so no task combines more than FAN_IN rows of a file."""
     import pandas as pd
 
     after = boundaries.select("path", "n", "after")
     groups = after.groupBy("path", F.expr(f"n div {FAN_IN}").alias("g"))
     if ranges <= FAN_IN:
-        before = boundaries.select("path", F.lit(0).cast("bigint").alias("g")).distinct().withColumn("entry", F.lit(CLOSED))
+        before = boundaries.select("path", F.lit(0).cast("bigint").alias("g")).distinct().withColumn("entry", F.lit(START))
     else:
 
         def fold(rows: pd.DataFrame) -> pd.DataFrame:
-            whole = reduce(lambda a, b: [b[k] for k in a], rows.sort_values("n")["after"], list(range(4)))
+            whole = reduce(lambda a, b: [b[k] for k in a], rows.sort_values("n")["after"], list(range(4 * len(OPEN))))
             return pd.DataFrame({"path": [rows["path"].iloc[0]], "n": [rows["n"].iloc[0] // FAN_IN], "after": [whole]})
 
         summed = groups.applyInPandas(fold, "path string, n bigint, after array<int>")
@@ -480,14 +602,24 @@ def incoming_states(boundaries: DataFrame, ranges: int) -> DataFrame:
 
 
 def segment_begin(path: str, target: int, total: int, state: int, reach: int) -> tuple[int, str, int]:
-    """Byte of the first place from ``target`` on, its kind and the state of the block scan there; ``state`` is that at ``target``.
+    """Byte of the first place from ``target`` on, its kind and the state of the block scan there; ``state`` is that between ranges at ``target``.
 
     The coarsest kind of place within ``reach`` characters counts.
     """
+    signs, state = OPEN[state // 4], state % 4
     if target <= 0 or target >= total:
         return max(0, min(target, total)), "end", state
-    halo, at = read_text(path, max(0, target - 8), min(total, target + 4 * reach + HALO_CHARS))
-    first = len(read_text(path, at, target)[0])
+    far = 4 * reach + REACH_CHARS
+    while True:
+        halo, at = read_text(path, max(0, target - 8), min(total, target + far))
+        first = len(read_text(path, at, target)[0])
+        # A line that began before is told by what follows, however much white space that is.
+        kind = opened(signs, scan(halo, first, len(halo), 0))[1] if signs is not None and halo[first - 1 : first] != "\n" else ""
+        if kind is not None or target + far >= total:
+            break
+        far *= 2
+    if kind:
+        state = scan_blocks([(0, kind)], state).state
     found = places(halo, first, state)
     for level in LEVELS[:-1]:
         k = bisect_left(found[level], first)
@@ -504,19 +636,20 @@ def file_pieces(spark: SparkSession, paths: list[str], most: int, overlap: int,
     halos and the states of the block scan before them.
     """
     step = max(size, 8 * most)
-    reach = max(HALO_CHARS, most)
-    sized = spark.createDataFrame([(p, os.path.getsize(p)) for p in paths], "path string, bytes bigint").where("bytes > 0")
-    ranges = max(1, max((-(-os.path.getsize(p) // step) for p in paths), default=1))
+    reach = max(REACH_CHARS, most)
+    files = located(spark, paths)
+    sized = spark.createDataFrame(files, "path string, bytes bigint").where("bytes > 0")
+    ranges = max(1, max((-(-n // step) for _, n in files), default=1))
 
     def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            after = [[b.state for b in unpacked(s).blocks] for s in batch.column(2).to_pylist()]
+            after = [changes_of(unpacked(s)) for s in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(after, type=pa.list_(pa.int32()))], names=["path", "n", "after"])
 
-    boundaries = scan_files(spark, paths, step).select("path", "n", "summary").mapInArrow(changes, "path string, n bigint, after array<int>")
+    boundaries = scan_files(spark, files, step).select("path", "n", "summary").mapInArrow(changes, "path string, n bigint, after array<int>")
     states = written(incoming_states(written(boundaries, "file-ranges"), ranges), "file-states")
     following = states.select("path", (F.col("n") - 1).alias("n"), F.col("state").alias("next"))
-    parts = states.join(following, ["path", "n"], "left").join(sized, "path").select("path", "bytes", F.col("n").alias("segment"), "state", F.coalesce("next", F.lit(CLOSED)).alias("next"))
+    parts = states.join(following, ["path", "n"], "left").join(sized, "path").select("path", "bytes", F.col("n").alias("segment"), "state", F.coalesce("next", F.lit(START)).alias("next"))
     parts = parts.repartition(F.col("path"), F.col("segment"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

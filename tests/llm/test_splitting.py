@@ -72,9 +72,10 @@ def test_file_segments_know_code(spark, tmp_path):
 
 def test_states_before_ranges(spark, monkeypatch):
     monkeypatch.setattr(S, "FAN_IN", 3)
-    changes = [[(s * (k + 1) + k) % 4 for s in range(4)] for k in range(20)]
+    n = 4 * len(S.OPEN)
+    changes = [[(s * (k + 1) + k) % n for s in range(n)] for k in range(20)]
     found = S.incoming_states(spark.createDataFrame([("p", k, c) for k, c in enumerate(changes)], "path string, n bigint, after array<int>"), 20)
-    want = [S.CLOSED]
+    want = [S.START]
     for c in changes:
         want.append(c[want[-1]])
     assert [r.state for r in found.orderBy("n").collect()] == want[:-1]
@@ -101,7 +102,7 @@ def test_files(spark, tmp_path):
         path = tmp_path / f"{k}.txt"
         path.write_text(t, encoding="utf-8")
         paths.append(str(path))
-    got = {r.path: r.cut_at for r in S.file_cut_places(spark, paths, 600, 50, size=997).collect()}
+    got = {r.path.removeprefix("file:"): r.cut_at for r in S.file_cut_places(spark, paths, 600, 50, size=997).collect()}
     assert got == {p: S.coarsest(S.summary_of(t), 550) for p, t in zip(paths[:2], (text, text.replace("\n", " ")), strict=True)}
     rows = S.file_pieces(spark, paths[:1], 600, 50, size=5000).orderBy("segment", "piece_no").collect()
     raw, end = text.encode(), 0
@@ -111,6 +112,35 @@ def test_files(spark, tmp_path):
     assert end == len(raw)
 
 
+def test_lines_that_open_with_much_white_space():
+    text = "alpha.\n" + " " * 12_288 + "beta\n\n" + " " * 9_000 + "```\ncode\n\nmore\n" + " " * 7_000 + "```\n\n" + " " * 5_000 + "\ngamma"
+    for size in (1, 7, 200, 4096, 10**6):
+        assert S.longest_units(S.summary_of(text, size)) == plainly(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(PARTS, st.integers(1, 9), st.integers(1, 4))
+def test_trees(text, size, width):
+    """Rows of the boundary table combined in a tree, with positions from the begin of each range."""
+    rows = [S.unpacked(S.packed(S.moved(part, -k * size))) for k, part in enumerate(S.scanned(text, size))]
+    while len(rows) > 1 and width > 1:
+        rows = [S.combined(rows[k : k + width]) for k in range(0, len(rows), width)]
+    whole = S.finished(S.stitch(S.BEGIN, S.combined(rows))) if rows else S.finished(S.BEGIN)
+    assert S.longest_units(whole) == plainly(text)
+    state = S.START
+    for part in S.scanned(text, size):
+        state = S.changes_of(part)[state]
+    assert state % 4 == S.combined([S.BEGIN, *rows]).blocks[S.CLOSED].state if rows else state == S.START
+
+
+def test_places_do_not_depend_on_ranges(spark):
+    rows = [(str(k), ("para one.\n\n" * k + "   \n```\ncode\n\nx\n  ```\nlast one here") * 3) for k in range(1, 9)]
+    limits = spark.createDataFrame([("pages", "t", 30, 5)], "item_table string, field_name string, max_chars int, overlap_chars int")
+    items = S.oversized({"pages": spark.createDataFrame(rows * 2, "id string, t string")}, limits, {"pages": "id"})
+    found = [sorted(tuple(r) for r in S.cut_places(items, size).collect()) for size in (3, 50, 10**6)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 8
+
+
 def test_long_text_in_linear_time():
     text = "word " * 400_000
     assert S.coarsest(S.summary_of(text), 100) == "space"
