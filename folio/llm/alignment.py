@@ -1,116 +1,155 @@
 """Alignment of the sentences of rough translations.
 
-Sentences at the same place of their blocks whose numbers, names and tied words
-match in full are pairs at once. All others are scored by the same words. Pairs
-that choose each other are anchors; the best chain of anchors that rises on both sides
-(a weighted longest increasing subsequence) is the backbone. Gaps of the backbone
-are aligned by dynamic programming over beads of 1-1, 1-2, 2-1, 1-0 and 0-1
-sentences. Anchors off the backbone were moved and stay; what is left is linked
-where it explains words that no other sentence has explained (joined and split
-sentences).
+Sentence pairs that share numbers, names or tied words (``bitext``) are candidates:
+those at the same place of their blocks, those that share a number or name found
+once on either side, and, between these, those that choose each other. What is
+likely enough among them is an anchor. The best chain of anchors that rises on both
+sides (a weighted longest increasing subsequence) is the backbone; its gaps are
+aligned by dynamic programming over beads of 1-1, 1-2, 2-1, 1-0 and 0-1 sentences.
+Anchors off the backbone were moved and stay; what is left is linked where it
+explains words that no other sentence has explained (joined and split sentences).
+
+Scores are looked up through inverted lists of the words of a page, and only
+between candidates, so nothing of the size of all sentence pairs is built.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from folio.llm import bitext
 from folio.llm.bitext import Lexicon, Text
-from folio.llm.store import spread
 
 #: Weight of a shared number or name; words have at most 1, words without a tie hardly any.
 ANCHOR_WEIGHT, UNTIED = 1.5, 0.05
 #: Least likeness of anchors, of anchors off the backbone, and of pairs found in gaps.
 ANCHOR_LIKE, MOVED_LIKE, GAP_LIKE = 0.5, 0.6, 0.4
+#: What a bead of two sentences on one side counts for, and what it costs.
+BEAD_WORTH, BEAD_COST = 1.2, 0.05
 #: Share of a free sentence's weight that must be explained for a further link, the same without a word of its own, and the weight of such a word.
 REST_SHARE, NEAR_SHARE, OWN_WORD = 0.45, 0.6, 0.5
 #: Tie from which a word counts as explained.
 EXPLAINED = 0.3
-#: Share of both sentences' weight that must match for a pair at the same place to need no scoring, and the weight that may be lacking: less than one tied word.
+#: Share of both sentences' weight that must match for a pair at the same place to be an anchor without comparison, and the weight that may be lacking: less than one tied word.
 PLAIN_SHARE, PLAIN_LACK = 0.8, 0.35
 #: Likeness below which a free sentence is not looked at.
 REST_LIKE = 0.25
 #: Preference for pairs at like places of both texts.
 PLACE_BONUS = 0.03
-#: Sentences on either side of a gap beyond which it is aligned in a band along its diagonal.
-GAP_BAND = 60
+
+Pair = tuple[int, int]
+
+
+class Side:
+    """The sentences of one text as words that can match, their weights, and where each word stands."""
+
+    def __init__(self, words: list[list[str]], weights: dict[str, float], ties: dict[str, dict[str, float]], shared: Callable[[str], bool]) -> None:
+        self.ties, self.weights = ties, weights
+        self.words: list[dict[str, float]] = []
+        self.size: list[float] = []
+        self.at: dict[str, list[int]] = {}
+        for k, ws in enumerate(words):
+            own = set(ws)
+            held = {w: weights.get(w) or ANCHOR_WEIGHT for w in own if w in weights or shared(w)}
+            self.words.append(held)
+            self.size.append(max(sum(held.values()) + UNTIED * (len(own) - len(held)), 1e-6))
+            for w in held:
+                self.at.setdefault(w, []).append(k)
+
+    def within(self, word: str, low: int, high: int) -> list[int]:
+        """Sentences from ``low`` to before ``high`` that hold a word."""
+        found = self.at.get(word, ())
+        return found if low == 0 and high >= len(self.words) else found[bisect_left(found, low) : bisect_left(found, high)]
 
 
 class Page:
-    """Scores between all sentences of two texts, over the distinct words of this page only."""
+    """Likeness of the sentences of two texts, over the words of this page only."""
 
     def __init__(self, source: Text, target: Text, lexicon: Lexicon) -> None:
-        n, m = len(source.words), len(target.words)
-        weight_e, weight_f, forward = lexicon.weight_e, lexicon.weight_f, lexicon.forward
         latin = {w for ws in target.words for w in ws if w[0] <= "z"}
-        # Words without a tie, numbers and names only add a little to the size of their sentence.
-        e_at: dict[str, int] = {}
-        f_at: dict[str, int] = {}
-        s, rest_s = [], []
-        for ws in source.words:
-            own = set(ws)
-            kept = [e_at.setdefault(w, len(e_at)) for w in own if w in weight_e or w[0] <= "9" and len(w) > 1 or w in latin]
-            s.append(kept)
-            rest_s.append(UNTIED * (len(own) - len(kept)))
-        t, rest_t = [], []
-        for ws in target.words:
-            own = set(ws)
-            kept = [f_at.setdefault(w, len(f_at)) for w in own if w in weight_f or w[0] <= "z" and (w[0] > "9" or len(w) > 1)]
-            t.append(kept)
-            rest_t.append(UNTIED * (len(own) - len(kept)))
-        # One row and column more, without ties, so that every sentence holds something.
-        ties = np.zeros((len(e_at) + 1, len(f_at) + 1), dtype=np.float32)
-        we, wf = [weight_e.get(w, ANCHOR_WEIGHT) for w in e_at], [weight_f.get(w, ANCHOR_WEIGHT) for w in f_at]
-        targets = f_at.keys()
-        rows, columns, values = [], [], []
-        for e, k in e_at.items():
+        here = {w for ws in source.words for w in ws}
+        self.both = {w for w in latin & here if w[0] > "9" or len(w) > 1}
+        # A word that stands on both sides weighs as an anchor, whatever its ties.
+        weights = {**{w: lexicon.weight_e[w] for w in here if w in lexicon.weight_e}, **dict.fromkeys(self.both, ANCHOR_WEIGHT)}
+        self.s = Side(source.words, weights, lexicon.forward, lambda w: w[0] <= "9" and len(w) > 1)
+        self.t = Side(target.words, lexicon.weight_f, lexicon.backward, lambda w: w[0] <= "z" and (w[0] > "9" or len(w) > 1))
+        self.n, self.m = len(source.words), len(target.words)
+
+    def place(self, i: int, j: int) -> float:
+        return PLACE_BONUS * (1 - abs((i + 0.5) / self.n - (j + 0.5) / self.m))
+
+    def matches(self, es: Iterable[str], fs: Iterable[str]) -> tuple[dict[str, float], dict[str, float]]:
+        """How firmly each of the words on one side is expected by some word of the other."""
+        fs = fs if isinstance(fs, dict) else dict.fromkeys(fs)
+        by_e: dict[str, float] = {}
+        by_f: dict[str, float] = {}
+        forward = self.s.ties
+        for e in es:
             if (known := forward.get(e)) is not None:
-                for f in known.keys() & targets:
-                    rows.append(k)
-                    columns.append(f_at[f])
-                    values.append(known[f])
-            if (l := f_at.get(e)) is not None:
-                rows.append(k)
-                columns.append(l)
-                values.append(ANCHOR_WEIGHT)
-                we[k] = ANCHOR_WEIGHT
-        ties[rows, columns] = values
-        self.we, self.wf = np.array([*we, 0.0], dtype=np.float32), np.array([*wf, 0.0], dtype=np.float32)
-        self.s, self.t = s, t
-        in_s, self.expect = self.held(s, len(e_at), ties)
-        in_t, self.expect_back = self.held(t, len(f_at), ties.T)
-        # einsum, as a matrix product would wake the threads of a linear algebra library for these few numbers.
-        self.sum_s, self.sum_t = np.maximum((in_s * self.we).sum(axis=1) + rest_s, 1e-6), np.maximum((in_t * self.wf).sum(axis=1) + rest_t, 1e-6)
-        there = np.minimum(1.0, np.einsum("iv,jv->ij", self.expect, in_t) / self.sum_t)
-        back = np.minimum(1.0, np.einsum("iv,jv->ij", in_s, self.expect_back) / self.sum_s[:, None])
-        place = 1 - np.abs((np.arange(n)[:, None] + 0.5) / n - (np.arange(m) + 0.5) / m)
-        #: Likeness of every pair; 0 where nothing is shared.
-        self.like = np.where(there > 0, (there + back) / 2 + PLACE_BONUS * place, 0.0)
-
-    @staticmethod
-    def held(words: list[list[int]], spare: int, ties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which words each sentence holds, and how firmly it expects each word of the other side."""
-        flat = [w for ws in words for w in (*ws, spare)]
-        sizes = np.array([len(ws) + 1 for ws in words])
-        inside = np.zeros((len(words), spare + 1), dtype=np.float32)
-        inside[np.repeat(np.arange(len(words)), sizes), flat] = 1.0
-        return inside, np.maximum.reduceat(ties[flat], np.cumsum(sizes) - sizes, axis=0)
+                for f in known.keys() & fs.keys():
+                    a = known[f]
+                    if a > by_e.get(e, 0.0):
+                        by_e[e] = a
+                    if a > by_f.get(f, 0.0):
+                        by_f[f] = a
+            if e in fs and e in self.both:
+                by_e[e] = by_f[e] = ANCHOR_WEIGHT
+        return by_e, by_f
+
+    def like(self, i: int, j: int) -> float:
+        """Likeness of a pair; 0 where nothing is shared."""
+        by_e, by_f = self.matches(self.s.words[i], self.t.words[j])
+        if not by_f:
+            return 0.0
+        return (min(1.0, sum(by_f.values()) / self.t.size[j]) + min(1.0, sum(by_e.values()) / self.s.size[i])) / 2 + self.place(i, j)
 
     def cover(self, i: list[int], j: list[int]) -> float:
         """Likeness of several sentences taken together."""
-        expect, back = self.expect[i].max(axis=0), self.expect_back[j].max(axis=0)
-        got = sum(np.minimum(self.wf[self.t[b]], expect[self.t[b]]).sum() for b in j)
-        held = sum(np.minimum(self.we[self.s[a]], back[self.s[a]]).sum() for a in i)
-        return float(got / self.sum_t[j].sum() + held / self.sum_s[i].sum()) / 2
-
-
-def best_chain(pairs: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
+        es, fs = {w for a in i for w in self.s.words[a]}, {w for b in j for w in self.t.words[b]}
+        by_e, by_f = self.matches(es, fs)
+        got = sum(min(weight, by_f.get(f, 0.0)) for b in j for f, weight in self.t.words[b].items())
+        held = sum(min(weight, by_e.get(e, 0.0)) for a in i for e, weight in self.s.words[a].items())
+        return (got / sum(self.t.size[b] for b in j) + held / sum(self.s.size[a] for a in i)) / 2
+
+    def likes(self, k: int, of_source: bool, low: int, high: int) -> dict[int, float]:
+        """Likeness of one sentence to those from ``low`` to before ``high`` of the other side that share something with it."""
+        side, other = (self.s, self.t) if of_source else (self.t, self.s)
+        there: dict[int, float] = {}
+        back: dict[int, float] = {}
+        firm: dict[str, float] = {}
+        for w in side.words[k]:
+            best: dict[int, float] = {}
+            for o, a in (*side.ties.get(w, {}).items(), *(((w, ANCHOR_WEIGHT),) if w in self.both else ())):
+                if o not in other.at:
+                    continue
+                if a > firm.get(o, 0.0):
+                    firm[o] = a
+                for x in other.within(o, low, high):
+                    if a > best.get(x, 0.0):
+                        best[x] = a
+            for x, a in best.items():
+                there[x] = there.get(x, 0.0) + a
+        for o, a in firm.items():
+            for x in other.within(o, low, high):
+                back[x] = back.get(x, 0.0) + a
+        place = (lambda x: self.place(k, x)) if of_source else (lambda x: self.place(x, k))
+        return {x: (min(1.0, a / side.size[k]) + min(1.0, back[x] / other.size[x])) / 2 + place(x) for x, a in there.items()}
+
+    def is_plain(self, i: int, j: int) -> bool:
+        """Whether two sentences match in full."""
+        by_e, by_f = self.matches(self.s.words[i], self.t.words[j])
+        for side, k, got in ((self.s, i, by_e), (self.t, j, by_f)):
+            of = side.size[k]
+            if sum(weight for w, weight in side.words[k].items() if w in got) < max(PLAIN_SHARE * of, of - PLAIN_LACK):
+                return False
+        return True
+
+
+def best_chain(pairs: list[tuple[int, int, float]]) -> list[Pair]:
     """The heaviest chain of pairs that rises on both sides; ``pairs`` have distinct numbers on each side."""
     pairs = sorted(pairs)
     tree: list[tuple[float, int]] = [(0.0, -1)] * (len(pairs) + 1)
@@ -138,172 +177,182 @@ def best_chain(pairs: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
-def fill_gap(page: Page, rows: list[int], columns: list[int]) -> list[tuple[int, int]]:
-    """Pairs of a gap by dynamic programming over beads."""
-    n, m = len(rows), len(columns)
-    if not n or not m:
-        return []
-    best: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(n + 1)]
-    best[0][0] = (0.0, 0, 0)
-    band = GAP_BAND + abs(n - m)
-    for x in range(n + 1):
-        middle = x * m // n
-        for y in range(max(0, middle - band), min(m, middle + band) + 1):
-            top = best[x].get(y, (-1.0, 0, 0))
-            for dx, dy in ((0, 1), (1, 0), (1, 1), (1, 2), (2, 1)):
-                if x < dx or y < dy or (before := best[x - dx].get(y - dy)) is None:
-                    continue
-                gain = 0.0
-                if dx and dy:
-                    i, j = rows[x - 1], columns[y - 1]
-                    if dx == dy:
-                        gain = page.like[i, j] - GAP_LIKE
-                    else:
-                        first, other = rows[x - dx], columns[y - dy]
-                        if page.like[i, j] or page.like[first, other]:
-                            gain = 1.2 * (page.cover([first, i] if dx == 2 else [i], [other, j] if dy == 2 else [j]) - GAP_LIKE) - 0.05
-                    if gain <= 0:
-                        continue
-                if before[0] + gain > top[0]:
-                    top = (before[0] + gain, dx, dy)
-            if top[0] >= 0:
-                best[x][y] = top
-    found, x, y = [], n, m
-    while (x or y) and y in best[x]:
-        _, dx, dy = best[x][y]
-        if dx and dy:
-            found += [(rows[a], columns[b]) for a in range(x - dx, x) for b in range(y - dy, y)]
-        if not dx and not dy:
-            break
-        x, y = x - dx, y - dy
-    return found
-
-
-class Plain:
-    """Whether two sentences match in full, told without scoring the whole page."""
-
-    def __init__(self, source: Text, target: Text, lexicon: Lexicon) -> None:
-        self.lexicon = lexicon
-        self.s, self.t = [frozenset(ws) for ws in source.words], [frozenset(ws) for ws in target.words]
-        self.latin = {w for ws in target.words for w in ws if w[0] <= "z"}
-
-    def matches(self, i: int, j: int) -> bool:
-        s, t = self.s[i], self.t[j]
-        forward, weight_e, weight_f = self.lexicon.forward, self.lexicon.weight_e, self.lexicon.weight_f
-        held, of, found = 0.0, 0.0, set()
-        for e in s:
-            if (known := forward.get(e)) is not None:
-                w = weight_e[e]
-                of += w
-                if meet := known.keys() & t:
-                    held += w
-                    found |= meet
-            elif e in self.latin or e[0] <= "9" and len(e) > 1:
-                of += ANCHOR_WEIGHT
-                held += ANCHOR_WEIGHT * (e in t)
-            else:
-                of += UNTIED
-        if held < max(PLAIN_SHARE * of, of - PLAIN_LACK):
-            return False
-        got = total = 0.0
-        for f in t:
-            if f[0] <= "z":
-                w = ANCHOR_WEIGHT if f[0] > "9" or len(f) > 1 else UNTIED
-                got += w * (f in s)
-            else:
-                w = weight_f.get(f, UNTIED)
-                got += w * (f in found)
-            total += w
-        return got >= max(PLAIN_SHARE * total, total - PLAIN_LACK)
-
-
-def plain_pairs(source: Text, target: Text, lexicon: Lexicon) -> list[tuple[int, int]]:
+def level_pairs(page: Page, source: Text, target: Text) -> list[Pair]:
     """Pairs that match in full at the same place from the begin or the end of their block (of the text, if the blocks differ in number)."""
-    n, m = len(source.sentences), len(target.sentences)
-    test = Plain(source, target, lexicon).matches
-    if source.blocks[-1] == target.blocks[-1]:
-        ends_s, ends_t = np.searchsorted(source.blocks, range(1, source.blocks[-1] + 2)).tolist(), np.searchsorted(target.blocks, range(1, target.blocks[-1] + 2)).tolist()
-    else:
-        ends_s, ends_t = [n], [m]
+    ends_s, ends_t = bitext.block_ends(source.blocks), bitext.block_ends(target.blocks)
+    if len(ends_s) != len(ends_t):
+        ends_s, ends_t = [page.n], [page.m]
     found, i, j = [], 0, 0
     for a, b in zip(ends_s, ends_t, strict=True):
         if a - i == b - j:
-            found += [(x, y) for x, y in zip(range(i, a), range(j, b), strict=True) if test(x, y)]
+            found += [(x, y) for x, y in zip(range(i, a), range(j, b), strict=True) if page.is_plain(x, y)]
         else:
             x, y, stop_x, stop_y = i, j, a, b
-            while x < a and y < b and test(x, y):
+            while x < a and y < b and page.is_plain(x, y):
                 found.append((x, y))
                 x, y = x + 1, y + 1
-            while stop_x > x and stop_y > y and test(stop_x - 1, stop_y - 1):
+            while stop_x > x and stop_y > y and page.is_plain(stop_x - 1, stop_y - 1):
                 stop_x, stop_y = stop_x - 1, stop_y - 1
                 found.append((stop_x, stop_y))
         i, j = a, b
     return found
 
 
-def aligned(source: Text, target: Text, lexicon: Lexicon) -> list[tuple[int, int]]:
-    """Pairs of corresponding sentences of two texts."""
-    if not source.sentences or not target.sentences:
+def mutual(found: dict[Pair, float], least: float) -> list[tuple[int, int, float]]:
+    """Pairs that are the best of both their sentences and likely enough."""
+    best_s: dict[int, tuple[float, int]] = {}
+    best_t: dict[int, tuple[float, int]] = {}
+    for (i, j), v in found.items():
+        # Of equal ones the first.
+        if (v, -j) > best_s.get(i, (0.0, 0)):
+            best_s[i] = (v, -j)
+        if (v, -i) > best_t.get(j, (0.0, 0)):
+            best_t[j] = (v, -i)
+    return [(i, -j, v) for i, (v, j) in best_s.items() if v >= least and best_t[-j] == (v, -i)]
+
+
+def anchors_of(page: Page, source: Text, target: Text) -> list[tuple[int, int, float]]:
+    """Anchors of a whole text: pairs that match in full at the same place, and pairs around a number or name found once on either side."""
+    plain = {pair: page.like(*pair) for pair in level_pairs(page, source, target)}
+    free_s, free_t = {i for i, _ in plain}, {j for _, j in plain}
+    others = {(i, j): page.like(i, j) for i, j in bitext.anchored(source, target) if i not in free_s and j not in free_t}
+    return [(i, j, v) for (i, j), v in plain.items()] + mutual(others, ANCHOR_LIKE)
+
+
+def gap_likes(page: Page, rows: list[int], columns: list[int]) -> dict[Pair, float]:
+    """Likeness of the pairs of a gap that share something."""
+    if len(rows) * len(columns) <= 16:
+        return {(i, j): v for i in rows for j in columns if (v := page.like(i, j))}
+    inside = set(rows)
+    low, high = rows[0], rows[-1] + 1
+    return {(i, j): v for j in columns for i, v in page.likes(j, False, low, high).items() if i in inside}
+
+
+def fill_gap(page: Page, rows: list[int], columns: list[int], found: dict[Pair, float]) -> list[Pair]:
+    """Pairs of a gap by dynamic programming over beads.
+
+    Skipped sentences cost nothing, so the best path is the heaviest rising chain
+    of the beads that gain something; all others may be left out.
+    """
+    x_of, y_of = {i: x for x, i in enumerate(rows)}, {j: y for y, j in enumerate(columns)}
+    beads: list[tuple[int, int, int, int, float]] = []
+    seen: set[tuple[int, int, int, int]] = set()
+    for (i, j), v in found.items():
+        x, y = x_of[i], y_of[j]
+        if v > GAP_LIKE:
+            beads.append((x, y, x, y, v - GAP_LIKE))
+        for a, b, c, d in ((x, y - 1, x, y), (x, y, x, y + 1), (x - 1, y, x, y), (x, y, x + 1, y)):
+            if a < 0 or b < 0 or c >= len(rows) or d >= len(columns) or (a, b, c, d) in seen:
+                continue
+            seen.add((a, b, c, d))
+            # Two sentences cover no more than each of them does.
+            if found.get((rows[a], columns[b]), 0.0) + found.get((rows[c], columns[d]), 0.0) > GAP_LIKE:
+                gain = BEAD_WORTH * (page.cover(rows[a : c + 1], columns[b : d + 1]) - GAP_LIKE) - BEAD_COST
+                if gain > 0:
+                    beads.append((a, b, c, d, gain))
+    if not beads:
         return []
-    found = plain_pairs(source, target, lexicon)
-    left_s, left_t = {i for i, _ in found}, {j for _, j in found}
-    rows, columns = [i for i in range(len(source.sentences)) if i not in left_s], [j for j in range(len(target.sentences)) if j not in left_t]
-    if rows and columns:
-        part = [Text([x.sentences[k] for k in at], [x.blocks[k] for k in at], [x.words[k] for k in at]) for x, at in ((source, rows), (target, columns))]
-        found += [(rows[i], columns[j]) for i, j in scored(*part, lexicon)]
-    return sorted(found)
-
-
-def scored(source: Text, target: Text, lexicon: Lexicon) -> list[tuple[int, int]]:
-    """Pairs by anchors, their chain, its gaps and what is left."""
-    n, m = len(source.sentences), len(target.sentences)
-    page = Page(source, target, lexicon)
-    best_s, best_t = page.like.argmax(axis=1), page.like.argmax(axis=0)
-    anchors = [(i, int(j), float(v)) for i, j in enumerate(best_s) if (v := page.like[i, j]) >= ANCHOR_LIKE and best_t[j] == i]
-    chain = best_chain(anchors)
-    links = set(chain)
-    kept = {(i, j) for i, j, v in anchors if v >= MOVED_LIKE} - links
-    taken_s, taken_t = {i for i, _ in kept}, {j for _, j in kept}
+    # Beads in order of their begin; a bead may follow those that have ended before it on both sides.
+    beads.sort()
+    by_end = sorted(range(len(beads)), key=lambda k: beads[k][2])
+    tree: list[tuple[float, int]] = [(0.0, -1)] * (len(columns) + 1)
+    value, came, done = [0.0] * len(beads), [-1] * len(beads), 0
+    for k, (a, b, _, _, gain) in enumerate(beads):
+        while done < len(by_end) and beads[by_end[done]][2] < a:
+            q = by_end[done]
+            at, entry = beads[q][3] + 1, (value[q], q)
+            while at <= len(columns):
+                tree[at] = max(tree[at], entry)
+                at += at & -at
+            done += 1
+        at, best = b, (0.0, -1)
+        while at > 0:
+            best = max(best, tree[at])
+            at -= at & -at
+        value[k], came[k] = best[0] + gain, best[1]
+    links, k = [], max(range(len(beads)), key=lambda k: value[k])
+    while k >= 0:
+        a, b, c, d, _ = beads[k]
+        links += [(rows[x], columns[y]) for x in range(a, c + 1) for y in range(b, d + 1)]
+        k = came[k]
+    return links
+
+
+def gaps(chain: list[Pair], n: int, m: int, taken: set[Pair]) -> Iterator[tuple[list[int], list[int]]]:
+    """Free sentences between the neighbours of a chain."""
+    taken_s, taken_t = {i for i, _ in taken}, {j for _, j in taken}
     i = j = 0
     for a, b in [*chain, (n, m)]:
         rows, columns = [x for x in range(i, a) if x not in taken_s], [y for y in range(j, b) if y not in taken_t]
         if rows and columns:
-            links.update(fill_gap(page, rows, columns))
+            yield rows, columns
         i, j = a + 1, b + 1
-    links |= kept
-    return sorted(rest(page, links, n, m))
 
 
-def rest(page: Page, links: set[tuple[int, int]], n: int, m: int) -> set[tuple[int, int]]:
+def aligned(source: Text, target: Text, lexicon: Lexicon) -> list[Pair]:
+    """Pairs of corresponding sentences of two texts."""
+    if not source.sentences or not target.sentences:
+        return []
+    page = Page(source, target, lexicon)
+    found = anchors_of(page, source, target)
+    # Between the anchors of the whole text, pairs that choose each other are anchors too.
+    first = best_chain(found)
+    likes = {}
+    for rows, columns in gaps(first, page.n, page.m, {(i, j) for i, j, _ in found}):
+        here = gap_likes(page, rows, columns)
+        likes |= here
+        found += mutual(here, ANCHOR_LIKE)
+    chain = best_chain(found)
+    links = set(chain)
+    # Plain pairs are sure off the chain as well.
+    moved = {(i, j) for i, j, v in found if v >= MOVED_LIKE} - links
+    moved |= moved_pairs(page, links | moved)
+    for rows, columns in gaps(chain, page.n, page.m, links | moved):
+        inside = {(i, j): v for i in rows for j in columns if (v := likes[i, j] if (i, j) in likes else page.like(i, j))} if len(rows) * len(columns) <= 16 else gap_likes(page, rows, columns)
+        links.update(fill_gap(page, rows, columns, inside))
+    return sorted(rest(page, links | moved))
+
+
+def moved_pairs(page: Page, links: set[Pair]) -> set[Pair]:
+    """Sentences without a link that choose each other across the whole text."""
+    free_s, free_t = set(range(page.n)) - {i for i, _ in links}, set(range(page.m)) - {j for _, j in links}
+    if not free_s or not free_t:
+        return set()
+    found = {(i, j): v for j in free_t for i, v in page.likes(j, False, 0, page.n).items() if i in free_s}
+    return {(i, j) for i, j, _ in mutual(found, MOVED_LIKE)}
+
+
+def rest(page: Page, links: set[Pair]) -> set[Pair]:
     """Add links that explain what is not yet explained: halves of split sentences, parts of joined ones, moved sentences."""
     by_s: dict[int, set[int]] = {}
     by_t: dict[int, set[int]] = {}
     for i, j in links:
         by_s.setdefault(i, set()).add(j)
         by_t.setdefault(j, set()).add(i)
-
-    candidates = [(float(page.like[i, j]), i, j) for j in range(m) if j not in by_t for i in np.flatnonzero(page.like[:, j] >= REST_LIKE).tolist()]
-    candidates += [(float(page.like[i, j]), i, j) for i in range(n) if i not in by_s for j in np.flatnonzero(page.like[i] >= REST_LIKE).tolist() if j in by_t]
+    candidates = [(v, i, j) for j in range(page.m) if j not in by_t for i, v in page.likes(j, False, 0, page.n).items() if v >= REST_LIKE]
+    candidates += [(v, i, j) for i in range(page.n) if i not in by_s for j, v in page.likes(i, True, 0, page.m).items() if v >= REST_LIKE and j in by_t]
     for like, i, j in sorted(candidates, reverse=True):
         if i in by_s and j in by_t:
             continue
-        es, fs = np.array(page.s[i], dtype=np.intp), np.array(page.t[j], dtype=np.intp)
+        es, fs = page.s.words[i], page.t.words[j]
+        by_e, by_f = page.matches(es, fs)
         if i in by_s:
-            es = es[page.expect_back[list(by_s[i])].max(axis=0)[es] < EXPLAINED]
+            known = page.matches(es, {w for b in by_s[i] for w in page.t.words[b]})[0]
+            by_e = {e: a for e, a in by_e.items() if known.get(e, 0.0) < EXPLAINED}
         if j in by_t:
-            fs = fs[page.expect[list(by_t[j])].max(axis=0)[fs] < EXPLAINED]
-        got_t = np.minimum(page.wf[fs], page.expect[i, fs]).sum()
-        got_s = np.minimum(page.we[es], page.expect_back[j, es]).sum()
+            known = page.matches({w for a in by_t[j] for w in page.s.words[a]}, fs)[1]
+            by_f = {f: a for f, a in by_f.items() if known.get(f, 0.0) < EXPLAINED}
+        got_t, got_s = sum(min(fs[f], a) for f, a in by_f.items()), sum(min(es[e], a) for e, a in by_e.items())
         # The free sentence must be explained, by a word that nothing else explains or by the neighbour of what is linked already.
         free_t, free_s = j not in by_t, i not in by_s
         if free_t and free_s:
             good = like >= ANCHOR_LIKE
         elif free_t:
             near = any(abs(j - other) == 1 for other in by_s[i])
-            good = got_t >= REST_SHARE * page.sum_t[j] and got_s >= OWN_WORD or near and got_t >= NEAR_SHARE * page.sum_t[j]
+            good = got_t >= REST_SHARE * page.t.size[j] and got_s >= OWN_WORD or near and got_t >= NEAR_SHARE * page.t.size[j]
         else:
             near = any(abs(i - other) == 1 for other in by_t[j])
-            good = got_s >= REST_SHARE * page.sum_s[i] and got_t >= OWN_WORD or near and got_s >= NEAR_SHARE * page.sum_s[i]
+            good = got_s >= REST_SHARE * page.s.size[i] and got_t >= OWN_WORD or near and got_s >= NEAR_SHARE * page.s.size[i]
         if good:
             links.add((i, j))
             by_s.setdefault(i, set()).add(j)
@@ -311,27 +360,25 @@ def rest(page: Page, links: set[tuple[int, int]], n: int, m: int) -> set[tuple[i
     return links
 
 
-def align(pages: DataFrame, lexicon: Lexicon, key: str = "id", source: str = "source_text", target: str = "approved_text") -> DataFrame:
+def align(pages: DataFrame, ties: bitext.Ties, key: str = "id", source: str = "source_text", target: str = "approved_text") -> DataFrame:
     """``page_id``, ``source_sentence``, ``target_sentence`` (from 0) of rows with both texts.
 
     Null and empty texts give nothing; rows repeated verbatim count once; other
     columns are left out. One pass over the scan; only the pairs are shuffled, to
     drop the pairs of repeated rows.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ties = shared.value
         for batch in batches:
             keys, left, right = [], [], []
-            for k, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = aligned(bitext.read(a), bitext.read(b), ties)
-                keys += [k] * len(found)
+            for k, (page, a, b) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True)):
+                found = aligned(bitext.read(a), bitext.read(b), ties.at(batch, k))
+                keys += [page] * len(found)
                 left += [i for i, _ in found]
                 right += [j for _, j in found]
             yield pa.RecordBatch.from_arrays([pa.array(keys, type=pa.string()), pa.array(left, type=pa.int32()), pa.array(right, type=pa.int32())], names=["page_id", "source_sentence", "target_sentence"])
 
-    cases = spread(pages.where((F.col(source) != "") & (F.col(target) != "")).select(key, source, target))
+    cases = ties.joined(bitext.with_both(pages, source, target).select(key, source, target), source, target)
     return cases.mapInArrow(run, "page_id string, source_sentence int, target_sentence int").distinct()
 
 

@@ -25,14 +25,18 @@ from folio.llm.store import spread, written
 #: Least number of sentence pairs that hold both words, and least strength of a tie.
 TIE_PAIRS = 3
 TIE_STRENGTH = 0.2
-#: Words in more than this share of all sentence pairs have no ties; a task stops counting them when it has seen somewhat more.
+#: Words in more than this share of all sentence pairs have no ties; a task stops counting their pairs when it has seen somewhat more, and what it has stopped for too early is counted again.
 STOP_SHARE, STOP_SEEN = 0.25, 0.3
-#: Entries of the lexicon at most, the strongest by pairs; a bound of the model's size, as it is sent to all tasks.
+#: Sentence pairs after which a task first looks for such words.
+FIRST_LOOK = 1000
+#: Ties that are sent to all tasks at most; a larger lexicon stays a table and is joined by the words of each page, with the same result.
 LEXICON_ENTRIES = 200_000
+#: Strength of the ties of a glossary.
+GLOSSARY_TIE = 0.8
 #: Counts a task holds before it hands them on.
 HELD = 400_000
-#: Longest block from which sentences at the same place are taken.
-EQUAL_BLOCK = 8
+#: Stands in counts for words whose pairs a task has stopped counting.
+STOPPED = "\0"
 
 FENCE = re.compile(r"^\s*(?:```|~~~)")
 IMAGE_LINE = re.compile(r"\s*(?:!\[[^\]\n]*\]\([^)\n]*\)\s*)+")
@@ -135,34 +139,52 @@ def anchored(source: Text, target: Text) -> list[tuple[int, int]]:
     return list({(i, j) for w, j in there.items() if (i := here.get(w, -1)) >= 0})
 
 
+def block_ends(blocks: list[int]) -> list[int]:
+    """Where each block of sentences ends."""
+    return [k for k in range(1, len(blocks)) if blocks[k] != blocks[k - 1]] + [len(blocks)] * bool(blocks)
+
+
 def level_pairs(source: Text, target: Text) -> list[tuple[int, int]]:
     """Sentences at the same place of blocks with equally many sentences, if the texts have equally many blocks."""
-    if not source.blocks or not target.blocks or source.blocks[-1] != target.blocks[-1]:
+    ends, others = block_ends(source.blocks), block_ends(target.blocks)
+    if len(ends) != len(others):
         return []
-    sizes, others = Counter(source.blocks), Counter(target.blocks)
     found, i, j = [], 0, 0
-    for b in range(source.blocks[-1] + 1):
-        if sizes[b] == others[b] <= EQUAL_BLOCK:
-            found += [(i + k, j + k) for k in range(sizes[b])]
-        i, j = i + sizes[b], j + others[b]
+    for a, b in zip(ends, others, strict=True):
+        if a - i == b - j:
+            found += zip(range(i, a), range(j, b), strict=True)
+        i, j = a, b
     return found
 
 
-def counted(pairs: DataFrame) -> DataFrame:
-    """``e``, ``f``, ``n`` of the texts in the two columns of ``pairs``; with ``f`` or ``e`` empty the counts of single words, both empty that of sentence pairs."""
+def with_both(texts: DataFrame, source: str, target: str) -> DataFrame:
+    return texts.where((F.col(source) != "") & (F.col(target) != ""))
+
+
+Words = tuple[frozenset[str], frozenset[str]]
+
+
+def counted(pairs: DataFrame, look: int = FIRST_LOOK, only: Words | None = None, never: Words = (frozenset(), frozenset())) -> DataFrame:
+    """``e``, ``f``, ``n`` of the texts in the two columns of ``pairs``; with ``f`` or ``e`` empty the counts of single words, both empty that of sentence pairs.
+
+    With STOPPED as ``f`` or ``e``: words whose pairs some task has stopped counting.
+    ``only`` counts the pairs of some words alone, to the end, without those in ``never``.
+    """
     schema = pa.schema([("e", pa.string()), ("f", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both: dict[str, Counter] = {}
         left_ones: Counter = Counter()
         right_ones: Counter = Counter()
-        total, next_look = 0, 1000
-        stop: set[str] = set()
+        total, next_look, size = 0, look, 0
+        stop_e, stop_f = set(never[0]), set(never[1])
+        stopped: set[tuple[str, str]] = set()
 
         def handed() -> pa.RecordBatch:
             rows = [(e, f, n) for e, held in both.items() for f, n in held.items()]
-            rows += [(e, "", n) for e, n in left_ones.items()] + [("", f, n) for f, n in right_ones.items()] + [("", "", total)]
-            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            if only is None:
+                rows += [(e, "", n) for e, n in left_ones.items()] + [("", f, n) for f, n in right_ones.items()] + [("", "", total)] + [(e, f, 1) for e, f in stopped]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=f.type) for k, f in enumerate(schema)], schema=schema)
 
         for batch in batches:
             for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -170,20 +192,28 @@ def counted(pairs: DataFrame) -> DataFrame:
                 for i, j in {*anchored(source, target), *level_pairs(source, target)}:
                     left = {w for w in source.words[i] if w[0] > "9"}
                     right = {w for w in target.words[j] if w[0] > "~"}
-                    left_ones.update(left)
-                    right_ones.update(right)
+                    if only is None:
+                        left_ones.update(left)
+                        right_ones.update(right)
                     total += 1
-                    right -= stop
-                    for e in left - stop:
+                    left -= stop_e
+                    right -= stop_f
+                    for e in left:
+                        met = right if only is None or e in only[0] else right & only[1]
+                        if not met:
+                            continue
                         if (held := both.get(e)) is None:
                             held = both[e] = Counter()
-                        held.update(right)
-            if total >= next_look:
-                stop = {w for ones in (left_ones, right_ones) for w, n in ones.items() if n > STOP_SEEN * total}
+                        size -= len(held)
+                        held.update(met)
+                        size += len(held)
+            if only is None and total >= next_look:
+                stop_e, stop_f = ({w for w, n in ones.items() if n > STOP_SEEN * total} for ones in (left_ones, right_ones))
+                stopped |= {(w, STOPPED) for w in stop_e} | {(STOPPED, w) for w in stop_f}
                 next_look = 2 * total
-            if sum(map(len, both.values())) > HELD:
+            if size > HELD:
                 yield handed()
-                both, left_ones, right_ones, total, next_look = {}, Counter(), Counter(), 0, 1000
+                both, left_ones, right_ones, total, next_look, size = {}, Counter(), Counter(), 0, look, 0
         if total:
             yield handed()
 
@@ -208,30 +238,90 @@ def lexicon_of(rows: list[tuple[str, str, float]]) -> Lexicon:
     return Lexicon(forward, backward, {e: max(t.values()) for e, t in forward.items()}, {f: max(t.values()) for f, t in backward.items()})
 
 
-def learned(texts: DataFrame, source: str, target: str, glossary: DataFrame | None = None) -> Lexicon:
-    """The lexicon of all rows of ``texts`` with both texts; terms of ``glossary`` (source_term, target_term) are added.
+class Ties:
+    """A lexicon as it reaches the rows that need it: sent to all tasks, or, if it is larger, joined to each row by its words."""
+
+    def __init__(self, ties: DataFrame, entries: int) -> None:
+        self.table, self.shared = None, None
+        if ties.count() <= entries:
+            self.shared = ties.sparkSession.sparkContext.broadcast(lexicon_of([tuple(r) for r in ties.select("e", "f", "a").collect()]))
+        else:
+            self.table = ties
+
+    def __getstate__(self) -> dict:
+        return {"shared": self.shared, "table": None}
+
+    def joined(self, rows: DataFrame, source: str, target: str) -> DataFrame:
+        """``rows``, with ``_ties`` as their last column if the lexicon is a table: what is known of the words of both texts."""
+        rows = spread(rows)
+        if self.table is None:
+            return rows
+        key = F.xxhash64(F.lit(1), source, target), F.xxhash64(F.lit(2), target, source)
+        marked = rows.withColumn("_row", F.struct(*(k.alias(f"k{n}") for n, k in enumerate(key))))
+        shape = pa.schema([("k0", pa.int64()), ("k1", pa.int64()), ("source", pa.bool_()), ("word", pa.string())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [(*k, side, w) for *k, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True) for side, text in ((True, a), (False, b)) for w in {w for ws in read(text or "").words for w in ws}]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], type=f.type) for k, f in enumerate(shape)], schema=shape)
+
+        words = marked.select("_row.k0", "_row.k1", source, target).mapInArrow(run, "k0 bigint, k1 bigint, source boolean, word string")
+        of_e = self.table.groupBy(F.col("e").alias("word")).agg(F.max("a").alias("weight"), F.collect_list(F.struct("f", "a")).alias("ties")).withColumn("source", F.lit(True))
+        of_f = self.table.groupBy(F.col("f").alias("word")).agg(F.max("a").alias("weight")).withColumns({"ties": F.array().cast("array<struct<f:string,a:double>>"), "source": F.lit(False)})
+        known = words.distinct().join(of_e.unionByName(of_f), ["word", "source"]).groupBy(F.struct("k0", "k1").alias("_row")).agg(F.collect_list(F.struct("source", "word", "weight", "ties")).alias("_ties"))
+        return marked.join(known, "_row", "left").select(*rows.columns, "_ties")
+
+    def at(self, batch: pa.RecordBatch, row: int) -> Lexicon:
+        """The lexicon for a row of a batch as of ``joined``."""
+        if self.shared is not None:
+            return self.shared.value
+        entries = batch.columns[-1][row].as_py() or []
+        weights = [{x["word"]: x["weight"] for x in entries if x["source"] == side} for side in (True, False)]
+        here = [(x["word"], t["f"], t["a"]) for x in entries for t in x["ties"] if t["f"] in weights[1]]
+        return lexicon_of(here)._replace(weight_e=weights[0], weight_f=weights[1])
+
+
+def ties_of(texts: DataFrame, source: str, target: str, look: int = FIRST_LOOK) -> DataFrame:
+    """``e``, ``f``, ``a``: the ties learned from all rows with both texts.
 
     The strength of a tie is the geometric mean of both conditional shares, damped
     where the words meet hardly more often than by chance.
     """
-    sums = counted(texts.where((F.col(source) != "") & (F.col(target) != "")).select(source, target)).groupBy("e", "f").agg(F.sum("n").alias("n")).where(F.col("n") >= TIE_PAIRS)
-    sums = written(sums, "word-pairs")
-    total = (sums.where("e = '' and f = ''").agg(F.sum("n")).first()[0]) or 0
-    ones = sums.where("f = '' and e <> ''").select("e", F.col("n").alias("ne"))
-    others = sums.where("e = '' and f <> ''").select("f", F.col("n").alias("nf"))
-    # Words that stand in too many pairs were not counted to the end.
+    pairs = with_both(texts, source, target).select(source, target)
+    marks = (F.col("e") == STOPPED) | (F.col("f") == STOPPED)
+    sums = written(counted(pairs, look).groupBy("e", "f").agg(F.sum("n").alias("n")).where(marks | (F.col("n") >= TIE_PAIRS)), "word-pairs")
+    total = sums.where("e = '' and f = ''").agg(F.sum("n")).first()[0] or 0
+    # Fewer than (words of a sentence) / STOP_SHARE words on either side can be that frequent; tasks stop for as few each.
     most = STOP_SHARE * total
-    both = sums.where("e <> '' and f <> ''").join(ones.where(F.col("ne") <= most), "e").join(others.where(F.col("nf") <= most), "f")
+    never = tuple(frozenset(r[0] for r in sums.where((F.col(other) == "") & (F.col(own) != "") & (F.col("n") > most)).select(own).collect()) for own, other in (("e", "f"), ("f", "e")))
+    missed = tuple(frozenset(r[0] for r in sums.where(F.col(other) == STOPPED).select(own).collect()) - stop for (own, other), stop in zip((("e", "f"), ("f", "e")), never, strict=True))
+    both = sums.where(~marks & (F.col("e") != "") & (F.col("f") != ""))
+    if missed[0] or missed[1]:
+        again = counted(pairs, look, missed, never).groupBy("e", "f").agg(F.sum("n").alias("n")).where(F.col("n") >= TIE_PAIRS)
+        both = both.where(~F.col("e").isin(*missed[0]) & ~F.col("f").isin(*missed[1])).unionByName(again)
+    ones = sums.where("f = '' and e <> ''").select("e", F.col("n").alias("ne")).where(F.col("ne") <= most)
+    others = sums.where("e = '' and f <> ''").select("f", F.col("n").alias("nf")).where(F.col("nf") <= most)
     surprise = F.log(F.col("n") * float(total) / (F.col("ne") * F.col("nf")))
     tie = F.sqrt(F.col("n") / F.col("ne") * F.col("n") / F.col("nf")) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), surprise) / 2.5)
-    rows = both.withColumn("a", tie).where(F.col("a") >= TIE_STRENGTH).orderBy(F.desc("n"), "e", "f").limit(LEXICON_ENTRIES).select("e", "f", "a").collect() if total else []
-    ties = [(r["e"], r["f"], r["a"]) for r in rows]
+    return both.join(ones, "e").join(others, "f").withColumn("a", tie).where(F.col("a") >= TIE_STRENGTH).select("e", "f", "a")
+
+
+def glossary_ties(glossary: DataFrame) -> DataFrame:
+    """``e``, ``f``, ``a`` of the terms of a glossary (source_term, target_term) that are one word on either side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = [(words_of(a), words_of(b)) for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            found = [(e[0], f[0]) for e, f in terms if len(e) == len(f) == 1]
+            yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in found], type=pa.string()), pa.array([f for _, f in found], type=pa.string())], names=["e", "f"])
+
+    made = glossary.select("source_term", "target_term").dropna().mapInArrow(run, "e string, f string")
+    return made.distinct().withColumn("a", F.lit(GLOSSARY_TIE))
+
+
+def learned(texts: DataFrame, source: str, target: str, glossary: DataFrame | None = None, look: int = FIRST_LOOK, entries: int = LEXICON_ENTRIES) -> Ties:
+    """The lexicon of all rows of ``texts`` with both texts; terms of ``glossary`` that it lacks are added."""
+    ties = ties_of(texts, source, target, look)
     if glossary is not None:
-        # A hand-written list of terms.
-        known = {(e, f) for e, f, _ in ties}
-        for r in glossary.select("source_term", "target_term").dropna().limit(LEXICON_ENTRIES).collect():
-            e, f = words_of(r["source_term"]), words_of(r["target_term"])
-            if len(e) == len(f) == 1 and (e[0], f[0]) not in known:
-                known.add((e[0], f[0]))
-                ties.append((e[0], f[0], 0.8))
-    return lexicon_of(ties)
+        ties = ties.unionByName(glossary_ties(glossary)).groupBy("e", "f").agg(F.max_by("a", F.col("a") != GLOSSARY_TIE).alias("a"))
+    return Ties(written(ties, "ties"), entries)

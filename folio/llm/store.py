@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.runtime import shared_folder
+from folio.runtime import removed_at_exit, shared_folder
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -18,21 +17,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     again by each reader. The table is removed when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/folio-{name}-{uuid.uuid4().hex}"
+    path = removed_at_exit(spark, f"{shared_folder(spark)}/folio-{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark, path: str) -> None:
-    try:
-        jvm = spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001 - the session may already have ended
-        pass
-
-
 def bounded_sample(df: DataFrame, key: str, rows: int) -> list:
     """About ``rows`` rows (all, if there are fewer) with the smallest hashes of ``key``, as a list; for fitting models only.
 
