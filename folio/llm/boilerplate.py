@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator, Set
+from collections.abc import Iterable, Iterator, Set
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -34,8 +34,8 @@ RECUR_LEAST = 5
 PATTERN_VARIANTS = 6
 #: Share of a text that sentences of few rows must make up to tell it from others; below that it counts as a copy.
 OWN_SHARE = 0.125
-#: Longest sentence that can recur as a notice.
-NOTICE_CHARS = 160
+#: Words of a sentence up to which its pattern is looked for; longer ones are known by their hash alone.
+PATTERN_WORDS = 30
 #: Entries a task holds before it hands its counts on.
 HELD = 200_000
 #: Lines of this length are never menus.
@@ -56,19 +56,28 @@ class Line(NamedTuple):
     root: str
 
 
+HEADING = re.compile(r"^(#{1,6})\s+(.*)$")
+IMAGES = re.compile(r"(?:!\[[^\]]*\]\([^)]*\)\s*)+")
+ITEM = re.compile(r"^(?:[-*+•◦]|\d{1,3}[.)]|[۰-۹]{1,3}[.)])\s+(.*)$")
+BOLD = re.compile(r"\*\*[^*]+\*\*:?|__[^_]+__:?")
+ROW = re.compile(r"\s+[|·•–]\s+")
+ROW_MARKS, EMPHASIS_MARKS = frozenset("|·•–"), frozenset("*_#>`")
+
+
 def kind_of(s: str) -> tuple[str, str]:
     """Kind of a stripped line and the text it shows."""
-    if s.startswith("#") and (m := re.match(r"^(#{1,6})\s+(.*)$", s)):
+    first = s[0]
+    if first == "#" and (m := HEADING.match(s)):
         return "heading", m.group(2)
-    if s.startswith("|"):
+    if first == "|":
         return "table", s
-    if re.fullmatch(r"(?:!\[[^\]]*\]\([^)]*\)\s*)+", s):
+    if first == "!" and IMAGES.fullmatch(s):
         return "image", s
-    if s.startswith(">"):
+    if first == ">":
         return "quote", s.lstrip("> ")
-    if m := re.match(r"^(?:[-*+•◦]|\d{1,3}[.)]|[۰-۹]{1,3}[.)])\s+(.*)$", s):
+    if not first.isalpha() and (m := ITEM.match(s)):
         return "item", m.group(1)
-    if re.fullmatch(r"\*\*[^*]+\*\*:?|__[^_]+__:?", s):
+    if first in "*_" and BOLD.fullmatch(s):
         return "bold", s.strip("*_: ")
     return "text", s
 
@@ -99,12 +108,16 @@ def shape_of(line: Line) -> str:
     """The path of a line: block, kind, shape."""
     if line.kind in ("code", "table", "image"):
         return line.kind
-    shown = LINK.sub(r"\1", line.text)
-    linked = sum(len(m.group(1)) for m in LINK.finditer(line.text))
-    rest = re.sub(r"[\s|·•–—\-*_:]+", "", LINK.sub("", line.text))
-    share = "all" if linked and not rest else "much" if linked * 2 > len(shown) else "some" if linked else "no"
-    parts = re.split(r"\s+[|·•–]\s+", shown)
-    row = len(parts) >= 2 and max(len(p.split()) for p in parts) <= 4
+    shown, linked, share = line.text, 0, "no"
+    if "](" in shown:
+        shown = LINK.sub(r"\1", line.text)
+        linked = sum(len(m.group(1)) for m in LINK.finditer(line.text))
+        rest = re.sub(r"[\s|·•–—\-*_:]+", "", LINK.sub("", line.text))
+        share = "all" if linked and not rest else "much" if linked * 2 > len(shown) else "some" if linked else "no"
+    row = False
+    if not ROW_MARKS.isdisjoint(shown):
+        parts = ROW.split(shown)
+        row = len(parts) >= 2 and max(len(p.split()) for p in parts) <= 4
     words = len(shown.split())
     size = "1" if words <= 3 else "2" if words <= 9 else "3" if words <= 19 else "4" if words < 50 else "5"
     if len(shown) >= LONG_LINE and not row:
@@ -125,10 +138,13 @@ def plain(text: str, label: str) -> str:
         text = LINK.sub(r"\1", text)
     if "@" in text or "://" in text:
         text = ADDRESS.sub("@", text)
-    text = EMPHASIS.sub(" ", DIGITS.sub("9", text))
+    text = DIGITS.sub("9", text)
+    if not EMPHASIS_MARKS.isdisjoint(text):
+        text = EMPHASIS.sub(" ", text)
     if label and label in text.lower():
         text = re.sub(rf"(?i)\b{re.escape(label)}\b(?: [A-Z]\w+)?", "@", text)
-    return ENTRY.sub("", " ".join(text.split()))
+    text = " ".join(text.split())
+    return text if text[:1].isalpha() else ENTRY.sub("", text)
 
 
 def label_of(host: str | None) -> str:
@@ -175,7 +191,7 @@ def counted(articles: DataFrame, host: str, markdown: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), COUNTS, strict=True)], schema=COUNTS)
 
         def sums() -> pa.RecordBatch:
-            return handed([("path", hashed(p), p, *v, None, None, None, None) for p, v in paths.items()] + [("sentence", hashed(s), s, n, 0, 0, None, None, None, None) for s, n in held.items()])
+            return handed([("path", hashed(p), p, *v, None, None, None, None) for p, v in paths.items()] + [("sentence", hashed(s), s if s.count(" ") < PATTERN_WORDS else "", n, 0, 0, None, None, None, None) for s, n in held.items()])
 
         for batch in batches:
             read = []
@@ -186,12 +202,12 @@ def counted(articles: DataFrame, host: str, markdown: str) -> DataFrame:
                         continue
                     lines.append((line.kind, path := shape_of(line), parts := sentences(line, label)))
                     stats = paths.setdefault(path, [0, 0, 0])
-                    shown = LINK.sub(r"\1", line.text)
+                    shown = LINK.sub(r"\1", line.text) if "](" in line.text else line.text
                     stats[0] += 1
                     stats[1] += len(shown)
                     stats[2] += len(MARKS.findall(shown))
                     # Sentences of paragraphs are counted as well, so that their patterns show.
-                    seen.update(s for s in parts if len(s) <= NOTICE_CHARS)
+                    seen.update(parts)
                     if line.kind == "text" and ":" in line.text and not TERMINAL.search(line.text):
                         seen.add(plain(line.text.split(":", 1)[0], label) + ":")
                 held.update(seen)
@@ -296,18 +312,18 @@ def content_paths(rows: list[tuple[str, int, int, int]]) -> frozenset[str]:
     return frozenset(found)
 
 
-def recurring_sentences(rows: list[tuple[str, int]], least: float) -> list[str]:
-    """Texts that recur in ``least`` articles or more and belong to no pattern: ``rows`` are texts and the articles they occur in."""
+def recurring_sentences(rows: list[tuple[int, str, int]], least: float) -> dict[int, str]:
+    """Of sentences (key, text, texts they occur in) those that recur in ``least`` texts or more and belong to no pattern. Sentences without a text are too long for one."""
     variants: Counter = Counter()
-    masked: dict[str, list[str]] = {}
-    for text, _ in rows:
+    masked: dict[int, list[str]] = {}
+    for key, text, _ in rows:
         words = text.split(" ")
-        masks = [" ".join((*words[:k], "\0", *words[k + 1 :])) for k in range(len(words))] if 2 <= len(words) <= 30 else []
-        if 4 <= len(words) <= 30:
+        masks = [" ".join((*words[:k], "\0", *words[k + 1 :])) for k in range(len(words))] if 2 <= len(words) <= PATTERN_WORDS else []
+        if 4 <= len(words) <= PATTERN_WORDS:
             masks += [" ".join((*words[:k], "\0", *words[k + 2 :])) for k in range(len(words) - 1)]
-        masked[text] = masks
+        masked[key] = masks
         variants.update(masks)
-    return [t for t, n in rows if n >= least and max((variants[m] for m in masked[t]), default=0) < PATTERN_VARIANTS]
+    return {key: text for key, text, n in rows if n >= least and max((variants[m] for m in masked[key]), default=0) < PATTERN_VARIANTS}
 
 
 def learned(articles: DataFrame, host: str = "host", markdown: str = "markdown") -> Model:
@@ -335,10 +351,17 @@ def learned(articles: DataFrame, host: str = "host", markdown: str = "markdown")
         if (before * RECUR_RATE / 4 <= 2 or before <= 4 * texts) and copied.isEmpty():
             break
     some = max(2, RECUR_RATE / 4 * texts)
-    found = recurring_sentences([(known[k], n) for k, n in counts.items() if n >= some], max(RECUR_LEAST, RECUR_RATE * texts))
-    recurring = frozenset(map(hashed, found))
+    found = recurring_sentences([(k, known[k], n) for k, n in counts.items() if n >= some], max(RECUR_LEAST, RECUR_RATE * texts))
+    recurring = frozenset(found)
+    starts, most = rows_of(found.values())
     sites = host_sentences(per_host, whole, every.where("host is not null and key is not null"), sizes, recurring)
-    return Model(content_paths(paths), recurring, frozenset(t.split(" ", 1)[0] for t in found), max((t.count(" ") + 1 for t in found), default=0), written(sites, "host-sentences"))
+    return Model(content_paths(paths), recurring, starts, most, written(sites, "host-sentences"))
+
+
+def rows_of(texts: Iterable[str]) -> tuple[frozenset[str], int]:
+    """First words of sentences that may stand in a row, and the most words one has."""
+    held = [t for t in texts if t]
+    return frozenset(t.split(" ", 1)[0] for t in held), max((t.count(" ") + 1 for t in held), default=0)
 
 
 def host_sentences(per_host: DataFrame, whole: DataFrame, counts: DataFrame, sizes: DataFrame, recurring: Set[int]) -> DataFrame:
@@ -355,11 +378,13 @@ def host_sentences(per_host: DataFrame, whole: DataFrame, counts: DataFrame, siz
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         # Sentences in too few texts serve only to show patterns.
         part = part.fillna({"texts": 0})
-        found = [t for t in recurring_sentences(list(zip(part["text"], part["texts"], strict=True)), max(RECUR_LEAST, RECUR_RATE * part["size"].iloc[0])) if hashed(t) not in recurring]
-        row = (part["host"].iloc[0], [hashed(t) for t in found], sorted({t.split(" ", 1)[0] for t in found}), max((t.count(" ") + 1 for t in found), default=0))
+        every = recurring_sentences(list(zip(part["key"].tolist(), part["text"], part["texts"], strict=True)), max(RECUR_LEAST, RECUR_RATE * part["size"].iloc[0]))
+        found = {key: t for key, t in every.items() if key not in recurring}
+        starts, most = rows_of(found.values())
+        row = (part["host"].iloc[0], list(found), sorted(starts), most)
         return pd.DataFrame([row] if found else [], columns=["host", "keys", "starts", "most"], dtype=object)
 
-    return rows.select("host", "text", "texts", "size").groupBy("host").applyInPandas(fold, shape)
+    return rows.select("host", "key", "text", "texts", "size").groupBy("host").applyInPandas(fold, shape)
 
 
 def with_sites(source: DataFrame, model: Model) -> DataFrame:
@@ -389,7 +414,7 @@ def is_recurring(sentence: str, model: Model) -> bool:
     if not sentence or hashed(sentence) in model.recurring:
         return True
     words = sentence.split(" ")
-    if words[0] not in model.starts or len(words) > 80:
+    if words[0] not in model.starts:
         return False
     reach = {0}
     for start, word in enumerate(words):

@@ -63,9 +63,21 @@ def test_empty(spark):
 
 
 def test_patterns_are_no_notices():
-    rows = [(f"Why does the {w} wait?", 50) for w in "abcdefghij"] + [("We use cookies.", 50)]
-    assert B.recurring_sentences(rows, 10) == ["We use cookies."]
-    assert B.recurring_sentences([], 1) == []
+    rows = [(k, f"Why does the {w} wait?", 50) for k, w in enumerate("abcdefghij")] + [(20, "We use cookies.", 50), (21, "", 50), (22, "", 5)]
+    assert B.recurring_sentences(rows, 10) == {20: "We use cookies.", 21: ""}
+    assert B.recurring_sentences([], 1) == {}
+
+
+def test_long_notices(spark):
+    import random
+
+    chance = random.Random(1)
+    words = [f"{a}{b}" for a in ("stone", "river", "glass", "paper", "light") for b in ("work", "field", "side", "man", "ton", "ly")]
+    prose = lambda: " ".join(chance.choices(words, k=30)).capitalize() + ", and so on."
+    notice = "By reading on you accept that this site and all of its many partners keep small files on your machine, " + "that they may be read again whenever you come back, " * 9 + "and that you were told so."
+    rows = [(str(k), f"h{k % 7}.example", "T", f"# {prose()[:40]}\n\n{prose()} {prose()}\n\n{prose()}\n\n{notice}\n\n{prose()}") for k in range(60)]
+    found = {(r.article_id, r.line_no) for r in B.not_article(spark.createDataFrame(rows, "article_id string, host string, title string, markdown string")).collect()}
+    assert found == {(str(k), 7) for k in range(60)}
 
 
 def test_long_line():
