@@ -223,11 +223,11 @@ def induce(x: np.ndarray, kinds: np.ndarray, seed: int = 3) -> list[Rule]:
     return rules
 
 
-def case_sql(rules: list[Rule]) -> str:
-    """The rule list as a CASE expression over the statistics."""
+def case_sql(rules: list[Rule], of: str = "") -> str:
+    """The rule list as a CASE expression over the statistics, which are columns, or fields of ``of``."""
     if not rules:
         return f"'{DEFAULT}'"
-    when = " ".join(f"WHEN {' AND '.join(f'{t.name} {">=" if t.above else "<"} {t.limit!r}D' for t in r.tests)} THEN '{r.kind}'" for r in rules)
+    when = " ".join(f"WHEN {' AND '.join(f'{of}{t.name} {">=" if t.above else "<"} {t.limit!r}D' for t in r.tests)} THEN '{r.kind}'" for r in rules)
     return f"CASE {when} ELSE '{DEFAULT}' END"
 
 
@@ -250,6 +250,15 @@ def kinds(documents: DataFrame, common: DataFrame, rules: list[Rule] | None = No
     return statistics(documents, common).withColumn("kind", F.when(~F.col("blank"), F.expr(case_sql(rules))))
 
 
-def not_prose(documents: DataFrame, common: DataFrame) -> DataFrame:
-    """``doc_id``, ``kind`` of the documents that are no natural prose."""
-    return kinds(documents, common).where(F.col("kind").isin(*KINDS)).select("doc_id", "kind")
+def not_prose(documents: DataFrame, common: DataFrame, rules: list[Rule] | None = None, key: str = "doc_id") -> DataFrame:
+    """``doc_id``, ``kind`` of the documents that are no natural prose.
+
+    The statistics that rules use are fields of one value and the kinds are exploded,
+    so that the optimizer neither writes a statistic out at each of its tests nor
+    repeats the whole rule list in a filter.
+    """
+    rules = fit(documents, common) if rules is None else rules
+    used = sorted({t.name for r in rules for t in r.tests})
+    held = statistics(documents, common, key).select(key, F.struct("blank", *used).alias("s"))
+    found = F.expr(f"filter(transform(array(s), x -> CASE WHEN x.blank THEN '{DEFAULT}' ELSE {case_sql(rules, 'x.')} END), k -> k <> '{DEFAULT}')")
+    return held.select(key, F.explode(found).alias("kind"))
