@@ -1,7 +1,9 @@
 """Labelled documents from which the rule list is fitted.
 
 Each line of a document is labelled by what it is made of; a document whose
-characters lie almost wholly in lines of one kind gets that label. Documents of
+characters lie almost wholly in lines of one kind gets that label. Whether its
+letters are a language at all is told by a trigram model of the documents
+themselves, which no statistic of the rules knows. Documents of
 two kinds are made by joining unanimous ones in known proportions and get the
 label of the larger part, so that the thresholds lie where most of the text
 changes kind and not somewhere between the extremes.
@@ -12,6 +14,7 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
+from collections.abc import Callable
 
 SENTENCE_END = re.compile(r"[.!?؟…][\"'”’»)\]*_`]*$")
 MARK = re.compile(r"^(?:[-*+•◦▪‣·–—]|\[[ xX]\]|[(\[]?(?:\d{1,3}|[a-zA-Z]|[ivx]{1,5})[.)\]]|\d{1,3}(?:\.\d{1,3})+\.?)\s+")
@@ -86,11 +89,13 @@ def unanimous(text: str) -> str | None:
     return kind if held >= 0.9 * total else None
 
 
-def labelled(texts: list[str], seed: int = 11) -> tuple[list[str], list[str]]:
-    """Texts and labels: the unanimous ones of ``texts`` and joins of prose with the other kinds."""
+def labelled(texts: list[str], seed: int = 11, unreadable: Callable[[str], bool] = lambda _: False) -> tuple[list[str], list[str]]:
+    """Texts and labels: the unanimous ones of ``texts`` and joins of prose with the other kinds. Prose that is ``unreadable`` is junk."""
     by: dict[str, list[str]] = {"prose": [], "list": [], "table": [], "junk": []}
     for t in texts:
-        if (kind := unanimous(t)) is not None:
+        if (kind := unanimous(t)) == "prose" and unreadable(t):
+            kind = "junk"
+        if kind is not None:
             by[kind].append(t)
     out = [(t, kind) for kind, held in by.items() for t in held]
     chance = random.Random(seed)

@@ -14,11 +14,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import examples
+from folio.llm import examples, responses
 from folio.llm.store import bounded_sample, spread
 
 #: Documents from which the rule list is fitted, at most; they are labelled by ``examples`` and only fit the thresholds.
 FIT_ROWS = 6000
+#: Log-likelihood a trigram by which a text of the sample must fall short of its language's least usual one to be labelled as none.
+UNREADABLE = 1.5
 #: Share of a rule's covered rows that may be wrong after pruning.
 MOST_WRONG = 0.1
 #: Splits into growing and pruning rows that may fail in a row before a kind is given up.
@@ -37,12 +39,17 @@ LEADERS = r"(?:\.{4,}|…{2,}|(?:\. ){3,}|_{4,})\s*\p{Nd}*$"
 INDEX_LINE = r"^[^,\n]{1,60}(?:, ?\p{Nd}+(?:[–-]\p{Nd}+)?)+$"
 HEX_LINE = r"^(?:[0-9a-fA-F]{6,8}:?\s+)?(?:[0-9a-fA-F]{2}\s+){6,}[0-9a-fA-F]{2}"
 
+#: Marks in a row behind a word, consonants in a row, and marks or capitals inside a word.
+MARK_RUN = r"[\p{L}\p{N}][!?;:/,]{2,}"
+CLUSTER = r"(?i)[bcdfghjklmnpqrstvwxz]{5,}"
+INNER_MARK = r"\p{L}[.,;!?]\p{L}|\p{Ll}\p{Lu}"
+
 #: Characters of a line beyond which it is no entry (fixed value; a paragraph, not an item of a list).
 LONGEST_ENTRY = 300
 
 #: Statistics; of equally good tests the first one named is taken.
 NAMES = (
-    "hex_share", "odd_char_ratio", "symbol_ratio", "long_word_share", "cell_share", "entry_share", "short_line_share", "distinct_word_share", "words_per_line", "end_punct_share",
+    "hex_share", "odd_char_ratio", "mark_run_share", "cluster_share", "inner_mark_share", "symbol_ratio", "long_word_share", "cell_share", "entry_share", "short_line_share", "distinct_word_share", "words_per_line", "end_punct_share",
     "common_word_share", "digit_ratio", "sentence_share", "mean_word_length", "n_words",
 )
 
@@ -132,6 +139,7 @@ def statistics(documents: DataFrame, common: DataFrame, key: str = "doc_id", tex
         ratio(count_of(F.col("t"), r"[\x{FFFD}\x{2500}-\x{259F}\x{80}-\x{9F}\x{1}-\x{8}Â-ÃØÙÛ¬€^`~%°]"), seen).alias("odd_char_ratio"),
         ratio(F.size(F.array_distinct("words")), n).alias("distinct_word_share"),
         char_share(lines, lambda x: x.contains(" ") & x.rlike(HEX_LINE)).alias("hex_share"),
+        *(ratio(F.regexp_count("t", F.lit(pattern)), n).alias(name) for name, pattern in (("mark_run_share", MARK_RUN), ("cluster_share", CLUSTER), ("inner_mark_share", INNER_MARK))),
         ratio(F.size(F.filter(F.col("words"), lambda x: x.rlike(SENTENCE_END))), F.sqrt(n.cast("double"))).alias("sentence_share"),
     )
 
@@ -233,8 +241,10 @@ def case_sql(rules: list[Rule], of: str = "") -> str:
 
 def fit(documents: DataFrame, common: DataFrame, rows: int = FIT_ROWS, key: str = "doc_id", text: str = "text") -> list[Rule]:
     """The rule list of a bounded sample of labelled documents (the ``rows`` with the smallest hash of their key)."""
-    sample = bounded_sample(documents.where(F.col(text).isNotNull()).select(key, text), key, rows)
-    texts, labels = examples.labelled([r[text] for r in sample])
+    lang = F.col("lang") if "lang" in documents.columns else F.lit(None).cast("string")
+    sample = bounded_sample(documents.where(F.col(text).isNotNull()).select(key, text, lang.alias("lang")), key, rows)
+    models = responses.fitted([(r[text], code) for r in sample if (code := responses.code_of(r["lang"])) in responses.CODES])
+    texts, labels = examples.labelled([r[text] for r in sample], unreadable=lambda t: responses.shortfall(t, models) > UNREADABLE)
     if not texts:
         return []
     spark: SparkSession = documents.sparkSession
