@@ -2,9 +2,10 @@
 
 The tokens of each source form one stream (its records in order of their id) that
 is cut into blocks of a fixed length. The number of blocks a source contributes
-follows from its target share, its size and how often a record may be used. Each
-output shard draws its source counts from a multinomial distribution conditioned
-on those totals (a multivariate hypergeometric draw), the slots of a source run
+follows from its target share, its size and how often a record may be used. Output
+shards lie in groups that get equal parts of every source; each shard of a group
+draws its source counts from a multinomial distribution conditioned on the group's
+totals (a multivariate hypergeometric draw). The slots of a source run
 through one pseudorandom permutation of its block numbers per repeat, and blocks
 join slots by their number.
 """
@@ -25,9 +26,11 @@ from folio.llm.tokens import TOKENIZER, encode_ids
 
 #: Tokens of a block; the last block of a source may be shorter.
 BLOCK_TOKENS = 512
-#: Slots (blocks) of an output shard, and how many shards there are at most.
+#: Slots (blocks) of an output shard; shards of a group, which one task draws.
 SHARD_SLOTS = 4096
-MOST_SHARDS = 4096
+GROUP_SHARDS = 4096
+#: Slots that one task writes out.
+TASK_SLOTS = 1 << 18
 #: Records that one task orders when the streams are laid out.
 RECORDS_PER_BUCKET = 50_000
 
@@ -108,22 +111,35 @@ def allocate(sources: list[tuple[str, float, int, int]], total: int | None = Non
     return result
 
 
-def draw(shares: list[Share], seed: int) -> list[tuple[int, int, int, int, int]]:
-    """Rows (shard, source number, slots, first slot of the source, first place in the shard)."""
-    left = np.array([s.slots for s in shares], dtype=np.int64)
-    count = int(min(MOST_SHARDS, max(1, -(-int(left.sum()) // SHARD_SLOTS))))
-    generator, used, rows = np.random.default_rng(seed), np.zeros(len(shares), dtype=np.int64), []
+def groups(shares: list[Share], seed: int, most: int = GROUP_SHARDS * SHARD_SLOTS) -> list[tuple[int, int, list[int], list[int]]]:
+    """Rows (group, first shard, slots of each source, slots of each source before): equal parts of every source, what does not divide at random."""
+    total = sum(s.slots for s in shares)
+    count = max(1, -(-total // most))
+    generator = np.random.default_rng(seed)
+    parts = np.zeros((count, len(shares)), dtype=np.int64)
+    for k, s in enumerate(shares):
+        parts[:, k] = s.slots // count
+        parts[generator.permutation(count)[: s.slots % count], k] += 1
+    used = np.cumsum(parts, axis=0) - parts
+    shards = [max(1, -(-int(n) // SHARD_SLOTS)) for n in parts.sum(axis=1)]
+    return list(zip(range(count), np.cumsum([0, *shards[:-1]]).tolist(), parts.tolist(), used.tolist(), strict=True))
+
+
+def shards_of(group: int, first_shard: int, counts: list[int], used: list[int], seed: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """Rows (shard, source number, slots, first slot of the source, first place in the shard) of one group."""
+    left, used = np.array(counts, dtype=np.int64), np.array(used, dtype=np.int64)
+    count = max(1, -(-int(left.sum()) // SHARD_SLOTS))
+    generator = np.random.default_rng([seed, group])
     for shard in range(count):
         size = int(left.sum()) // (count - shard)
-        counts = generator.multivariate_hypergeometric(left, size, method="marginals") if size else np.zeros_like(left)
+        drawn = generator.multivariate_hypergeometric(left, size, method="marginals") if size else np.zeros_like(left)
         place = 0
-        for k, n in enumerate(counts.tolist()):
+        for k, n in enumerate(drawn.tolist()):
             if n:
-                rows.append((shard, k, n, int(used[k]), place))
+                yield first_shard + shard, k, n, int(used[k]), place
                 place += n
-        used += counts
-        left = left - counts
-    return rows
+        used += drawn
+        left = left - drawn
 
 
 def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
@@ -155,9 +171,19 @@ def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
 
 def slots(spark, shares: list[Share], seed: int) -> DataFrame:
     """``shard``, ``slot``, ``source``, ``epoch``, ``block`` of every slot of the mix."""
-    rows = draw(shares, seed)
     names, sizes = [s.source for s in shares], [s.blocks for s in shares]
-    plan = spark.createDataFrame(rows, "shard int, k int, n bigint, first bigint, place bigint").repartition(max(1, min(len(rows), 256)), "shard", "k")
+    drawn_of = groups(shares, seed) if shares else []
+    total = sum(s.slots for s in shares)
+    schema = pa.schema([("shard", pa.int64()), ("k", pa.int32()), ("n", pa.int64()), ("first", pa.int64()), ("place", pa.int64())])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group, first_shard, counts, used in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = list(shards_of(group, first_shard, counts, used, seed))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=f.type) for k, f in enumerate(schema)], schema=schema)
+
+    plan = spark.createDataFrame(drawn_of, "group_no bigint, first_shard bigint, counts array<bigint>, used array<bigint>").repartition(max(1, len(drawn_of)))
+    plan = plan.mapInArrow(draw, "shard bigint, k int, n bigint, first bigint, place bigint").repartition(max(1, -(-total // TASK_SLOTS)), "shard", "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,11 +196,11 @@ def slots(spark, shares: list[Share], seed: int) -> DataFrame:
                         at = epoch == e
                         block[at] = permuted(inner[at], sizes[k], seed * 1_000_003 + k * 1009 + int(e))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(number.size, shard, dtype=np.int32)), pa.array(np.arange(place + low, place + low + number.size)), pa.array([names[k]] * number.size, type=pa.string()), pa.array(epoch.astype(np.int32)), pa.array(block)],
+                        [pa.array(np.full(number.size, shard, dtype=np.int64)), pa.array(np.arange(place + low, place + low + number.size)), pa.array([names[k]] * number.size, type=pa.string()), pa.array(epoch.astype(np.int32)), pa.array(block)],
                         names=["shard", "slot", "source", "epoch", "block"],
                     )
 
-    made = plan.mapInArrow(run, "shard int, slot bigint, source string, epoch int, block bigint")
+    made = plan.mapInArrow(run, "shard bigint, slot bigint, source string, epoch int, block bigint")
     # Inside a shard the sources come in runs; readers take slots in the order of ``place``.
     return made.withColumn("place", F.xxhash64(F.lit(seed), "shard", "slot"))
 

@@ -11,13 +11,12 @@ rank of each word and merges its occurrences from left to right.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from folio.llm.store import spread
 
@@ -42,9 +41,8 @@ def byte_alphabet() -> dict[str, int]:
 class Encoder:
     """Encodes words; holds the sorted pair table and the words met so far."""
 
-    def __init__(self, path: str = TOKENIZER) -> None:
-        with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+    def __init__(self, raw: bytes) -> None:
+        model = json.loads(raw)["model"]
         vocabulary, alphabet = model["vocab"], byte_alphabet()
         self.of_byte = np.zeros(256, dtype=np.int64)
         for letter, byte in alphabet.items():
@@ -111,9 +109,25 @@ class Encoder:
         return (np.concatenate(flat) if flat else np.empty(0, dtype=np.int32)), np.cumsum([0, *sizes], dtype=np.int64)
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def read_tokenizer(path: str = TOKENIZER) -> bytes:
+    with open(path, "rb") as file:
+        return file.read()
+
+
+#: Encoders of this Python worker by the file they come from.
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str, raw: Callable[[], bytes]) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(raw())
+    return _encoders[path]
+
+
+def shipped(spark: SparkSession, path: str) -> Callable[[], Encoder]:
+    """The encoder of a tokenizer file that the driver reads; workers get its few megabytes, they need no file."""
+    shared = spark.sparkContext.broadcast(read_tokenizer(path))
+    return lambda: encoder(path, lambda: shared.value)
 
 
 def portions(texts: list[str | None], chars: int) -> Iterator[tuple[int, int]]:
@@ -136,9 +150,10 @@ def encode_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", pa
     repeated results; other columns are left out. One pass over the scan without a shuffle (but see ``store.spread``).
     """
     source = spread(documents.select(key, text))
+    own = shipped(documents.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(path)
+        tool = own()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for first, last in portions(texts, BATCH_CHARS):
@@ -153,9 +168,10 @@ def token_counts(documents: DataFrame, keys: list[str], text: str = "text", path
     """``keys`` and the number of tokens of every row; 0 for empty and null texts."""
     source = spread(documents.select(*keys, text))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1]) + f", `{name}` bigint"
+    own = shipped(documents.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(path)
+        tool = own()
         for batch in batches:
             texts = batch.column(len(keys)).to_pylist()
             for first, last in portions(texts, BATCH_CHARS):

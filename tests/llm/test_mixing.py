@@ -24,11 +24,23 @@ def test_allocation_reaches_targets_or_caps():
 
 def test_draw_is_exact():
     shares = mixing.allocate([("a", 0.7, 1, 5_000_000), ("b", 0.3, 2, 2_000_000)])
-    rows = mixing.draw(shares, 3)
-    for k, s in enumerate(shares):
-        own = [r for r in rows if r[1] == k]
-        assert sum(r[2] for r in own) == s.slots
-        assert [r[3] for r in own] == np.cumsum([0, *(r[2] for r in own)])[:-1].tolist()
+    for most in (10**9, 5000, 700):
+        groups = mixing.groups(shares, 3, most)
+        rows = [r for g in groups for r in mixing.shards_of(*g, 3)]
+        assert len(groups) == max(1, -(-sum(s.slots for s in shares) // most))
+        assert [*dict.fromkeys(r[0] for r in rows)] == list(range(rows[-1][0] + 1))
+        for k, s in enumerate(shares):
+            own = [r for r in rows if r[1] == k]
+            assert sum(r[2] for r in own) == s.slots
+            assert [r[3] for r in own] == np.cumsum([0, *(r[2] for r in own)])[:-1].tolist()
+
+
+def test_many_slots():
+    """More slots than one draw can take, and more shards than one group has."""
+    shares = mixing.allocate([("a", 0.7, 1, 3 * 10**12), ("b", 0.3, 2, 10**12)])
+    groups = mixing.groups(shares, 3)
+    assert len(groups) > 400 and [sum(g[2][k] for g in groups) for k in (0, 1)] == [s.slots for s in shares]
+    assert max(sum(g[2]) for g in groups) - min(sum(g[2]) for g in groups) <= 2
 
 
 def frames(spark, documents, targets):

@@ -19,7 +19,7 @@ TEXTS = ["", "a", "aaaaaaa", "Hello  world\n\n\n x", "<|endoftext|>", "سلام
 
 
 def ids(texts):
-    flat, offsets = tokens.encoder(tokens.TOKENIZER).encode(texts)
+    flat, offsets = tokens.encoder(tokens.TOKENIZER, tokens.read_tokenizer).encode(texts)
     return [flat[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
