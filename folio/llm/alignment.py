@@ -16,7 +16,8 @@ between candidates, so nothing of the size of all sentence pairs is built.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Container, Iterable, Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,23 +43,39 @@ REST_LIKE = 0.25
 PLACE_BONUS = 0.03
 
 Pair = tuple[int, int]
+NOTHING: dict[str, float] = {}
 
 
 class Side:
-    """The sentences of one text as words that can match, their weights, and where each word stands."""
+    """The sentences of one text as words that can match, with their weights."""
 
-    def __init__(self, words: list[list[str]], weights: dict[str, float], ties: dict[str, dict[str, float]], shared: Callable[[str], bool]) -> None:
+    def __init__(self, words: list[list[str]], weights: dict[str, float], ties: dict[str, dict[str, float]], shared: Callable[[str], bool], both: Container[str] = ()) -> None:
         self.ties, self.weights = ties, weights
         self.words: list[dict[str, float]] = []
         self.size: list[float] = []
-        self.at: dict[str, list[int]] = {}
-        for k, ws in enumerate(words):
-            own = set(ws)
-            held = {w: weights.get(w) or ANCHOR_WEIGHT for w in own if w in weights or shared(w)}
+        self.places: dict[str, list[int]] | None = None
+        for ws in words:
+            own, held = set(ws), {}
+            for w in own:
+                if w in both or w not in weights and shared(w):
+                    held[w] = ANCHOR_WEIGHT
+                elif w in weights:
+                    held[w] = weights[w]
             self.words.append(held)
             self.size.append(max(sum(held.values()) + UNTIED * (len(own) - len(held)), 1e-6))
-            for w in held:
-                self.at.setdefault(w, []).append(k)
+
+    @property
+    def at(self) -> dict[str, list[int]]:
+        """The inverted list: where each word stands."""
+        if self.places is None:
+            self.places = {}
+            for k, held in enumerate(self.words):
+                for w in held:
+                    if w in self.places:
+                        self.places[w].append(k)
+                    else:
+                        self.places[w] = [k]
+        return self.places
 
     def within(self, word: str, low: int, high: int) -> list[int]:
         """Sentences from ``low`` to before ``high`` that hold a word."""
@@ -70,41 +87,43 @@ class Page:
     """Likeness of the sentences of two texts, over the words of this page only."""
 
     def __init__(self, source: Text, target: Text, lexicon: Lexicon) -> None:
-        latin = {w for ws in target.words for w in ws if w[0] <= "z"}
-        here = {w for ws in source.words for w in ws}
-        self.both = {w for w in latin & here if w[0] > "9" or len(w) > 1}
-        # A word that stands on both sides weighs as an anchor, whatever its ties.
-        weights = {**{w: lexicon.weight_e[w] for w in here if w in lexicon.weight_e}, **dict.fromkeys(self.both, ANCHOR_WEIGHT)}
-        self.s = Side(source.words, weights, lexicon.forward, lambda w: w[0] <= "9" and len(w) > 1)
-        self.t = Side(target.words, lexicon.weight_f, lexicon.backward, lambda w: w[0] <= "z" and (w[0] > "9" or len(w) > 1))
+        latin = {w for ws in target.words for w in ws if w < "{"}
+        self.both = {w for ws in source.words for w in ws if w in latin and (len(w) > 1 or w > "9")} if latin else set()
+        # A source word that stands on both sides weighs as an anchor, whatever its ties.
+        self.s = Side(source.words, lexicon.weight_e, lexicon.forward, lambda w: w < ":" and len(w) > 1, self.both)
+        self.t = Side(target.words, lexicon.weight_f, lexicon.backward, lambda w: w < "{" and (w > "9" or len(w) > 1))
         self.n, self.m = len(source.words), len(target.words)
+        self.known: dict[tuple[int, bool], dict[int, float]] = {}
 
     def place(self, i: int, j: int) -> float:
         return PLACE_BONUS * (1 - abs((i + 0.5) / self.n - (j + 0.5) / self.m))
 
-    def matches(self, es: Iterable[str], fs: Iterable[str]) -> tuple[dict[str, float], dict[str, float]]:
+    def matches(self, es: Iterable[str], fs: Container[str]) -> tuple[dict[str, float], dict[str, float]]:
         """How firmly each of the words on one side is expected by some word of the other."""
-        fs = fs if isinstance(fs, dict) else dict.fromkeys(fs)
         by_e: dict[str, float] = {}
         by_f: dict[str, float] = {}
-        forward = self.s.ties
+        forward, both = self.s.ties, self.both
         for e in es:
-            if (known := forward.get(e)) is not None:
-                for f in known.keys() & fs.keys():
-                    a = known[f]
-                    if a > by_e.get(e, 0.0):
-                        by_e[e] = a
-                    if a > by_f.get(f, 0.0):
-                        by_f[f] = a
-            if e in fs and e in self.both:
+            if e in forward:
+                top = 0.0
+                for f, a in forward[e].items():
+                    if f in fs:
+                        if a > top:
+                            top = a
+                        if f not in by_f or a > by_f[f]:
+                            by_f[f] = a
+                if top:
+                    by_e[e] = top
+            if e in both and e in fs:
                 by_e[e] = by_f[e] = ANCHOR_WEIGHT
         return by_e, by_f
 
     def like(self, i: int, j: int) -> float:
         """Likeness of a pair; 0 where nothing is shared."""
         by_e, by_f = self.matches(self.s.words[i], self.t.words[j])
-        if not by_f:
-            return 0.0
+        return self.likeness(i, j, by_e, by_f) if by_f else 0.0
+
+    def likeness(self, i: int, j: int, by_e: dict[str, float], by_f: dict[str, float]) -> float:
         return (min(1.0, sum(by_f.values()) / self.t.size[j]) + min(1.0, sum(by_e.values()) / self.s.size[i])) / 2 + self.place(i, j)
 
     def cover(self, i: list[int], j: list[int]) -> float:
@@ -115,43 +134,58 @@ class Page:
         held = sum(min(weight, by_e.get(e, 0.0)) for a in i for e, weight in self.s.words[a].items())
         return (got / sum(self.t.size[b] for b in j) + held / sum(self.s.size[a] for a in i)) / 2
 
+    def all_likes(self, k: int, of_source: bool) -> dict[int, float]:
+        """Likeness of one sentence to all of the other side that share something with it."""
+        found = self.known.get((k, of_source))
+        if found is None:
+            found = self.known[k, of_source] = self.likes(k, of_source, 0, self.m if of_source else self.n)
+        return found
+
     def likes(self, k: int, of_source: bool, low: int, high: int) -> dict[int, float]:
         """Likeness of one sentence to those from ``low`` to before ``high`` of the other side that share something with it."""
         side, other = (self.s, self.t) if of_source else (self.t, self.s)
+        places, whole = other.at, low == 0 and high >= len(other.words)
         there: dict[int, float] = {}
         back: dict[int, float] = {}
         firm: dict[str, float] = {}
         for w in side.words[k]:
+            tied = side.ties.get(w, NOTHING)
+            if w in self.both:
+                tied = {**tied, w: ANCHOR_WEIGHT}
             best: dict[int, float] = {}
-            for o, a in (*side.ties.get(w, {}).items(), *(((w, ANCHOR_WEIGHT),) if w in self.both else ())):
-                if o not in other.at:
+            for o, a in tied.items():
+                if o not in places:
                     continue
-                if a > firm.get(o, 0.0):
+                if o not in firm or a > firm[o]:
                     firm[o] = a
-                for x in other.within(o, low, high):
-                    if a > best.get(x, 0.0):
+                for x in places[o] if whole else other.within(o, low, high):
+                    if x not in best or a > best[x]:
                         best[x] = a
             for x, a in best.items():
-                there[x] = there.get(x, 0.0) + a
+                there[x] = there[x] + a if x in there else a
         for o, a in firm.items():
-            for x in other.within(o, low, high):
-                back[x] = back.get(x, 0.0) + a
-        place = (lambda x: self.place(k, x)) if of_source else (lambda x: self.place(x, k))
-        return {x: (min(1.0, a / side.size[k]) + min(1.0, back[x] / other.size[x])) / 2 + place(x) for x, a in there.items()}
-
-    def is_plain(self, i: int, j: int) -> bool:
-        """Whether two sentences match in full."""
+            for x in places[o] if whole else other.within(o, low, high):
+                back[x] = back[x] + a if x in back else a
+        own, sizes, n, m = side.size[k], other.size, self.n, self.m
+        if of_source:
+            return {x: (min(1.0, a / own) + min(1.0, back[x] / sizes[x])) / 2 + PLACE_BONUS * (1 - abs((k + 0.5) / n - (x + 0.5) / m)) for x, a in there.items()}
+        return {x: (min(1.0, a / own) + min(1.0, back[x] / sizes[x])) / 2 + PLACE_BONUS * (1 - abs((x + 0.5) / n - (k + 0.5) / m)) for x, a in there.items()}
+
+    def plain(self, i: int, j: int) -> float:
+        """Likeness of two sentences that match in full, else 0."""
         by_e, by_f = self.matches(self.s.words[i], self.t.words[j])
         for side, k, got in ((self.s, i, by_e), (self.t, j, by_f)):
-            of = side.size[k]
-            if sum(weight for w, weight in side.words[k].items() if w in got) < max(PLAIN_SHARE * of, of - PLAIN_LACK):
-                return False
-        return True
+            of, words = side.size[k], side.words[k]
+            if sum([words[w] for w in got]) < max(PLAIN_SHARE * of, of - PLAIN_LACK):
+                return 0.0
+        return self.likeness(i, j, by_e, by_f)
 
 
 def best_chain(pairs: list[tuple[int, int, float]]) -> list[Pair]:
     """The heaviest chain of pairs that rises on both sides; ``pairs`` have distinct numbers on each side."""
     pairs = sorted(pairs)
+    if all(a[1] < b[1] for a, b in pairwise(pairs)):
+        return [p[:2] for p in pairs]
     tree: list[tuple[float, int]] = [(0.0, -1)] * (len(pairs) + 1)
     ranks = sorted({j for _, j, _ in pairs})
     came = [-1] * len(pairs)
@@ -177,23 +211,26 @@ def best_chain(pairs: list[tuple[int, int, float]]) -> list[Pair]:
     return chain[::-1]
 
 
-def level_pairs(page: Page, source: Text, target: Text) -> list[Pair]:
+def level_pairs(page: Page, source: Text, target: Text) -> dict[Pair, float]:
     """Pairs that match in full at the same place from the begin or the end of their block (of the text, if the blocks differ in number)."""
     ends_s, ends_t = bitext.block_ends(source.blocks), bitext.block_ends(target.blocks)
     if len(ends_s) != len(ends_t):
         ends_s, ends_t = [page.n], [page.m]
-    found, i, j = [], 0, 0
+    found: dict[Pair, float] = {}
+    i = j = 0
     for a, b in zip(ends_s, ends_t, strict=True):
         if a - i == b - j:
-            found += [(x, y) for x, y in zip(range(i, a), range(j, b), strict=True) if page.is_plain(x, y)]
+            for x, y in zip(range(i, a), range(j, b), strict=True):
+                if v := page.plain(x, y):
+                    found[x, y] = v
         else:
             x, y, stop_x, stop_y = i, j, a, b
-            while x < a and y < b and page.is_plain(x, y):
-                found.append((x, y))
+            while x < a and y < b and (v := page.plain(x, y)):
+                found[x, y] = v
                 x, y = x + 1, y + 1
-            while stop_x > x and stop_y > y and page.is_plain(stop_x - 1, stop_y - 1):
+            while stop_x > x and stop_y > y and (v := page.plain(stop_x - 1, stop_y - 1)):
                 stop_x, stop_y = stop_x - 1, stop_y - 1
-                found.append((stop_x, stop_y))
+                found[stop_x, stop_y] = v
         i, j = a, b
     return found
 
@@ -213,8 +250,10 @@ def mutual(found: dict[Pair, float], least: float) -> list[tuple[int, int, float
 
 def anchors_of(page: Page, source: Text, target: Text) -> list[tuple[int, int, float]]:
     """Anchors of a whole text: pairs that match in full at the same place, and pairs around a number or name found once on either side."""
-    plain = {pair: page.like(*pair) for pair in level_pairs(page, source, target)}
+    plain = level_pairs(page, source, target)
     free_s, free_t = {i for i, _ in plain}, {j for _, j in plain}
+    if len(free_s) == page.n or len(free_t) == page.m:
+        return [(i, j, v) for (i, j), v in plain.items()]
     others = {(i, j): page.like(i, j) for i, j in bitext.anchored(source, target) if i not in free_s and j not in free_t}
     return [(i, j, v) for (i, j), v in plain.items()] + mutual(others, ANCHOR_LIKE)
 
@@ -297,19 +336,16 @@ def aligned(source: Text, target: Text, lexicon: Lexicon) -> list[Pair]:
     found = anchors_of(page, source, target)
     # Between the anchors of the whole text, pairs that choose each other are anchors too.
     first = best_chain(found)
-    likes = {}
+    count = len(found)
     for rows, columns in gaps(first, page.n, page.m, {(i, j) for i, j, _ in found}):
-        here = gap_likes(page, rows, columns)
-        likes |= here
-        found += mutual(here, ANCHOR_LIKE)
-    chain = best_chain(found)
+        found += mutual(gap_likes(page, rows, columns), ANCHOR_LIKE)
+    chain = best_chain(found) if len(found) > count else first
     links = set(chain)
     # Plain pairs are sure off the chain as well.
     moved = {(i, j) for i, j, v in found if v >= MOVED_LIKE} - links
     moved |= moved_pairs(page, links | moved)
     for rows, columns in gaps(chain, page.n, page.m, links | moved):
-        inside = {(i, j): v for i in rows for j in columns if (v := likes[i, j] if (i, j) in likes else page.like(i, j))} if len(rows) * len(columns) <= 16 else gap_likes(page, rows, columns)
-        links.update(fill_gap(page, rows, columns, inside))
+        links.update(fill_gap(page, rows, columns, gap_likes(page, rows, columns)))
     return sorted(rest(page, links | moved))
 
 
@@ -318,7 +354,7 @@ def moved_pairs(page: Page, links: set[Pair]) -> set[Pair]:
     free_s, free_t = set(range(page.n)) - {i for i, _ in links}, set(range(page.m)) - {j for _, j in links}
     if not free_s or not free_t:
         return set()
-    found = {(i, j): v for j in free_t for i, v in page.likes(j, False, 0, page.n).items() if i in free_s}
+    found = {(i, j): v for j in free_t for i, v in page.all_likes(j, False).items() if i in free_s}
     return {(i, j) for i, j, _ in mutual(found, MOVED_LIKE)}
 
 
@@ -329,8 +365,8 @@ def rest(page: Page, links: set[Pair]) -> set[Pair]:
     for i, j in links:
         by_s.setdefault(i, set()).add(j)
         by_t.setdefault(j, set()).add(i)
-    candidates = [(v, i, j) for j in range(page.m) if j not in by_t for i, v in page.likes(j, False, 0, page.n).items() if v >= REST_LIKE]
-    candidates += [(v, i, j) for i in range(page.n) if i not in by_s for j, v in page.likes(i, True, 0, page.m).items() if v >= REST_LIKE and j in by_t]
+    candidates = [(v, i, j) for j in range(page.m) if j not in by_t for i, v in page.all_likes(j, False).items() if v >= REST_LIKE]
+    candidates += [(v, i, j) for i in range(page.n) if i not in by_s for j, v in page.all_likes(i, True).items() if v >= REST_LIKE and j in by_t]
     for like, i, j in sorted(candidates, reverse=True):
         if i in by_s and j in by_t:
             continue
