@@ -35,6 +35,8 @@ INSTRUCTIONS = "Additional Instructions: "
 HISTORY_HEAD = "تاریخچه گفتگوی قبلی در این صفحه:"
 FOLLOW_UP_HEAD = "تاریخچه گفتگوی قبلی در این صفحه (پاسخ باید در ادامه گفتگوی قبلی باشد):"
 QUOTED_SELECTION = r'(?:\n|^)[^\n]*?(?:متن مورد سوال|کد یا متن مورد سوال)[^\n]*?\n*"""\s*\{selected_text\}\s*"""\n*'
+NOTES_ONLY = "دستورالعمل خروجی: مستقیماً فقط نوت‌های مفهومی، عمیق و تخصصی این بخش را بنویسید. بدون هیچ‌گونه مقدمه، احوالپرسی یا تعارف."
+STRICT = "دستور اکید: هیچ‌گونه جمله هماهنگی، سلام، تعارف یا تأییدیه ننویسید. بلافاصله و مستقیماً فقط خود نوت‌های استخراج‌شده این بخش را ارسال نمایید:"
 MOCK_PREFIX, MOCK_SUFFIX = "ترجمه روان: ", " (ترجمه)"
 PASSED_THROUGH = "INSTANT_PASSTHROUGH (Code/Media Only)"
 PERSIAN_NAMES = ("persian", "farsi", "فارسی")
@@ -129,7 +131,7 @@ def answered(df: DataFrame, prompt: str, provider: Callable[[], Provider], name:
             asked = frame[prompt].tolist()
             out: list[str] = []
             for k in range(0, len(asked), batch):
-                out += ask(asked[k : k + batch])
+                out += ask([None if p is None or p != p else p for p in asked[k : k + batch]])
             yield frame.assign(**{name: out})
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
@@ -200,6 +202,41 @@ def open_sections(sections: DataFrame, notes: DataFrame) -> DataFrame:
     return cached_notes(sections, notes).where("note is null").drop("note")
 
 
+def made_notes(sections: DataFrame, notes: DataFrame, template: Column, provider: Callable[[], Provider]) -> DataFrame:
+    """Notes of all sections (project_id, chapter, section, title, first_page, last_page, words, text): those kept in ``notes``, and new ones for the rest.
+
+    An answer that only acknowledges is asked for once more with a stricter request;
+    if that helps nothing, the first answer stays. New notes are cleaned as Persian
+    Markdown. Append the result to the table of notes: a run that follows asks for
+    what is still open only, so a run that was cut short is taken up where it stopped.
+    """
+    held = cached_notes(sections, notes)
+    prompt = F.concat(section_prompt(template, F.col("chapter"), F.col("title"), F.col("first_page"), F.col("last_page"), F.col("text")), F.lit(f"\n\n{NOTES_ONLY}"))
+    asked = answered(held.where("note is null").drop("note").withColumn("prompt", prompt), "prompt", provider, "first")
+    canned = M.is_canned("first")
+    again = answered(asked.withColumn("strict", F.when(canned, F.concat(F.lit(f"{STRICT}\n\n"), "prompt"))), "strict", lambda: skipping_null(provider()), "second")
+    better = canned & T.has_text("second") & ~M.is_canned("second")
+    made = repair.clean_markdown(again.withColumn("note", F.when(better, F.col("second")).otherwise(F.coalesce("first", F.lit("")))), "note")
+    columns = ["project_id", "chapter", "section", "title", "first_page", "last_page", "words"]
+    return held.where("note is not null").select(*columns, "note").unionByName(made.select(*columns, T.strip("note").alias("note")))
+
+
+def skipping_null(ask: Provider) -> Provider:
+    """A provider that is not bothered with missing prompts."""
+
+    def run(prompts: list[str | None]) -> list[str | None]:
+        given = iter(ask([p for p in prompts if p is not None]))
+        return [None if p is None else next(given) for p in prompts]
+
+    return run
+
+
+def finished_sections(notes: DataFrame) -> DataFrame:
+    """``project_id``, ``chapter``, ``done``, ``progress`` of notes as of ``made_notes``: sections that have one, and the per cent shown."""
+    done, total = F.count_if(F.col("note") != ""), F.count("*")
+    return notes.groupBy("project_id", "chapter").agg(done.alias("done"), total.alias("total")).select("project_id", "chapter", "done", progress(F.col("done"), F.col("total")).alias("progress"))
+
+
 def progress(done: Column, total: Column) -> Column:
     """Per cent shown after ``done`` of ``total`` sections: 5 at the start, 10 to 100 on the way."""
     return F.when(total <= 0, 5).when(done <= 0, 10).when(done >= total, 100).otherwise(10 + F.floor(done * 90 / total)).cast("int")

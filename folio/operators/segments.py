@@ -92,6 +92,12 @@ def chapters_of_outline(outline: DataFrame, totals: DataFrame) -> DataFrame:
     return ended.where(F.col("start_page") <= F.col("total_pages")).select("project_id", "seq", T.strip("title").alias("title"), "start_page", "end_page", main.alias("is_main"))
 
 
+def chapters_of_headings(pages: DataFrame) -> DataFrame:
+    """``project_id``, ``start_page``, ``title``: the first heading of each page (``project_id``, ``page_number``, ``source_text``) that names a numbered chapter, where there is no outline."""
+    title = F.regexp_extract("source_text", r"(?mi)^\s*#\s+((?:Chapter\s+[0-9]+|فصل\s+\p{Nd}+)[^\n]*)$", 1)
+    return pages.select("project_id", F.col("page_number").alias("start_page"), T.strip(title).alias("title")).where("title <> '' and start_page is not null")
+
+
 def raw_sections(text: Column) -> Column:
     """A chapter's text (pages behind their marks) cut at first and second level headings: array of (title, text).
 

@@ -11,6 +11,7 @@ from folio import sinks
 from folio.functions import markdown as M
 from folio.functions import text as T
 from folio.operators import html as H
+from folio.operators import images as I
 from folio.operators import relational as R
 from folio.plans.views import SQL as VIEWS
 from folio.plans.views import _STRIP, _events
@@ -84,6 +85,23 @@ def backups(spark: SparkSession, directory: str) -> DataFrame:
     return sinks.unpacked(packed.withColumnRenamed("project_id", "archive")).select("archive", "path", F.decode("content", "UTF-8").alias("text"), "error").where("path <> 'manifest.json'")
 
 
+def restored_pages(spark: SparkSession, directory: str) -> DataFrame:
+    """Pages and projects backed up as whole tables and restored below another data folder."""
+    folder = removed_at_exit(spark, f"{shared_folder(spark)}/folio-backup-{uuid.uuid4().hex}")
+    sinks.snapshot({n: table(spark, directory, n) for n in ("pages", "projects")}, folder)
+    found = sinks.restored(spark, folder, "/data/new")
+    return found["pages"].join(found["projects"].select(F.col("id").alias("project_id"), "source_type"), "project_id", "left").select("id", "project_id", "source_type", "status", "image_path", "thumbnail_path", F.length("source_text").alias("characters"))
+
+
+def localised_images(spark: SparkSession, directory: str) -> DataFrame:
+    """Articles whose images have been fetched, with sizes made up from their addresses."""
+    articles = R.once(table(spark, directory, "fetched_articles"), "article_id", "project_id", "markdown").where("markdown is not null")
+    found = I.images(articles.select("article_id", "markdown")).select("src").distinct()
+    n = F.length("src")
+    sizes = found.where(n % 5 != 0).select("src", (40 + n).alias("width"), (90 - n % 2 * 50).alias("height"))
+    return I.localised(articles, sizes)
+
+
 def state_stream(spark: SparkSession, directory: str) -> DataFrame:
     """The log of states as a stream, run to its end: refused moves by kind."""
     from folio.streaming.states import checked_states
@@ -107,6 +125,8 @@ QUERIES = {
     "page_documents": page_documents,
     "book_documents": book_documents,
     "backups": backups,
+    "restored_pages": restored_pages,
+    "localised_images": localised_images,
     "state_stream": state_stream,
 }
 
@@ -137,5 +157,17 @@ SQL = {
     "book_exports": f"""WITH {_BEST}, g AS (SELECT project_id, string_agg(chr(10) || '<!-- Page ' || page_number || ' -->' || chr(10) || chr(10) || {_STRIP('t')} || chr(10) || chr(10) || '---' || chr(10), '' ORDER BY page_number, id) AS body FROM b WHERE page_number IS NOT NULL GROUP BY 1)
         SELECT j.id AS project_id, '# ' || coalesce(title, '') || chr(10) || '_' || source_language || ' → ' || target_language || '_' || chr(10) || chr(10) || '---' || chr(10) || coalesce(body, '') AS book FROM projects j LEFT JOIN g ON g.project_id = j.id""",
     "backups": f"WITH {_BEST} SELECT project_id AS archive, 'projects/' || project_id || '/pages/page_' || coalesce(page_number::VARCHAR, 'x') || '_' || id || '.md' AS path, t AS text, NULL::VARCHAR AS error FROM b",
+    "restored_pages": """WITH p AS (SELECT DISTINCT id, project_id, page_number, status, source_text, image_path, thumbnail_path, created_at, updated_at, latest_translation, approved_text FROM pages)
+        SELECT p.id, p.project_id, source_type, p.status, CASE WHEN image_path = '' THEN '' ELSE '/data/new/projects/' || p.project_id || '/pages/page_' || page_number || '.png' END AS image_path,
+               CASE WHEN thumbnail_path = '' THEN '' ELSE '/data/new/projects/' || p.project_id || '/pages/page_' || page_number || '_thumb.png' END AS thumbnail_path, length(source_text)::INT AS characters FROM p LEFT JOIN projects j ON j.id = p.project_id""",
+    "localised_images": rf"""WITH a AS (SELECT DISTINCT article_id, project_id, markdown FROM fetched_articles WHERE markdown IS NOT NULL), t AS (SELECT article_id, project_id, markdown, regexp_extract_all(markdown, '!\[([^\]]*)\]\(([^)]*)\)', 2) AS srcs, regexp_extract_all(markdown, '!\[([^\]]*)\]\(([^)]*)\)', 1) AS alts, regexp_split_to_array(markdown, '!\[[^\]]*\]\([^)]*\)') AS ps FROM a),
+        e AS (SELECT article_id, markdown, unnest(range(1, len(srcs) + 1)) AS k, unnest(srcs) AS src FROM t),
+        f AS (SELECT article_id, markdown, src, min(k) AS k, row_number() OVER (PARTITION BY article_id, markdown ORDER BY min(k)) AS place FROM e GROUP BY 1, 2, 3),
+        s AS (SELECT *, place <= 80 AND length(src) % 5 <> 0 AS fetched, 40 + length(src) >= 48 AND 90 - length(src) % 2 * 50 >= 48 AS large FROM f),
+        n AS (SELECT *, sum((fetched AND large)::INT) OVER (PARTITION BY article_id, markdown ORDER BY k) AS number FROM s),
+        m AS (SELECT article_id, markdown, map_from_entries(list((src, {{'k': k, 'n': CASE WHEN fetched AND large THEN number END, 'gone': CASE WHEN fetched THEN NOT large ELSE starts_with(src, 'data:') END}}))) AS by_src, count(*) FILTER (WHERE fetched AND large) AS images FROM n GROUP BY 1, 2)
+        SELECT t.article_id, coalesce(images, 0) AS images, array_to_string(list_transform(range(1, len(ps) + 1), lambda i: CASE WHEN i = 1 OR by_src[srcs[i - 1]].gone OR by_src[srcs[i - 1]].k <> i - 1 THEN '' ELSE '![' || coalesce(nullif(left({_STRIP(r"regexp_replace(regexp_replace(alts[i - 1], '[\[\]()\n\r\t]+', ' ', 'g'), '[\s\p{Z}\x1c-\x1f\x{85}]{2,}', ' ', 'g')")}, 150), ''), 'Figure/Diagram') || ']('
+               || CASE WHEN by_src[srcs[i - 1]].n IS NULL THEN srcs[i - 1] ELSE '/api/projects/' || project_id || '/pages/1/images/' || by_src[srcs[i - 1]].n END || ')' END || ps[i]), '') AS markdown
+        FROM t LEFT JOIN m ON m.article_id = t.article_id AND m.markdown = t.markdown""",
     "state_stream": VIEWS["illegal_transitions"],
 }

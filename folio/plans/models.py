@@ -80,6 +80,23 @@ def open_notes(spark: SparkSession, directory: str) -> DataFrame:
     return Q.open_sections(sections, notes)
 
 
+def _reader():
+    """A stand-in that gives the text of a section back, but answers every second request with an acknowledgement first."""
+
+    def ask(prompts: list[str | None]) -> list[str | None]:
+        texts = [p.split(Q.NOTES_ONLY)[0].split("\n<text>\n", 1)[-1] for p in prompts]
+        return ["بله، بفرستید" if len(t) % 2 and not p.startswith(Q.STRICT) else t for p, t in zip(prompts, texts, strict=True)]
+
+    return ask
+
+
+def chapter_notes(spark: SparkSession, directory: str) -> DataFrame:
+    """Notes of all sections when every other one has a note, every fourth of them empty."""
+    sections = chapter_sections(spark, directory)
+    notes = sections.where("section % 2 = 1").select("project_id", "chapter", F.col("section").alias("section_index"), F.col("title").alias("section_title"), F.when(F.col("section") % 4 == 1, "").otherwise("note").alias("note"))
+    return Q.made_notes(sections, notes, F.lit("{chapter_title}\n<text>\n{content_text}"), _reader).select("project_id", "chapter", "section", "note")
+
+
 def _notes(sections: DataFrame) -> DataFrame:
     """Notes of chapters kept as JSON; the text of a section stands for its note."""
     note = F.struct(F.col("section").alias("section_index"), F.col("title").alias("section_title"), F.col("first_page").alias("start_page"), F.col("last_page").alias("end_page"), F.col("words").alias("word_count"), F.col("text").alias("note"))
@@ -129,6 +146,8 @@ QUERIES = {
     "note_exports": note_exports,
     "section_prompts": section_prompts,
     "open_notes": open_notes,
+    "chapter_notes": chapter_notes,
+    "note_progress": lambda spark, directory: Q.finished_sections(chapter_notes(spark, directory)),
     "chapter_question_texts": chapter_question_texts,
     "clean_markdown": cleaned_markdown,
     "repaired_markdown": repaired_markdown,
@@ -172,6 +191,11 @@ def _mock(text: str) -> str:
 _TRANSLATED = f"""WITH {_P}, {_TERMS}, {_MASKS},
     said AS (SELECT ms.id, source_text, code, tags, {_mock('masked')} AS m FROM ms LEFT JOIN pt USING (id)), si AS (SELECT *, {_unmasked('m', 'tags', 'IMAGE')} AS n FROM said), sc AS (SELECT id, source_text, {_unmasked('n', 'code', 'CODE')} AS t FROM si), {prose_sql.clean('cl', 'sc', 'id, source_text')},
     tr AS (SELECT id AS page_id, {media_only_sql('source_text')} AS media, source_text, t FROM cl), done AS (SELECT page_id, NOT media AS asked, CASE WHEN media THEN {strip('source_text')} ELSE t END AS translation FROM tr)"""
+_KEPT = f"""{SECTIONS}, n AS (SELECT *, CASE WHEN section % 4 = 1 THEN '' ELSE 'note' END AS note FROM sections WHERE section % 2 = 1),
+    k AS (SELECT project_id, chapter, title, arg_max(note, section) AS by_title FROM n WHERE title IS NOT NULL GROUP BY 1, 2, 3), i AS (SELECT project_id, chapter, section, max(note) AS by_number FROM n GROUP BY 1, 2, 3),
+    kept AS (SELECT s.project_id, s.chapter, s.section, s.title, s.text, coalesce(CASE WHEN k.by_title IS NOT NULL THEN k.by_title ELSE i.by_number END, '') AS note FROM sections s LEFT JOIN k USING (project_id, chapter, title) LEFT JOIN i ON i.project_id = s.project_id AND i.chapter = s.chapter AND i.section = s.section)"""
+_NOTED = f"""WITH {_KEPT}, q AS (SELECT project_id, chapter, section, note, text AS t FROM kept), {prose_sql.clean('cl', 'q', 'project_id, chapter, section, note')},
+    noted AS (SELECT project_id, chapter, section, CASE WHEN note = '' THEN {strip('t')} ELSE note END AS note FROM cl)"""
 _QUOTE = "CASE WHEN coalesce(selected_text, '') <> '' THEN ' (نقل‌قول مربوطه: «' || left(selected_text, 60) || '...»)' ELSE '' END"
 _TURNS = f"""c AS (SELECT DISTINCT id, project_id, page_number, selected_text, question, answer, created_at FROM page_conversations),
     hs AS (SELECT *, coalesce(list('کاربر: ' || question || {_QUOTE} || chr(10) || 'پاسخ دستیار: ' || answer) FILTER (WHERE question IS NOT NULL AND answer IS NOT NULL) OVER (PARTITION BY project_id, page_number ORDER BY created_at, id ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), []) AS history FROM c)"""
@@ -203,9 +227,9 @@ SQL = {
         FROM done LEFT JOIN e USING (page_id)""",
     "section_prompts": f"""WITH {SECTIONS} SELECT project_id, chapter, section, chapter || ' - ' || title || ' (' || first_page || '-' || last_page || '):' || chr(10) || text AS prompt,
         CASE WHEN section = 1 THEN 10 ELSE 10 + (section - 1) * 90 // count(*) OVER (PARTITION BY project_id, chapter) END::INT AS progress FROM sections""",
-    "open_notes": f"""WITH {SECTIONS}, n AS (SELECT *, CASE WHEN section % 4 = 1 THEN '' ELSE 'note' END AS note FROM sections WHERE section % 2 = 1),
-        k AS (SELECT project_id, chapter, title, arg_max(note, section) AS by_title FROM n WHERE title IS NOT NULL GROUP BY 1, 2, 3), i AS (SELECT project_id, chapter, section, max(note) AS by_number FROM n GROUP BY 1, 2, 3)
-        SELECT s.project_id, s.chapter, s.section, s.title FROM sections s LEFT JOIN k USING (project_id, chapter, title) LEFT JOIN i ON i.project_id = s.project_id AND i.chapter = s.chapter AND i.section = s.section WHERE coalesce(CASE WHEN k.by_title IS NOT NULL THEN k.by_title ELSE i.by_number END, '') = ''""",
+    "open_notes": f"WITH {_KEPT} SELECT project_id, chapter, section, title FROM kept WHERE note = ''",
+    "chapter_notes": f"{_NOTED} SELECT project_id, chapter, section, note FROM noted",
+    "note_progress": f"{_NOTED} SELECT project_id, chapter, count(*) FILTER (WHERE note <> '') AS done, CASE WHEN done <= 0 THEN 10 WHEN done >= count(*) THEN 100 ELSE 10 + done * 90 // count(*) END::INT AS progress FROM noted GROUP BY 1, 2",
     "chapter_question_texts": f"""WITH {SECTIONS} SELECT project_id, chapter, coalesce(string_agg('## ' || title || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY section) FILTER (WHERE section = 2), '') AS second,
         string_agg('## ' || title || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY section) AS whole FROM sections GROUP BY project_id, chapter, start_page""",
     "note_exports": f"""WITH {SECTIONS}, g AS (SELECT project_id, chapter, min(first_page) AS a, max(last_page) AS b, string_agg('## بخش ' || section || ': ' || title || chr(10) || '**صفحات ' || first_page || ' الی ' || last_page || '**' || chr(10) || chr(10) || text || chr(10) || chr(10) || '---' || chr(10) || chr(10), '' ORDER BY section) AS body

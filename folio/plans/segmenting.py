@@ -57,7 +57,16 @@ def _cut_pages(spark: SparkSession, directory: str) -> DataFrame:
     return pages.select("project_id", "page_number", F.when(F.col("page_number") % 2 == 0, F.regexp_replace(T.strip("source_text"), r"[.!?]$", "")).otherwise(F.coalesce("source_text", F.lit(""))).alias("text"))
 
 
+def heading_chapters(spark: SparkSession, directory: str) -> DataFrame:
+    """Chapters by numbered headings; those of the pages get the number of their page."""
+    pages = _pages(spark, directory)
+    numbered = pages.withColumn("source_text", F.regexp_replace("source_text", r"(?m)^# ", F.concat(F.lit("# Chapter "), F.col("page_number").cast("string"), F.lit(". "))))
+    totals = table(spark, directory, "projects").select(F.col("id").alias("project_id"), "total_pages")
+    return R.chapter_bounds(S.chapters_of_headings(numbered).withColumnRenamed("title", "chapter"), totals).select("project_id", "chapter", "start_page", "end_page")
+
+
 QUERIES = {
+    "heading_chapters": heading_chapters,
     "chunk_paragraphs": chunk_paragraphs,
     "page_slices": page_slices,
     "chapter_sections": chapter_sections,
@@ -67,6 +76,9 @@ QUERIES = {
 }
 
 SQL = {
+    "heading_chapters": rf"""WITH {_FIRST}, s AS (SELECT project_id, page_number AS start_page, 'Chapter ' || page_number || '. ' || {_STRIP(r"regexp_extract(source_text, '(?m)^# ([^\n]+)', 1)")} AS chapter FROM f WHERE regexp_matches(source_text, '(?m)^# [^\n]')),
+        j AS (SELECT s.*, total_pages FROM s JOIN projects ON projects.id = s.project_id)
+        SELECT project_id, {_STRIP('chapter')} AS chapter, start_page, least(greatest(coalesce(lead(start_page) OVER (PARTITION BY project_id ORDER BY start_page) - 1, total_pages), start_page), greatest(total_pages, start_page)) AS end_page FROM j""",
     "chapter_sections": f"WITH {SECTIONS} SELECT * FROM sections",
     "stitch_pages": STITCH_PAGES,
     "stitch_single": STITCH_SINGLE,

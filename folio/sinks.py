@@ -12,13 +12,14 @@ from pathlib import PurePosixPath
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import markdown as M
 from folio.functions import persian
 from folio.functions import text as T
-from folio.schemas import NOTES
+from folio.operators.relational import rebased_paths
+from folio.schemas import NOTES, TABLES, with_schema
 
 
 def page_markdown(number: Column, text: Column) -> Column:
@@ -59,11 +60,13 @@ TYPES = (
     '<Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
 )
 RELATIONS = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>'
+#: The font of all runs, Latin and complex scripts alike (fixed value).
+FONTS = '<w:rFonts w:ascii="Vazirmatn" w:hAnsi="Vazirmatn" w:cs="Vazirmatn"/>'
 SIZES = {"h1": 36, "h2": 30, "h3": 26}
 
 
 def run_xml(text: str, size: int = 24, bold: bool = False, italic: bool = False) -> str:
-    marks = f"{'<w:b/><w:bCs/>' * bold}{'<w:i/><w:iCs/>' * italic}<w:sz w:val=\"{size}\"/><w:szCs w:val=\"{size}\"/><w:rtl/>"
+    marks = f"{FONTS}{'<w:b/><w:bCs/>' * bold}{'<w:i/><w:iCs/>' * italic}<w:sz w:val=\"{size}\"/><w:szCs w:val=\"{size}\"/><w:rtl/>"
     parts = escape(text).split("\n")
     return f'<w:r><w:rPr>{marks}</w:rPr>{"<w:br/>".join(f"<w:t xml:space=\"preserve\">{p}</w:t>" for p in parts)}</w:r>'
 
@@ -184,6 +187,29 @@ def archives(files: DataFrame, manifest: dict, most: int = ARCHIVE_FILES) -> Dat
     return placed.groupBy("project_id", "part").applyInPandas(pack, "project_id string, part int, content binary")
 
 
+def snapshot(tables: dict[str, DataFrame], folder: str) -> None:
+    """A backup of whole tables below a folder, a table each, and the manifest of their rows; the parts are written by the tasks that hold them."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/tables/{name}")
+    manifest(tables).coalesce(1).write.mode("overwrite").text(f"{folder}/manifest")
+
+
+def restored(spark: SparkSession, folder: str, root: str) -> dict[str, DataFrame]:
+    """The tables of a snapshot in today's schema, with the paths of pages moved below another data folder. A folder without a manifest is no backup."""
+    counts = [r[0] for r in spark.read.text(f"{folder}/manifest").collect()]
+    if len(counts) != 1:
+        raise ValueError(f"{folder} holds no manifest")
+    found = {}
+    for name in json.loads(counts[0]):
+        found[name] = spark.read.parquet(f"{folder}/tables/{name}")
+        if name in TABLES:
+            found[name] = with_schema(found[name], name)
+    if "pages" in found:
+        moved = rebased_paths(found["pages"], root).withColumnRenamed("page_id", "id").distinct()
+        found["pages"] = found["pages"].drop("image_path", "thumbnail_path").distinct().join(moved, "id").select(*found["pages"].columns)
+    return found
+
+
 def is_inside(path: str) -> bool:
     """Whether a member stays inside the folder it is unpacked to."""
     p = PurePosixPath(path)
