@@ -4,8 +4,8 @@ A line of Markdown is a leaf of a tree of blocks; its path is the kind of the
 block it lies in, its own kind and its outward shape (does it end like a
 sentence, how many words, how much of it is link). Text length and punctuation
 are aggregated per path over the whole corpus, smoothed against the paths of the
-same kind and fused; paths above a threshold that splits the fused scores best
-hold content. Headings are weighed by what they say, not by their path.
+same kind and fused with the share of link text and the ends of lines; paths above
+the threshold that splits the fused scores best hold content. Headings are weighed by what they say, not by their path.
 
 A second pass removes what has the shape of content but is the site's: sentences
 that recur in the corpus word for word while no sentence of the same build does.
@@ -38,6 +38,8 @@ OWN_SHARE = 0.125
 PATTERN_WORDS = 30
 #: Entries a task holds before it hands its counts on.
 HELD = 200_000
+#: Lines by which the ratios of a path are smoothed, and what lines that do not end like a sentence count for.
+SMOOTH, UNFINISHED = 5.0, 0.4
 #: Lines of this length are never menus.
 LONG_LINE = 200
 
@@ -177,11 +179,11 @@ def prose_sizes(lines: list[tuple[str, str, list[str]]]) -> dict[int, int]:
     return prose or other
 
 
-COUNTS = pa.schema([("kind", pa.string()), ("key", pa.int64()), ("text", pa.string()), ("n", pa.int64()), ("chars", pa.int64()), ("marks", pa.int64()), ("keys", pa.list_(pa.int64())), ("prose", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("host", pa.string())])
+COUNTS = pa.schema([("kind", pa.string()), ("key", pa.int64()), ("text", pa.string()), ("n", pa.int64()), ("chars", pa.int64()), ("marks", pa.int64()), ("linked", pa.int64()), ("keys", pa.list_(pa.int64())), ("prose", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("host", pa.string())])
 
 
 def counted(articles: DataFrame, host: str, markdown: str) -> DataFrame:
-    """``kind`` (path, sentence), ``key``, ``text``, ``n``, ``chars``, ``marks``, summed up inside each task first; of kind article a row each: ``keys`` of its sentences, those of its ``prose`` with their ``sizes``, and its ``host``."""
+    """``kind`` (path, sentence), ``key``, ``text``, ``n``, ``chars``, ``marks``, ``linked``, summed up inside each task first; of kind article a row each: ``keys`` of its sentences, those of its ``prose`` with their ``sizes``, and its ``host``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paths: dict[str, list[int]] = {}
@@ -191,7 +193,7 @@ def counted(articles: DataFrame, host: str, markdown: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), COUNTS, strict=True)], schema=COUNTS)
 
         def sums() -> pa.RecordBatch:
-            return handed([("path", hashed(p), p, *v, None, None, None, None) for p, v in paths.items()] + [("sentence", hashed(s), s if s.count(" ") < PATTERN_WORDS else "", n, 0, 0, None, None, None, None) for s, n in held.items()])
+            return handed([("path", hashed(p), p, *v, None, None, None, None) for p, v in paths.items()] + [("sentence", hashed(s), s if s.count(" ") < PATTERN_WORDS else "", n, 0, 0, 0, None, None, None, None) for s, n in held.items()])
 
         for batch in batches:
             read = []
@@ -201,18 +203,20 @@ def counted(articles: DataFrame, host: str, markdown: str) -> DataFrame:
                     if line.kind in ("code", "image", "table"):
                         continue
                     lines.append((line.kind, path := shape_of(line), parts := sentences(line, label)))
-                    stats = paths.setdefault(path, [0, 0, 0])
+                    stats = paths.setdefault(path, [0, 0, 0, 0])
                     shown = LINK.sub(r"\1", line.text) if "](" in line.text else line.text
                     stats[0] += 1
                     stats[1] += len(shown)
                     stats[2] += len(MARKS.findall(shown))
+                    if shown is not line.text:
+                        stats[3] += sum(len(m.group(1)) for m in LINK.finditer(line.text))
                     # Sentences of paragraphs are counted as well, so that their patterns show.
                     seen.update(parts)
                     if line.kind == "text" and ":" in line.text and not TERMINAL.search(line.text):
                         seen.add(plain(line.text.split(":", 1)[0], label) + ":")
                 held.update(seen)
                 prose = prose_sizes(lines)
-                read.append(("article", 0, "", 1, 0, 0, list(map(hashed, seen)), list(prose), list(prose.values()), site))
+                read.append(("article", 0, "", 1, 0, 0, 0, list(map(hashed, seen)), list(prose), list(prose.values()), site))
             if read:
                 yield handed(read)
             if len(held) > HELD:
@@ -222,7 +226,7 @@ def counted(articles: DataFrame, host: str, markdown: str) -> DataFrame:
         if paths or held:
             yield sums()
 
-    return spread(articles.select(host, markdown)).mapInArrow(run, "kind string, key bigint, text string, n bigint, chars bigint, marks bigint, keys array<bigint>, prose array<bigint>, sizes array<int>, host string")
+    return spread(articles.select(host, markdown)).mapInArrow(run, "kind string, key bigint, text string, n bigint, chars bigint, marks bigint, linked bigint, keys array<bigint>, prose array<bigint>, sizes array<int>, host string")
 
 
 def body_of(keys: list[int], prose: list[int], sizes: list[int], frequent: Set[int]) -> int:
@@ -261,13 +265,14 @@ def text_counts(rows: DataFrame, frequent: Set[int], own: DataFrame) -> DataFram
 
 
 class Model(NamedTuple):
-    """Paths of content; hashes of recurring sentences, their first words and the most words one has; the same of single hosts as a table."""
+    """Paths of content, and all that were ``seen``; hashes of recurring sentences, their first words and the most words one has; the same of single hosts as a table."""
 
     content: frozenset[str]
     recurring: frozenset[int]
     starts: frozenset[str]
     most: int
     sites: DataFrame | None = None
+    seen: frozenset[str] = frozenset()
 
 
 def otsu(values: list[tuple[float, float]]) -> float:
@@ -285,31 +290,28 @@ def otsu(values: list[tuple[float, float]]) -> float:
     return at
 
 
-def content_paths(rows: list[tuple[str, int, int, int]]) -> frozenset[str]:
-    """Paths that hold content. ``rows``: path, lines, characters, punctuation marks."""
+def content_paths(rows: list[tuple[str, int, int, int, int]]) -> frozenset[str]:
+    """Paths that hold content. ``rows``: path, lines, characters, punctuation marks, characters of links.
+
+    The ratios of a path are smoothed by those of all paths of its kind and end, and
+    fused: length times punctuation, less what is link, and less for lines that do not
+    end like a sentence. The threshold between the two classes is learned.
+    """
     by_kind: dict[str, list[int]] = {}
-    for path, n, chars, marks in rows:
-        base = by_kind.setdefault("/".join(path.split("/")[1:3]), [0, 0, 0])
-        for k, v in enumerate((n, chars, marks)):
+    for path, *counts in rows:
+        base = by_kind.setdefault("/".join(path.split("/")[1:3]), [0, 0, 0, 0])
+        for k, v in enumerate(counts):
             base[k] += v
     scored = []
-    for path, n, chars, marks in rows:
+    for path, n, chars, marks, linked in rows:
         if path.count("/") < 4:
             continue
-        bn, bc, bm = by_kind["/".join(path.split("/")[1:3])]
-        smooth = 5.0
-        long = (chars + smooth * bc / bn) / (n + smooth)
-        marked = (marks + smooth * bm / bn) / (n + smooth)
-        scored.append((path, math.log1p(long) * math.log1p(4 * marked), n))
-    limit = otsu([(s, math.sqrt(n)) for _, s, n in scored])
-    found = set()
-    for path, score, _ in scored:
-        _, kind, end, size, share = path.split("/")
-        if share == "all" or end in ("row", "trail"):
-            continue
-        if score >= limit or (size == "5" and end != "row") or (end == "end" and kind in ("item", "quote", "text")) or kind == "quote":
-            found.add(path)
-    return frozenset(found)
+        bn, bc, bm, bl = (v for v in by_kind["/".join(path.split("/")[1:3])])
+        lines, text = n + SMOOTH, chars + bc / bn * SMOOTH
+        fused = math.log1p(text / lines) * math.log1p(4 * (marks + bm / bn * SMOOTH) / lines) * (1 - min(1.0, (linked + bl / bn * SMOOTH) / max(text, 1e-9)))
+        scored.append((path, math.sqrt(fused * (1.0 if path.split("/")[2] == "end" else UNFINISHED)), n))
+    limit = otsu([(score, n) for _, score, n in scored])
+    return frozenset(path for path, score, _ in scored if score >= limit)
 
 
 def recurring_sentences(rows: list[tuple[int, str, int]], least: float) -> dict[int, str]:
@@ -331,8 +333,8 @@ def learned(articles: DataFrame, host: str = "host", markdown: str = "markdown")
     parts = written(counted(articles, host, markdown), "line-counts")
     rows = parts.where("kind = 'article'")
     # Texts of one key are equal, so any of them will do; sums are combined before the shuffle.
-    whole = parts.where("kind <> 'article'").groupBy("kind", "key").agg(F.first("text").alias("text"), *(F.sum(c).alias(c) for c in ("n", "chars", "marks")))
-    paths = [tuple(r) for r in whole.where("kind = 'path'").select("text", "n", "chars", "marks").collect()]
+    whole = parts.where("kind <> 'article'").groupBy("kind", "key").agg(F.first("text").alias("text"), *(F.sum(c).alias(c) for c in ("n", "chars", "marks", "linked")))
+    paths = [tuple(r) for r in whole.where("kind = 'path'").select("text", "n", "chars", "marks", "linked").collect()]
     sizes = rows.groupBy("host").agg(F.count("*").alias("size")).where("host is not null")
     per_host = written(rows.where("host is not null").select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where("n >= 2"), "host-counts")
     texts = rows.count()
@@ -355,7 +357,7 @@ def learned(articles: DataFrame, host: str = "host", markdown: str = "markdown")
     recurring = frozenset(found)
     starts, most = rows_of(found.values())
     sites = host_sentences(per_host, whole, every.where("host is not null and key is not null"), sizes, recurring)
-    return Model(content_paths(paths), recurring, starts, most, written(sites, "host-sentences"))
+    return Model(content_paths(paths), recurring, starts, most, written(sites, "host-sentences"), frozenset(path for path, *_ in paths))
 
 
 def rows_of(texts: Iterable[str]) -> tuple[frozenset[str], int]:
@@ -439,7 +441,8 @@ def site_lines(markdown: str, host: str | None, title: str | None, model: Model)
                 found.append(line.no)
             continue
         path = shape_of(line)
-        if site or (path not in model.content and not (path.endswith(("/5/no", "/5/some")) and "/row/" not in path)):
+        # Of a path that the corpus did not have, long lines are content.
+        if site or path not in model.content and (path in model.seen or "/row/" in path or not path.endswith(("/5/no", "/5/some"))):
             found.append(line.no)
     return found
 
