@@ -114,12 +114,14 @@ def statistics(documents: DataFrame, common: DataFrame, key: str = "doc_id", tex
         key,
         "blank",
         "t",
-        F.filter(F.transform(F.split("t", r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, rf"^[{WHITE}]+|[ \x{{A0}}\r]+$", "")), lambda x: F.length(x) > 0).alias("lines"),
+        # Lines without what surrounds them; one pass over the text for either list.
+        F.filter(F.split(F.regexp_replace("t", rf"^[{WHITE}]+|[ \x{{A0}}\r\n]+$", ""), rf"[ \x{{A0}}]*[\r\n][{WHITE}]*"), lambda x: F.length(x) > 0).alias("lines"),
         F.filter(F.split("t", rf"[{WHITE}]+"), lambda x: F.length(x) > 0).alias("words"),
         F.length(F.regexp_replace("t", rf"[{WHITE}]", "")).alias("seen"),
     )
     n, seen, lines = F.size("words"), F.col("seen"), F.col("lines")
-    bare = F.transform("words", lambda x: F.lower(F.regexp_replace(x, r"^[^\p{L}]+|[^\p{L}]+$", "")))
+    # Words from their first to their last letter.
+    bare = F.regexp_extract_all(F.lower("t"), F.lit(rf"\p{{L}}(?:[^{WHITE}]*\p{{L}})?"), F.lit(0))
     ratio = lambda part, of: F.when(of > 0, part / of).otherwise(0.0)
     plain_words = F.filter(F.col("words"), lambda x: ~x.rlike(r"://|^!?\[|\]\("))
     return cut.select(
@@ -140,7 +142,7 @@ def statistics(documents: DataFrame, common: DataFrame, key: str = "doc_id", tex
         ratio(F.size(F.array_distinct("words")), n).alias("distinct_word_share"),
         char_share(lines, lambda x: x.contains(" ") & x.rlike(HEX_LINE)).alias("hex_share"),
         *(ratio(F.regexp_count("t", F.lit(pattern)), n).alias(name) for name, pattern in (("mark_run_share", MARK_RUN), ("cluster_share", CLUSTER), ("inner_mark_share", INNER_MARK))),
-        ratio(F.size(F.filter(F.col("words"), lambda x: x.rlike(SENTENCE_END))), F.sqrt(n.cast("double"))).alias("sentence_share"),
+        ratio(F.regexp_count("t", F.lit(rf"{SENTENCE_END[:-1]}(?=[{WHITE}]|$)")), F.sqrt(n.cast("double"))).alias("sentence_share"),
     )
 
 
