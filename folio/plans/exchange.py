@@ -13,6 +13,7 @@ from folio.functions import text as T
 from folio.operators import html as H
 from folio.operators import images as I
 from folio.operators import relational as R
+from folio.plans import prose_sql
 from folio.plans.views import SQL as VIEWS
 from folio.plans.views import _STRIP, _events
 from folio.runtime import removed_at_exit, shared_folder, table
@@ -68,13 +69,11 @@ def book_exports(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def page_documents(spark: SparkSession, directory: str) -> DataFrame:
-    made = sinks.pages_docx(_best_pages(spark, directory).select(F.col("id").alias("page_id"), "page_number", "text"))
-    return made.select("page_id", F.length("content").alias("bytes"), F.sha2("content", 256).alias("digest"))
+    return sinks.described(sinks.pages_docx(_best_pages(spark, directory).select(F.col("id").alias("page_id"), "page_number", "text")), "page_id")
 
 
 def book_documents(spark: SparkSession, directory: str) -> DataFrame:
-    made = sinks.books_docx(book_exports(spark, directory))
-    return made.select("project_id", F.length("content").alias("bytes"), F.sha2("content", 256).alias("digest"))
+    return sinks.described(sinks.books_docx(book_exports(spark, directory)), "project_id")
 
 
 def backups(spark: SparkSession, directory: str) -> DataFrame:
@@ -139,7 +138,20 @@ _PARTS = rf"""WITH a AS (SELECT *, row_number() OVER () AS row_no FROM (SELECT D
     t AS (SELECT *, list_transform(regexp_extract_all(p, '(?:^|[^!])\[([^\[\]\n]*)\]\([^)\n]*\)', 1), lambda x: x) AS labels, regexp_replace(regexp_replace(CASE WHEN heading THEN regexp_replace(p, '^#+ ', '') ELSE p END, '(^|[^!])\[([^\[\]\n]*)\]\([^)\n]*\)', '\1\2', 'g'), '(^|[^!])\[([^\[\]\n]*)\]\([^)\n]*\)', '\1\2', 'g') AS text FROM h),
     e AS (SELECT *, {_SQUEEZE('text')} AS shown FROM t)"""
 
+def _documents(source: str, keys: str) -> str:
+    """Common table expressions that count paragraphs and headings of the Markdown ``t`` of ``source``: ``counted``."""
+    fence = "```[^\\n]*\\n[\\s\\S]*?```"
+    lines = f"len(list_filter(string_split(b, chr(10)), lambda x: {_STRIP('x')} <> ''))"
+    return rf"""w AS (SELECT {keys}, list_concat(flatten(list_transform(regexp_split_to_array(t, '{fence}'), lambda p: regexp_split_to_array(p, '\n{{2,}}'))), regexp_extract_all(t, '{fence}')) AS bs FROM {source}),
+        o AS (SELECT {keys}, list_filter(list_transform(bs, lambda x: {_STRIP('x')}), lambda x: x <> '') AS bs FROM w),
+        counted AS (SELECT {keys}, coalesce(list_sum(list_transform(bs, lambda b: CASE WHEN starts_with(b, '```') THEN len(string_split(regexp_replace(b, '^```[^\n]*\n?|\n?```$', '', 'g'), chr(10))) WHEN regexp_matches(b, '^!\[[^\]]*\]\([^)]*\)|^#{{1,3}} +') THEN 1 ELSE {lines} END)), 0)::INT AS n,
+                           len(list_filter(bs, lambda b: regexp_matches(b, '^#{{1,3}} +')))::INT AS h FROM o)"""
+
+
 SQL = {
+    "page_documents": f"WITH {_BEST}, d AS (SELECT id, t FROM b), {prose_sql.clean('cl', 'd', 'id')}, {_documents('cl', 'id')} SELECT id AS page_id, n + 1 AS paragraphs, h + 1 AS headings FROM counted",
+    "book_documents": f"""WITH {_BEST}, d AS (SELECT project_id, id, {_STRIP('t')} AS t FROM b WHERE page_number IS NOT NULL), {_documents('d', 'project_id, id')}, s AS (SELECT project_id, sum(n + 2)::INT AS n, sum(h + 1)::INT AS h FROM counted GROUP BY 1)
+        SELECT j.id AS project_id, 1 + coalesce(n, 0) AS paragraphs, 1 + coalesce(h, 0) AS headings FROM projects j LEFT JOIN s ON s.project_id = j.id""",
     "article_titles": f"SELECT article_id, {_SQUEEZE("coalesce(title, '')")} AS title FROM (SELECT DISTINCT article_id, title, markdown FROM fetched_articles WHERE markdown IS NOT NULL)",
     "article_lengths": rf"""WITH a AS (SELECT DISTINCT article_id, length({_STRIP(r"regexp_replace(markdown, '!\[[^\]]*\]\([^)]*\)', '', 'g')")})::INT AS n, markdown FROM fetched_articles WHERE markdown IS NOT NULL)
         SELECT article_id, n AS characters, n >= 150 AS long_enough FROM a""",

@@ -141,6 +141,17 @@ def pages_docx(pages: DataFrame) -> DataFrame:
     return clean.mapInPandas(run, "page_id string, content binary")
 
 
+def described(documents: DataFrame, key: str) -> DataFrame:
+    """``key``, ``paragraphs``, ``headings`` of Word documents (``key``, ``content``), read back from their bytes."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            bodies = [zipfile.ZipFile(io.BytesIO(c)).read("word/document.xml").decode() for c in frame["content"]]
+            yield pd.DataFrame({key: frame[key], "paragraphs": [b.count("<w:p>") for b in bodies], "headings": [b.count("<w:keepNext/>") for b in bodies]})
+
+    return documents.select(key, "content").mapInPandas(run, f"`{key}` string, paragraphs int, headings int")
+
+
 def books_docx(books_: DataFrame) -> DataFrame:
     """``project_id``, ``content`` of (project_id, book), the Markdown of ``books``: page marks become page breaks."""
 
