@@ -172,7 +172,7 @@ tail = lambda x: _STRIP(f"regexp_replace({_STRIP(f"regexp_replace({x}, '(?i)(?:\
 
 #: The languages of code in SQL: no lookahead, so the marks of JSON are looked for one by one.
 _JSON = r"""regexp_matches(body, '\A\s*(?:\{[\s\S]*\}|\[[\s\S]*\])\s*\z') AND contains(body, '"') AND contains(body, ':')"""
-_LANGUAGE = " ".join(f"WHEN {_JSON if name == 'json' else "regexp_matches(body, '(?m)" + pattern.replace("'", "''") + "')"} THEN '{name}'" for name, pattern in M.CODE_LANGUAGES)
+LANGUAGE = " ".join(f"WHEN {_JSON if name == 'json' else "regexp_matches(body, '(?m)" + pattern.replace("'", "''") + "')"} THEN '{name}'" for name, pattern in M.CODE_LANGUAGES)
 
 SQL = {
     "fa_spacing": f"{PERSIAN_SQL}, {prose_sql.chain('q', 'p', 'page_id', prose_sql.SPACING)} SELECT page_id, t AS text FROM q",
@@ -182,7 +182,7 @@ SQL = {
         c AS (SELECT page_id, regexp_extract_all(t, '```[a-zA-Z0-9_-]*\n[\s\S]*?```') AS cs FROM p),
         e AS (SELECT page_id, unnest(range(len(cs)))::INT AS n, unnest(cs) AS block FROM c),
         b AS (SELECT *, regexp_replace(block, '^```[^\n]*\n|```$', '', 'g') AS body FROM e)
-        SELECT page_id, n, block, CASE {_LANGUAGE} ELSE '' END AS language FROM b""",
+        SELECT page_id, n, block, CASE {LANGUAGE} ELSE '' END AS language FROM b""",
     "fa_digits": f"{PERSIAN_SQL} SELECT page_id, translate(t, '0123456789٠١٢٣٤٥٦٧٨٩', '۰۱۲۳۴۵۶۷۸۹۰۱۲۳۴۵۶۷۸۹') AS persian, translate(t, '۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩', '01234567890123456789') AS latin FROM p",
     "fa_letters": f"{PERSIAN_SQL} SELECT page_id, replace(translate(t, '{P.ARABIC_LETTERS[0]}', '{P.ARABIC_LETTERS[1]}'), '{P.HEH_WITH_YEH[0]}', '{P.HEH_WITH_YEH[1]}') AS letters, replace(t, '{P.TATWEEL}', '') AS plain, regexp_replace(t, '[{P.DIACRITICS}]', '', 'g') AS bare FROM p",
     "fa_zwnj_verbs": f"{PERSIAN_SQL} SELECT page_id, {SQL_VERBS} AS text FROM p",
