@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folio import schemas, sinks
 from folio.operators import glossary as G
 from folio.operators import html as H
+from folio.operators import images as I
 from folio.operators import layout as Y
 from folio.operators import prompts as Q
 from folio.operators import relational as R
@@ -191,3 +192,63 @@ def test_values(spark):
         V.contrast("a", "b").alias("c"), V.upload_kind("f").alias("u"), V.image_order("p").alias("o"), V.provider_key("m").alias("k"), V.formulas("t").alias("t")
     ).first()
     assert abs(row.c - 21) < 1e-9 and row.u == "book" and tuple(row.o) == (2, 11) and row.k == "openai" and row.t == ["$x$", "\\(y\\)", "$$z$$"]
+
+
+def test_localised_images(spark):
+    text = "a ![x](u1) b ![](u2)\n\n![y](u1) ![z](data:image/png;base64,AA) ![t](small) ![v (w)](gone)"
+    rows = [("a", "p", text), ("b", "p", None), ("c", "p", ""), ("d", None, "no image"), ("e", "p", "".join(f"![i](n{k})" for k in range(85)))]
+    articles = spark.createDataFrame(rows, "article_id string, project_id string, markdown string")
+    sizes = spark.createDataFrame([("u1", 100, 100), ("u2", 50, 48), ("small", 47, 500), ("u1", 100, 100), (None, 9, 9), *[(f"n{k}", 60, 60) for k in range(85)]], "src string, width int, height int")
+    found = {r.article_id: (r.images, r.markdown) for r in I.localised(articles, sizes).collect()}
+    base = "/api/projects/p/pages/1/images/"
+    assert found["a"] == (2, f"a ![x]({base}1) b ![Figure/Diagram]({base}2)\n\n   ![v w](gone)")
+    assert found["b"] == (0, None) and found["c"] == (0, "") and found["d"] == (0, "no image")
+    # Of more images than are fetched the others keep their addresses.
+    assert found["e"][0] == 80 and found["e"][1].endswith("![i](n83)![i](n84)")
+    assert I.localised(articles.limit(0), sizes).count() == 0 and I.localised(articles, sizes.limit(0)).where("images > 0").count() == 0
+    png = bytes.fromhex("89504E470D0A1A0A0000000D49484452000006400000012C") + b"rest"
+    row = spark.createDataFrame([(png,), (b"no",), (None,)], "c binary").select(I.png_size(F.col("c")).alias("s")).collect()
+    assert [r.s and tuple(r.s) for r in row] == [(1600, 300), None, None]
+    row = spark.createDataFrame([(3200, 10), (100, 5)], "w int, h int").select(I.shrunk(F.col("w"), F.col("h")).alias("s")).collect()
+    assert [tuple(r.s) for r in row] == [(1600, 5), (100, 5)]
+
+
+def test_notes_are_asked_for_once_more(spark):
+    shape = "project_id string, chapter string, section int, title string, first_page int, last_page int, words int, text string"
+    sections = spark.createDataFrame([("p", "c", k, f"T{k}", k, k, 9, t) for k, t in ((1, "kept"), (2, "fine"), (3, "lazy"), (4, "stubborn"), (5, None))], shape)
+    notes = spark.createDataFrame([("p", "c", 1, "T1", "old note")], "project_id string, chapter string, section_index int, section_title string, note string")
+
+    def model():
+        def ask(prompts):
+            return ["بله" if "stubborn" in p or "lazy" in p and not p.startswith(Q.STRICT) else None if "fine" not in p and "lazy" not in p else f"**note: **of {'fine' if 'fine' in p else 'lazy'}" for p in prompts]
+
+        return ask
+
+    made = Q.made_notes(sections, notes, F.lit("{chapter_title}|{content_text}"), model)
+    assert {r.section: r.note for r in made.collect()} == {1: "old note", 2: "**note:** of fine", 3: "**note:** of lazy", 4: "بله", 5: ""}
+    done = Q.finished_sections(made).first()
+    assert (done.done, done.progress) == (4, 82)
+    # The next run asks for what is open only.
+    kept = made.withColumnRenamed("section", "section_index").withColumnRenamed("title", "section_title")
+    assert [r.section for r in Q.open_sections(sections, kept).collect()] == [5]
+    assert Q.made_notes(sections.limit(0), notes, F.lit("x"), model).count() == 0
+
+
+def test_backups_of_tables(spark, tmp_path):
+    pages = spark.createDataFrame([("i", "p", 1, "READY", "t", "/old/a.png", ""), ("i", "p", 1, "READY", "t", "/old/a.png", ""), ("j", None, None, None, None, "", None)], "id string, project_id string, page_number int, status string, source_text string, image_path string, thumbnail_path string")
+    sinks.snapshot({"pages": pages, "empty": pages.limit(0).select("id")}, str(tmp_path / "b"))
+    found = sinks.restored(spark, str(tmp_path / "b"), "/new")
+    assert {(r.id, r.image_path) for r in found["pages"].collect()} == {("i", "/new/projects/p/pages/page_1.png"), ("j", "")}
+    assert found["pages"].count() == 2 and found["pages"].columns == [f.split(" ")[0] for f in schemas.TABLES["pages"].split(", ")] and found["empty"].count() == 0
+
+
+def test_restarts_and_answers(spark):
+    from folio.functions import values as V
+
+    df = spark.createDataFrame([("a", "PENDING", None), ("b", "COMPLETED", "x"), ("c", None, None)], "id string, status string, error_message string")
+    assert [(r.status, bool(r.error_message)) for r in R.restarted(df).orderBy("id").collect()] == [("FAILED", True), ("COMPLETED", True), (None, False)]
+    cases = [(200, "text/html"), (200, None), (403, ""), (404, ""), (503, ""), (200, "application/PDF"), (200, "image/png"), (200, "application/xhtml+xml"), (None, None)]
+    got = [r.a for r in spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, s int, c string").orderBy("k").select(V.fetch_action("s", "c").alias("a")).collect()]
+    assert got == ["parse", "parse", "browser", "error_status", "browser", "error_pdf", "error_type", "parse", "browser"]
+    heads = spark.createDataFrame([("p", 3, "text\n# Chapter 2: B\n# Chapter 3"), ("p", 1, "# chapter 1"), ("p", 2, "# Chapters"), ("p", None, "# Chapter 9"), ("q", 1, None)], "project_id string, page_number int, source_text string")
+    assert {(r.start_page, r.title) for r in S.chapters_of_headings(heads).collect()} == {(3, "Chapter 2: B"), (1, "chapter 1")}
