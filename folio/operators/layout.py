@@ -78,12 +78,10 @@ def with_blocks(rows: DataFrame) -> DataFrame:
     return rows.withColumn("is_code", F.sum("mono").over(block) > 0.5 * F.sum("chars").over(block)).withColumn("block_y0", F.min("y0").over(block)).withColumn("block_y1", F.max("y1").over(block))
 
 
-def kinds(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Lines outside code and margins with their kind: bullet, h1, h2, h3, numbered or text, the first that fits."""
+def kind_of_line() -> Column:
+    """Kind of a line outside code: bullet, h1, h2, h3, numbered or text, the first that fits."""
     line, size = F.col("line"), F.col("size")
-    kept = rows.where(~F.col("is_code") & (F.col("line") != "")).join(sizes, "page_id")
-    kept = kept.where(~is_running_line(F.col("line"), F.col("y0"), F.col("y1"), F.col("page_height")))
-    kind = (
+    return (
         F.when(line.rlike(rf"^[{BULLETS}]|^[*-]\s"), "bullet")
         .when(size >= F.col("body_size") * H1_FACTOR, "h1")
         .when(size >= F.col("body_size") * H2_FACTOR, "h2")
@@ -91,43 +89,48 @@ def kinds(rows: DataFrame, sizes: DataFrame) -> DataFrame:
         .when(line.rlike(r"^\p{Nd}+[.)]\s"), "numbered")
         .otherwise("text")
     )
-    return kept.withColumn("kind", kind)
 
 
-def prose(rows: DataFrame) -> DataFrame:
-    """Paragraphs of classified lines: a text line continues the bullet or paragraph before it in its block, all other lines stand alone."""
-    order = W.partitionBy("page_id", "block_no").orderBy("line_no")
-    before = F.lag("kind").over(order)
+def is_prose() -> Column:
+    """Whether a line outside code has text and is not one of the margins."""
+    return (F.col("line") != "") & ~is_running_line(F.col("line"), F.col("y0"), F.col("y1"), F.col("page_height"))
+
+
+def kinds(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Lines outside code and margins with their kind."""
+    return rows.where(~F.col("is_code")).join(sizes, "page_id").where(is_prose()).withColumn("kind", kind_of_line())
+
+
+def with_units(rows: DataFrame) -> DataFrame:
+    """Lines with the unit they belong to: ``island`` of neighbouring code blocks, or ``para`` of their block, where a text line continues the bullet or paragraph before it and all other lines stand alone. Lines that are dropped still part islands."""
+    block, page = W.partitionBy("page_id", "block_no"), W.partitionBy("page_id")
+    opens_block = F.col("line_no") == F.min("line_no").over(block)
+    islands = rows.withColumn("_new", (opens_block & ~F.col("is_code")).cast("int")).withColumn("island", F.sum("_new").over(page.orderBy("block_no", "line_no"))).drop("_new")
+    kept = islands.where(F.col("is_code") | is_prose()).withColumn("kind", F.when(F.col("is_code"), "code").otherwise(kind_of_line()))
+    before = F.lag("kind").over(block.orderBy("line_no"))
     opens = (F.col("kind") != "text") | before.isNull() | before.isin("h1", "h2", "h3", "numbered")
-    numbered = rows.withColumn("para", F.sum(opens.cast("int")).over(order))
-    made = numbered.groupBy("page_id", "block_no", "para").agg(F.min_by("kind", "line_no").alias("kind"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls"), F.min("block_y0").alias("y0"))
-    bare = F.regexp_replace(F.array_join("ls.line", " "), rf"^(?:[{BULLETS}]\s*|[*-]\s+)", "")
-    # One line may hold several bullets.
-    several = F.filter(F.transform(F.split(bare, rf"\s*[{BULLETS}]\s*"), T.strip), lambda x: F.length(x) > 0)
-    text = (
-        F.when(F.col("kind") == "bullet", F.transform(several, lambda x: F.concat(F.lit("- "), x)))
-        .when(F.col("kind") == "h1", F.array(F.concat(F.lit("# "), F.array_join("ls.line", " "))))
-        .when(F.col("kind") == "h2", F.array(F.concat(F.lit("## "), F.array_join("ls.line", " "))))
-        .when(F.col("kind") == "h3", F.array(F.concat(F.lit("### "), F.array_join("ls.line", " "))))
-        .otherwise(F.array(F.array_join("ls.line", " ")))
-    )
-    return made.select("page_id", "y0", F.lit(0).alias("sort"), "block_no", "para", F.posexplode(text).alias("n", "text"))
+    return kept.withColumn("_opens", opens.cast("int")).withColumn("para", F.when(F.col("is_code"), 0).otherwise(F.sum("_opens").over(block.orderBy("line_no")))).drop("_opens")
 
 
-def code(rows: DataFrame) -> DataFrame:
-    """Fenced code: neighbouring code blocks are one, indented by position, with a blank line in wide gaps."""
-    blocks = rows.groupBy("page_id", "block_no").agg(F.bool_or("is_code").alias("is_code"))
-    order = W.partitionBy("page_id").orderBy("block_no")
-    islands = blocks.withColumn("island", F.sum(F.when(F.col("is_code"), 0).otherwise(1)).over(order)).where("is_code").select("page_id", "block_no", "island")
-    inside = rows.where("is_code").join(islands, ["page_id", "block_no"])
-    island = W.partitionBy("page_id", "island")
+def placed_code() -> Column:
+    """A line of code indented by its position in its island, after a blank line where the gap before it is wide."""
+    island = W.partitionBy("page_id", "is_code", "island")
     width = F.coalesce(F.avg(F.when(F.length("raw") > 0, (F.col("x1") - F.col("x0")) / F.length("raw"))).over(island), F.lit(CHAR_WIDTH))
     gap = F.col("y0") - F.lag("y0").over(island.orderBy("block_no", "line_no"))
     indent = F.greatest(F.lit(0), F.round((F.col("x0") - F.min("x0").over(island)) / F.when(width > 0, width).otherwise(CHAR_WIDTH))).cast("int")
     blank = F.coalesce(gap >= GAP_FACTOR * F.coalesce(F.avg("size").over(island), F.lit(BODY_SIZE)), F.lit(False))
-    placed = inside.withColumn("t", F.concat(F.when(blank, "\n").otherwise(""), F.repeat(F.lit(" "), indent), F.rtrim(F.ltrim("raw"))))
-    made = placed.groupBy("page_id", "island").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "line_no", "t"))), lambda x: x["t"]), "\n").alias("body"), F.min("block_y0").alias("y0"), F.min("block_no").alias("block_no"))
-    return made.select("page_id", "y0", F.lit(1).alias("sort"), "block_no", F.lit(0).cast("bigint").alias("para"), F.lit(0).alias("n"), F.concat(F.lit("```"), M.code_language("body"), F.lit("\n"), F.col("body"), F.lit("\n```")).alias("text"))
+    return F.concat(F.when(blank, "\n").otherwise(""), F.repeat(F.lit(" "), indent), F.rtrim(F.ltrim("raw")))
+
+
+def texts_of(kind: Column, lines: Column) -> Column:
+    """The paragraphs that a unit of lines makes: one, or one for each of several bullets."""
+    joined, body = F.array_join(lines, " "), F.array_join(lines, "\n")
+    bare = F.regexp_replace(joined, rf"^(?:[{BULLETS}]\s*|[*-]\s+)", "")
+    several = F.filter(F.transform(F.split(bare, rf"\s*[{BULLETS}]\s*"), T.strip), lambda x: F.length(x) > 0)
+    marks = {"h1": "# ", "h2": "## ", "h3": "### "}
+    plain = F.concat(*(F.when(kind == k, m).otherwise("") for k, m in marks.items()), joined)
+    fenced = F.concat(F.lit("```"), M.code_language(body), F.lit("\n"), body, F.lit("\n```"))
+    return F.when(kind == "bullet", F.transform(several, lambda x: F.concat(F.lit("- "), x))).when(kind == "code", F.array(fenced)).otherwise(F.array(plain))
 
 
 def images(found: DataFrame) -> DataFrame:
@@ -193,8 +196,11 @@ def tidied(x: Column) -> Column:
 def page_markdown(spans: DataFrame) -> DataFrame:
     """``page_id`` and ``markdown`` of every page with at least one span that stays. Spans are brought together by page once; all that follows stays in place."""
     spans = spans.repartition("page_id")
-    rows = with_blocks(lines(spans))
-    parts = prose(kinds(rows, body_sizes(spans))).unionByName(code(rows))
-    gathered = parts.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("y0", "sort", "block_no", "para", "n", "text"))).alias("p"))
-    paras = stitched_paragraphs(merged_headings(F.col("p.text")))
+    rows = with_units(with_blocks(lines(spans)).join(body_sizes(spans), "page_id"))
+    code = F.col("is_code")
+    pieces = rows.select("page_id", "is_code", F.when(code, F.col("island")).otherwise(F.col("block_no")).alias("unit"), "para", "kind", "block_no", "line_no", "block_y0", F.when(code, placed_code()).otherwise(F.col("line")).alias("piece"))
+    units = pieces.groupBy("page_id", "is_code", "unit", "para").agg(F.min_by("kind", "line_no").alias("kind"), F.array_sort(F.collect_list(F.struct("block_no", "line_no", "piece"))).alias("ls"), F.min("block_y0").alias("y0"), F.min("block_no").alias("block_no"))
+    made = units.select("page_id", "y0", code.cast("int").alias("sort"), "block_no", "para", texts_of(F.col("kind"), F.col("ls.piece")).alias("texts"))
+    gathered = made.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("y0", "sort", "block_no", "para", "texts"))).alias("p"))
+    paras = stitched_paragraphs(merged_headings(F.flatten("p.texts")))
     return gathered.select("page_id", T.strip(F.array_join(F.transform(paras, tidied), "\n\n")).alias("markdown"))
