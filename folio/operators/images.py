@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.functions import markdown as M
+from folio.functions import values as V
 
 # Fixed values.
 MOST_IMAGES, LEAST_SIDE, MOST_WIDTH, ARTICLE_PAGE = 80, 48, 1600, 1
@@ -21,6 +22,14 @@ def images(articles: DataFrame) -> DataFrame:
     return found.groupBy("article_id", "markdown", "src").agg((F.min("k") + 1).alias("k"))
 
 
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """``path``, ``page``, ``image``, ``tag``: the extracted images below a folder by the numbers in their names, with the Markdown that shows them. File contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "page_*_img_*.png").load(folder).select("path")
+    place = V.image_order("path")
+    tag = F.concat(F.lit("![Figure "), place["image"].cast("string"), F.lit("]("), F.col("path"), F.lit(")"))
+    return files.select("path", place["page"].alias("page"), place["image"].alias("image"), tag.alias("tag")).where("page is not null").orderBy("page", "image", "path")
+
+
 def png_size(content: Column) -> Column:
     """Width and height in the head of PNG bytes; null for anything else."""
     head = F.hex(F.substring(content, 1, 24))

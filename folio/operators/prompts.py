@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -122,8 +123,11 @@ def register(name: str, factory: Callable[[], Provider]) -> None:
     PROVIDERS[name] = factory
 
 
-def answered(df: DataFrame, prompt: str, provider: Callable[[], Provider], name: str = "answer", batch: int = 16) -> DataFrame:
-    """``df`` with the provider's answers. Calls happen once per row and task attempt; write the result before using it twice."""
+def answered(df: DataFrame, prompt: str, provider: Callable[[], Provider], name: str = "answer", batch: int = 16, retries: int = 1, pause: float = 2.0) -> DataFrame:
+    """``df`` with the provider's answers. A call that fails is made again up to ``retries`` times, ``pause`` seconds later; then the task fails.
+
+    Calls happen once per row and task attempt; write the result before using it twice.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = provider()
@@ -131,7 +135,15 @@ def answered(df: DataFrame, prompt: str, provider: Callable[[], Provider], name:
             asked = frame[prompt].tolist()
             out: list[str] = []
             for k in range(0, len(asked), batch):
-                out += ask([None if p is None or p != p else p for p in asked[k : k + batch]])
+                prompts = [None if p is None or p != p else p for p in asked[k : k + batch]]
+                for left in range(retries, -1, -1):
+                    try:
+                        out += ask(prompts)
+                        break
+                    except Exception:
+                        if not left:
+                            raise
+                        time.sleep(pause)
             yield frame.assign(**{name: out})
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)

@@ -106,6 +106,7 @@ def page_text_views(spark: SparkSession, directory: str) -> DataFrame:
         T.unix_lines("source_text").alias("clean_source"),
         shown.isNotNull().alias("readable"),
         F.concat(F.lit("/api/projects/"), "project_id", F.lit("/pages/"), F.col("page_number").cast("string"), F.lit("/image")).alias("image_url"),
+        F.concat(F.lit("/api/projects/"), "project_id", F.lit("/pages/"), F.col("page_number").cast("string"), F.lit("/thumbnail")).alias("thumbnail_url"),
         F.when(F.col("page_number") > 1, F.col("page_number") - 1).alias("previous_page"),
     )
 
@@ -206,7 +207,7 @@ SQL = {
         q AS (SELECT *, coalesce(nullif(approved_text, ''), nullif(latest_translation, '')) AS shown FROM p)
         SELECT id AS page_id, CASE WHEN length(shown) > 120 THEN left(shown, 120) || '...' ELSE shown END AS preview, coalesce({_STRIP('source_text')} <> '', false) AS has_text,
                coalesce(len(regexp_extract_all(coalesce(shown, nullif(source_text, '')), '[^{S[1:-1]}]+')), 0)::INT AS words, {_STRIP("regexp_replace(source_text, '\\r\\n?', chr(10), 'g')")} AS clean_source,
-               shown IS NOT NULL AS readable, '/api/projects/' || project_id || '/pages/' || page_number || '/image' AS image_url, CASE WHEN page_number > 1 THEN page_number - 1 END AS previous_page FROM q""",
+               shown IS NOT NULL AS readable, '/api/projects/' || project_id || '/pages/' || page_number || '/image' AS image_url, '/api/projects/' || project_id || '/pages/' || page_number || '/thumbnail' AS thumbnail_url, CASE WHEN page_number > 1 THEN page_number - 1 END AS previous_page FROM q""",
     "canned_answers": rf"""SELECT DISTINCT id AS conversation_id, coalesce(length({_STRIP('answer')}) < 320 AND regexp_matches(answer, '{M.CANNED.replace(T.WS, S[1:-1])}'), false) AS canned,
         {_STRIP("regexp_replace(answer, '(?i)</?(?:source_document|translation)>', '', 'g')")} AS answer FROM page_conversations""",
     "without_tails": f"""WITH a AS (SELECT DISTINCT article_id, markdown FROM fetched_articles)

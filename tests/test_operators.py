@@ -252,3 +252,27 @@ def test_restarts_and_answers(spark):
     assert got == ["parse", "parse", "browser", "error_status", "browser", "error_pdf", "error_type", "parse", "browser"]
     heads = spark.createDataFrame([("p", 3, "text\n# Chapter 2: B\n# Chapter 3"), ("p", 1, "# chapter 1"), ("p", 2, "# Chapters"), ("p", None, "# Chapter 9"), ("q", 1, None)], "project_id string, page_number int, source_text string")
     assert {(r.start_page, r.title) for r in S.chapters_of_headings(heads).collect()} == {(3, "Chapter 2: B"), (1, "chapter 1")}
+
+
+def test_failing_providers(spark, tmp_path):
+    marks = str(tmp_path)
+
+    def shaky():
+        def ask(prompts):
+            import os
+
+            if not os.path.exists(f"{marks}/seen"):
+                open(f"{marks}/seen", "w").close()
+                raise OSError("once")
+            return [p and p.upper() for p in prompts]
+
+        return ask
+
+    df = spark.createDataFrame([("a",), (None,)], "t string").coalesce(1)
+    assert [r.answer for r in Q.answered(df, "t", shaky, pause=0).collect()] == ["A", None]
+
+
+def test_listed_images(spark, tmp_path):
+    for name in ("page_2_img_10.png", "page_2_img_9.png", "page_1_img_1.png", "other.png"):
+        (tmp_path / name).write_bytes(b"x")
+    assert [(r.page, r.image) for r in I.listed(spark, str(tmp_path)).collect()] == [(1, 1), (2, 9), (2, 10)]
