@@ -84,12 +84,13 @@ def persian_punctuation(x: Column | str) -> Column:
     marks = F.translate(col(x), "?;", "؟؛")
     after = F.regexp_replace(marks, rf"({LETTER})[{WS}]*,[{WS}]*", "$1، ")
     before = F.regexp_replace(after, rf",[{WS}]*({LETTER})", "، $1")
-    return persian_quotes(F.regexp_replace(before, r"[ \t]*—[ \t]*", "، "))
+    return persian_quotes(F.regexp_replace(before, r"(?:(?<![ \t])[ \t]+)?—[ \t]*", "، "))
 
 
 def punctuation_spacing(x: Column | str) -> Column:
     """No blank before marks, one after them unless a mark, digit, closer or Markdown sign follows; runs of blanks become one."""
-    close = F.regexp_replace(col(x), r"[ \t]+([،؛؟!.:])", "$1")
+    # A run of blanks is tried from its begin only.
+    close = F.regexp_replace(col(x), r"(?<![ \t])[ \t]+([،؛؟!.:])", "$1")
     spaced = F.regexp_replace(close, rf"""([،؛؟!:])(?=[^{WS}\p{{Nd}}،؛؟!:.)\]}}»"'/*_`~])""", "$1 ")
     return F.regexp_replace(spaced, r"[ \t]{2,}", " ")
 

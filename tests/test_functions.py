@@ -145,3 +145,10 @@ def test_restoring():
 def test_canned_answers(spark):
     assert value(spark, M.is_canned, "آماده ام") and value(spark, M.is_canned, f"آماده{Z}ام") and value(spark, M.is_canned, "آماده\u00a0ام")
     assert not value(spark, M.is_canned, "یادداشت") and not value(spark, M.is_canned, "بله " * 100)
+
+
+def test_long_runs_of_white_space(spark):
+    for text in ("a" + " " * 200_000 + "b ", "a" + "\n \n" * 60_000 + "b"):
+        assert value(spark, T.strip, text) == text.strip()
+        assert value(spark, P.punctuation_spacing, text).startswith("a")
+        assert value(spark, P.persian_punctuation, text + " — c").endswith("، c")
