@@ -115,7 +115,7 @@ def statistics(documents: DataFrame, common: DataFrame, key: str = "doc_id", tex
         "blank",
         "t",
         # Lines without what surrounds them; one pass over the text for either list.
-        F.filter(F.split(F.regexp_replace("t", rf"^[{WHITE}]+|[ \x{{A0}}\r\n]+$", ""), rf"[ \x{{A0}}]*[\r\n][{WHITE}]*"), lambda x: F.length(x) > 0).alias("lines"),
+        F.filter(F.split(F.regexp_replace("t", rf"^[{WHITE}]+|(?<![ \x{{A0}}\r\n])[ \x{{A0}}\r\n]+$", ""), rf"(?:(?<![ \x{{A0}}])[ \x{{A0}}]+)?[\r\n][{WHITE}]*"), lambda x: F.length(x) > 0).alias("lines"),
         F.filter(F.split("t", rf"[{WHITE}]+"), lambda x: F.length(x) > 0).alias("words"),
         F.length(F.regexp_replace("t", rf"[{WHITE}]", "")).alias("seen"),
     )

@@ -44,3 +44,13 @@ def test_held_out(spark, common, data):
     labelled = {k: label for k, t in texts.items() if (label := examples.unanimous(t)) is not None and said[k] is not None}
     right = sum(said[k] == label for k, label in labelled.items())
     assert len(labelled) > 300 and right / len(labelled) > 0.95
+
+
+def test_tables_without_rows_or_languages(spark):
+    common = spark.createDataFrame([("en", "the")], "lang string, word string")
+    empty = spark.createDataFrame([], "doc_id bigint, text string, lang string")
+    assert Q.not_prose(empty, common).count() == 0 and Q.statistics(empty, common).count() == 0
+    rows = [(1, None), (2, ""), (3, " \u00a0\n"), (4, "a" + " " * 200_000 + "b"), (5, "\n" * 100_000 + "One line. " + "\t" * 9)]
+    found = {r.doc_id: r for r in Q.kinds(spark.createDataFrame(rows, "doc_id bigint, text string"), common, []).collect()}
+    assert [found[k].kind for k in range(1, 6)] == [None, None, None, "prose", "prose"] and found[4].n_words == found[5].n_words == 2
+    assert Q.not_prose(spark.createDataFrame(rows, "doc_id bigint, text string"), common).count() == 0
