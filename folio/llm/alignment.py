@@ -9,8 +9,8 @@ aligned by dynamic programming over beads of 1-1, 1-2, 2-1, 1-0 and 0-1 sentence
 Anchors off the backbone were moved and stay; what is left is linked where it
 explains words that no other sentence has explained (joined and split sentences).
 
-Scores are looked up through inverted lists of the words of a page, and only
-between candidates, so nothing of the size of all sentence pairs is built.
+Scores are looked up through inverted lists of the words of a page, for candidates
+and for the pairs of a gap that share something; other pairs cost nothing.
 """
 
 from __future__ import annotations
